@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower
+from .common import Scratch, ascii_lower
 
 #: Space, tab, line feed, vertical tab, form feed, carriage return.
 BLANK = " \t\n\x0b\f\r"
@@ -52,6 +52,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Data
         .where(F.col("_n") >= min_docs)
         .select("_h", "_keeper")
     )
+    # A table of its own: adaptive execution then splits the partition of a very common line.
+    common = Scratch(docs.sparkSession, "lines").keep(common)
     lost = (
         seen.join(common, "_h")
         .where(F.col("_doc") != F.col("_keeper"))

@@ -4,12 +4,28 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard_join, line_dedup
+from . import decontaminate, jaccard_join, line_dedup, nearest, packing, toxicity, warc_store
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
+#: A parameter of the operators that tokenise.
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_store.page_digests(table(spark, sf_dir, "pages"))
+
+
+def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,16 +36,21 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similar_classes(table(spark, sf_dir, "documents"))
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), BYTE_BPE)
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op7_line_dedup, op8_jaccard_join, op10_decontamination)
+    for f in (op1_toxicity, op3_warc, op6_nearest, op7_line_dedup, op8_jaccard_join, op9_packing, op10_decontamination)
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_warc": warc_store.SQL,
     "op7_line_dedup": line_dedup.SQL,
     "op10_decontamination": decontaminate.SQL,
 }
