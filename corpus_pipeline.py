@@ -1,4 +1,65 @@
-STAGES = []
+"""The corpus pipeline: documents in, packed training sequences out, stage by stage.
+
+Every stage is written as Parquet and read again before the next one, so a lost executor
+costs a part of one stage at most.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from envidecl.llm import decontaminate, jaccard_join, line_dedup, packing, toxicity
+from envidecl.llm.common import Scratch, table
+from envidecl.llm.queries import BYTE_BPE
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score is below the threshold."""
+    net = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, net).where(F.col("_score") < toxicity.THRESHOLD).drop("_score")
+
+
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that others keep; texts and their lengths change."""
+    out = line_dedup.dedup_lines(docs).withColumn("text", F.col("_kept")).withColumn("n_chars", F.char_length("_kept").cast("long"))
+    return out.select(docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of similar ones: the one with the smallest id."""
+    classes = jaccard_join.similar_classes(docs)
+    first = classes.where("component_id = doc_id").select(F.col("doc_id").alias("_first")).distinct()
+    stays = docs.join(first, F.col("doc_id") == F.col("_first"), "left_semi").dropDuplicates(["doc_id"])
+    return stays.unionByName(docs.where(F.col("doc_id").isNull()))
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no test item."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents with their sequences and places."""
+    return packing.pack(docs, BYTE_BPE)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", drop_lines),
+    ("jaccard_join", drop_near_copies),
+    ("decontamination", drop_leaks),
+    ("packing", pack),
+]
+
+#: The first stage learns a classifier and the last one tokenises; SQL expresses neither.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    work = Scratch(spark, "pipeline")
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        out = work.keep(stage(spark, docs, sf_dir)) if name != STAGES[-1][0] else stage(spark, docs, sf_dir)
+        docs = out
+    return docs

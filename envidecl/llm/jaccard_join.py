@@ -8,8 +8,8 @@ lost, copies are one class, and no group is ever written out as pairs:
 2. Each class lists its shortest inverted lists: |A| - ceil(0.8 |A|) + 1 shingles, rare ones
    first (a bounded table of the most frequent shingles, counted over all documents, sorts
    last; elsewhere the hash decides). Linked classes share one of those. A list is streamed
-   sorted, and its first class becomes the pivot that all its classes are sent to, so two
-   classes of one list meet at one pivot.
+   by set size and falls into chains of sizes close enough to link; a chain's first class
+   becomes the pivot that all its classes are sent to, so classes that may link meet there.
 3. At a pivot, ``search`` answers a T-occurrence query for each class: with T the overlap
    that its size requires, the L longest inverted lists are set aside (DivideSkip), the
    others are heap-merged, classes met T - L times are looked up in the long ones by binary
@@ -47,7 +47,7 @@ from .common import Scratch, bounded_batches
 from .components import components
 
 #: Shingles whose frequency sorts them last; 16 bytes each reach every worker.
-FREQUENT = 50_000
+FREQUENT = 100_000
 #: A shingle counts as frequent only if a window of WINDOW shingles holds it so often.
 LOCAL, WINDOW = 4, 2_000_000
 #: Shingles in a block of classes that meet in one task's memory, at some 40 bytes each.
@@ -96,8 +96,8 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, cls long, cls2 long")
 
 
-def frequent_shingles(docs: DataFrame, size: int, most: int = FREQUENT) -> np.ndarray:
-    """The ``most`` most frequent shingles, sorted by hash, each with its rank (0: rarest)."""
+def frequent_shingles(docs: DataFrame, size: int, scratch: Scratch, most: int = FREQUENT) -> np.ndarray:
+    """Up to ``most`` of the most frequent shingles, sorted by hash, each with its rank (0: rarest)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -115,15 +115,18 @@ def frequent_shingles(docs: DataFrame, size: int, most: int = FREQUENT) -> np.nd
         if held:
             yield flush()
 
-    top = (
-        docs.select("text")
-        .mapInArrow(run, "token long, n long")
-        .groupBy("token")
-        .agg(F.sum("n").alias("n"))
-        .orderBy(F.desc("n"), "token")
-        .limit(most)
-        .collect()
-    )
+    counted = scratch.keep(docs.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")))
+    # The lowest count, on a scale of steps of a sixteenth of a doubling, that at most `most` shingles reach.
+    step = F.floor(F.log2("n") * 16).cast("int")
+    held, least = 0, None
+    for r in sorted(counted.groupBy(step.alias("step")).agg(F.count("*").alias("k")).collect(), reverse=True):
+        held += r["k"]
+        if held > most:
+            break
+        least = r["step"]
+    top = [] if least is None else counted.where(step >= least).collect()
+    scratch.drop(counted)
+    top.sort(key=lambda r: (-r["n"], r["token"]))
     token = np.array([r[0] for r in top], np.int64).view(np.uint64)
     order = np.argsort(token)
     return np.stack([token[order], (len(token) - 1 - order).astype(np.uint64)])
@@ -161,35 +164,50 @@ def short_lists(docs: DataFrame, size: int, percent: int, frequent: np.ndarray)
                 count = np.bincount(r, minlength=b.num_rows)
                 place = np.arange(len(r)) - (np.cumsum(count) - count)[r]
                 early = place < prefix(count, percent)[r]
-                yield pa.record_batch([_signed(s[early]), _signed(cls[r[early]])], names=["token", "cls"])
+                r = r[early]
+                yield pa.record_batch([_signed(s[early]), pa.array(n[r], pa.int32()), _signed(cls[r])], names=["token", "n", "cls"])
 
-    return docs.select("text").mapInArrow(run, "token long, cls long")
+    return docs.select("text").mapInArrow(run, "token long, n int, cls long")
 
 
-def _pivots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(cls, pivot, lists) from rows sorted by token, cls: all of a list go to its first class."""
-    token, pivot = None, None
-    for b in batches:
-        if not b.num_rows:
-            continue
-        t, c = (np.asarray(b.column(k)) for k in (0, 1))
-        fresh = np.ones(len(t), bool)
-        fresh[1:] = (t[1:] != t[:-1]) | (c[1:] != c[:-1])
-        t, c = t[fresh], c[fresh]
-        heads = np.ones(len(t), bool)
-        heads[1:] = t[1:] != t[:-1]
-        heads[0] = token is None or t[0] != token
-        first = np.maximum.accumulate(np.where(heads, np.arange(len(t)), -1))
-        p = np.where(first >= 0, c[np.maximum(first, 0)], pivot if pivot is not None else 0)
-        rest = ~heads & (c != p)
-        out_c, out_p = [c[rest]], [p[rest]]
-        # The pivot itself is a member of every list with a second class.
-        out_c.append(np.unique(p[rest])), out_p.append(out_c[-1])
-        token, pivot = t[-1], p[-1]
-        cc, pp = np.concatenate(out_c), np.concatenate(out_p)
-        if len(cc):
-            pair, n = np.unique(np.stack([cc, pp]), axis=1, return_counts=True)
-            yield pa.record_batch([pa.array(pair[0]), pa.array(pair[1]), pa.array(n, pa.int64())], names=["cls", "pivot", "lists"])
+def _pivots(percent: int):
+    """(cls, pivot, lists) from rows sorted by token, n, cls.
+
+    A list falls into chains in which each size is close enough to the one before; only sets of
+    one chain can be similar. All classes of a chain go to its first.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        token, size, pivot = None, None, None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            t, n, c = (np.asarray(b.column(k)) for k in ("token", "n", "cls"))
+            fresh = np.ones(len(t), bool)
+            fresh[1:] = (t[1:] != t[:-1]) | (c[1:] != c[:-1])
+            t, n, c = t[fresh], n[fresh], c[fresh]
+            heads = np.ones(len(t), bool)
+            heads[1:] = (t[1:] != t[:-1]) | (100 * n[:-1] < percent * n[1:])
+            heads[0] = token is None or t[0] != token or 100 * size < percent * n[0]
+            first = np.maximum.accumulate(np.where(heads, np.arange(len(t)), -1))
+            p = np.where(first >= 0, c[np.maximum(first, 0)], 0 if pivot is None else pivot)
+            token, size, pivot = t[-1], n[-1], p[-1]
+            rest = ~heads & (c != p)
+            c, p = c[rest], p[rest]
+            if not len(c):
+                continue
+            order = np.lexsort((c, p))
+            c, p = c[order], p[order]
+            new = np.flatnonzero(np.concatenate([[True], (c[1:] != c[:-1]) | (p[1:] != p[:-1])]))
+            count = np.diff(np.append(new, len(c)))
+            # A pivot is a member of every chain with a second class.
+            own = np.unique(p)
+            yield pa.record_batch(
+                [pa.array(np.concatenate([c[new], own])), pa.array(np.concatenate([p[new], own])), pa.array(np.concatenate([count, np.ones(len(own), np.int64)]))],
+                names=["cls", "pivot", "lists"],
+            )
+
+    return run
 
 
 class _Union:
@@ -317,10 +335,10 @@ def similar_classes(docs: DataFrame, percent: int = 80, size: int = 5, block: in
     named = known.where("n > 0 AND doc_id IS NOT NULL")
     classes = work.keep(named.groupBy("cls", "cls2", "n").agg(F.min("doc_id").alias("doc")))
 
-    frequent = frequent_shingles(docs, size)
+    frequent = frequent_shingles(docs, size, work)
     lists = short_lists(docs.where(F.col("doc_id").isNotNull()), size, percent, frequent)
-    lists = lists.repartition("token").sortWithinPartitions("token", "cls")
-    sent = lists.mapInArrow(_pivots, "cls long, pivot long, lists long").groupBy("cls", "pivot").agg(F.sum("lists").alias("lists"))
+    lists = lists.repartition("token").sortWithinPartitions("token", "n", "cls")
+    sent = lists.mapInArrow(_pivots(percent), "cls long, pivot long, lists long").groupBy("cls", "pivot").agg(F.sum("lists").alias("lists"))
     members = work.keep(sent.join(classes.select("cls", "doc", "n"), "cls"))
     texts = docs.select(F.col("doc_id").alias("doc"), "text")
     if not known.groupBy("doc_id").count().where("doc_id IS NOT NULL AND count > 1").isEmpty():

@@ -8,22 +8,35 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard_join, line_dedup, nearest, packing, toxicity, warc_store
+from . import decontaminate, jaccard_join, language, licenses, line_dedup, nearest, packing, perspectives, toxicity, warc_store
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: A parameter of the operators that tokenise.
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_digests(table(spark, sf_dir, "documents"))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_store.page_digests(table(spark, sf_dir, "pages"))
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.language(table(spark, sf_dir, "documents"), PIECES)
+
+
+def op5_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perspectives.rotate(table(spark, sf_dir, "conversations"))
+
+
 def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
@@ -46,11 +59,23 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_toxicity, op3_warc, op6_nearest, op7_line_dedup, op8_jaccard_join, op9_packing, op10_decontamination)
+    for f in (
+        op1_toxicity,
+        op2_licenses,
+        op3_warc,
+        op4_language,
+        op5_perspectives,
+        op6_nearest,
+        op7_line_dedup,
+        op8_jaccard_join,
+        op9_packing,
+        op10_decontamination,
+    )
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_warc": warc_store.SQL,
+    "op5_perspectives": perspectives.SQL,
     "op7_line_dedup": line_dedup.SQL,
     "op10_decontamination": decontaminate.SQL,
 }
