@@ -58,8 +58,11 @@ def unzip(files: DataFrame, largest: int = MAX_XML, suffix: str = "") -> DataFra
 def bundle_records(files: DataFrame) -> DataFrame:
     """path and record (JSON) of transfer bundles; archives of another format are rejected."""
     members = unzip(files, MAX_BUNDLE_MEMBER).withColumn("text", F.decode("content", "UTF-8"))
-    manifest = members.where("member = 'manifest.json'").select("path", F.get_json_object("text", "$.format").alias("_format"), F.get_json_object("text", "$.records").alias("_list"))
-    checked = manifest.select("path", F.when(F.col("_format") == "declaration-bundle", F.from_json("_list", "array<string>")).otherwise(F.raise_error(F.lit("not a declaration bundle"))).alias("_names"))
+    is_list = F.col("member") == "manifest.json"
+    ours = F.get_json_object("text", "$.format") == "declaration-bundle"
+    names = F.from_json(F.get_json_object("text", "$.records"), "array<string>")
+    wrong = F.raise_error(F.lit("not a declaration bundle")).cast("array<string>")
+    checked = members.select("path", F.when(is_list & ours, names).when(is_list, wrong).alias("_names"))
     return checked.select("path", F.explode("_names").alias("member")).join(members, ["path", "member"]).select("path", F.col("text").alias("record"))
 
 
