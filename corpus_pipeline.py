@@ -29,8 +29,8 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of similar ones: the one with the smallest id."""
     classes = jaccard_join.similar_classes(docs)
-    first = classes.where("component_id = doc_id").select(F.col("doc_id").alias("_first")).distinct()
-    stays = docs.join(first, F.col("doc_id") == F.col("_first"), "left_semi").dropDuplicates(["doc_id"])
+    first = classes.where("component_id = doc_id").select("doc_id").distinct()
+    stays = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return stays.unionByName(docs.where(F.col("doc_id").isNull()))
 
 

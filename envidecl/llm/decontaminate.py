@@ -89,8 +89,7 @@ def find_leaks(
 
 def clean(docs: DataFrame, items: DataFrame, **kw) -> DataFrame:
     """docs without those that hold a test item."""
-    bad = find_leaks(docs, items, **kw).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col("doc_id") == F.col("_bad"), "left_anti")
+    return docs.join(find_leaks(docs, items, **kw).select("doc_id").distinct(), "doc_id", "left_anti")
 
 
 SQL = r"""

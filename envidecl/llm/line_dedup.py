@@ -13,7 +13,7 @@ Defined results
 * null ``doc_id``: such rows count for nothing and keep all lines.
 * repeated rows: they count as one document, and all of them lose the same lines.
 * ties: the keeper is one document, the largest id; it keeps all its copies of the line.
-* extra columns pass through; names used inside carry a prefix, so none clash.
+* extra columns pass through; names used inside begin with two underscores.
 * empty table: an empty result of the same columns.
 """
 
@@ -41,34 +41,37 @@ def _hash(key: Column) -> Column:
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
-    """docs with ``_n_lines``, ``_n_dropped`` and ``_kept``, the text without dropped lines."""
+    """docs with ``_n_lines``, ``_n_dropped`` and ``_kept``, the text without dropped lines.
+
+    Columns of these names that docs already has are replaced.
+    """
+    docs = docs.drop("_n_lines", "_n_dropped", "_kept")
     long_keys = F.filter(F.transform(_lines(F.col("text")), _key), lambda k: F.char_length(k) >= min_chars)
     seen = docs.where(F.col("doc_id").isNotNull()).select(
-        F.col("doc_id").alias("_doc"), F.explode(F.array_distinct(F.transform(long_keys, _hash))).alias("_h")
+        "doc_id", F.explode(F.array_distinct(F.transform(long_keys, _hash))).alias("__line")
     )
     common = (
-        seen.groupBy("_h")
-        .agg(F.count_distinct("_doc").alias("_n"), F.max("_doc").alias("_keeper"))
-        .where(F.col("_n") >= min_docs)
-        .select("_h", "_keeper")
+        seen.groupBy("__line")
+        .agg(F.count_distinct("doc_id").alias("__n"), F.max("doc_id").alias("__keeper"))
+        .where(F.col("__n") >= min_docs)
+        .select("__line", "__keeper")
     )
     # A table of its own: adaptive execution then splits the partition of a very common line.
     common = Scratch(docs.sparkSession, "lines").keep(common)
     lost = (
-        seen.join(common, "_h")
-        .where(F.col("_doc") != F.col("_keeper"))
-        .groupBy("_doc")
-        .agg(F.collect_set("_h").alias("_lost"))
+        seen.join(common, "__line")
+        .where(F.col("doc_id") != F.col("__keeper"))
+        .groupBy("doc_id")
+        .agg(F.collect_set("__line").alias("__lost"))
     )
-    joined = docs.withColumn("_lines", _lines(F.col("text"))).join(lost, F.col("doc_id") == F.col("_doc"), "left")
-    stays = lambda line: ~F.array_contains(F.col("_lost"), _hash(_key(line)))
-    kept = F.when(F.col("_lost").isNull(), F.col("_lines")).otherwise(F.filter("_lines", stays))
-    return (
-        joined.withColumn("_left", kept)
-        .withColumn("_n_lines", F.size("_lines").cast("long"))
-        .withColumn("_n_dropped", (F.size("_lines") - F.size("_left")).cast("long"))
-        .withColumn("_kept", F.array_join("_left", "\n"))
-        .drop("_doc", "_lost", "_lines", "_left")
+    stays = lambda line: ~F.array_contains(F.col("__lost"), _hash(_key(line)))
+    kept = F.when(F.col("__lost").isNull(), F.col("__lines")).otherwise(F.filter("__lines", stays))
+    joined = docs.withColumn("__lines", _lines(F.col("text"))).join(lost, "doc_id", "left").withColumn("__left", kept)
+    return joined.select(
+        *[F.col(f"`{c}`") for c in docs.columns],
+        F.size("__lines").cast("long").alias("_n_lines"),
+        (F.size("__lines") - F.size("__left")).cast("long").alias("_n_dropped"),
+        F.array_join("__left", "\n").alias("_kept"),
     )
 
 

@@ -33,7 +33,7 @@ from .common import Scratch, bounded_batches
 
 K = 20
 SHARD_ROWS, LEAF = 4096, 128
-FACTOR = 5.0
+FACTOR = 2.0
 #: What rounding may do to a distance.
 SLACK = 1e-7
 

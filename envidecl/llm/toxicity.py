@@ -311,8 +311,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Network:
 
 
 def score(docs: DataFrame, net: Network) -> DataFrame:
-    """docs with ``_score``."""
-    spark = docs.sparkSession
+    """docs with ``_score``, which replaces a column of that name."""
+    spark, docs = docs.sparkSession, docs.drop("_score")
     bounded_batches(spark)
     shared = spark.sparkContext.broadcast((net.p, net.vocabulary, net.base))
     schema = StructType([*docs.schema.fields, StructField("_score", DoubleType())])
