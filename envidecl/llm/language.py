@@ -22,6 +22,7 @@ Defined results
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -221,7 +222,7 @@ class Scorer:
 
 
 _pieces: dict[str, Pieces] = {}
-_scorers: dict[int, Scorer] = {}
+_scorers: dict[str, Scorer] = {}
 
 
 def _vocabulary(path: str) -> Pieces:
@@ -246,11 +247,11 @@ def identify(docs: DataFrame, model: Model, path: str) -> DataFrame:
     """doc_id, lang_pred and score of every row."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    shared = spark.sparkContext.broadcast((model.languages, model.p))
+    # The key tells a worker that is used again that the model is another one.
+    shared, key = spark.sparkContext.broadcast((model.languages, model.p)), uuid.uuid4().hex
     letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = id(shared.value)
         if key not in _scorers:
             _scorers.clear()
             _scorers[key] = Scorer(_vocabulary(path), Model(*shared.value))

@@ -25,6 +25,7 @@ Defined results
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -287,7 +288,7 @@ class Scorer:
         return out
 
 
-_scorers: dict[int, Scorer] = {}
+_scorers: dict[str, Scorer] = {}
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Network:
@@ -314,11 +315,11 @@ def score(docs: DataFrame, net: Network) -> DataFrame:
     """docs with ``_score``, which replaces a column of that name."""
     spark, docs = docs.sparkSession, docs.drop("_score")
     bounded_batches(spark)
-    shared = spark.sparkContext.broadcast((net.p, net.vocabulary, net.base))
+    # The key tells a worker that is used again that the model is another one.
+    shared, key = spark.sparkContext.broadcast((net.p, net.vocabulary, net.base)), uuid.uuid4().hex
     schema = StructType([*docs.schema.fields, StructField("_score", DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = shared._id if hasattr(shared, "_id") else id(shared)
         if key not in _scorers:
             _scorers.clear()
             p, vocabulary, base = shared.value

@@ -155,6 +155,19 @@ def test_jaccard_join(spark, block):
     assert got == brute_classes(rows)
 
 
+def test_linked_sets_share_enough_short_lists():
+    rng = np.random.RandomState(8)
+    for _ in range(400):
+        n = rng.randint(1, 400)
+        a = set(rng.permutation(1 << 20)[:n].tolist())
+        b = set(list(a)[rng.randint(0, n // 5 + 1) :]) | set((rng.permutation(1000) + (1 << 20))[: rng.randint(0, n // 8 + 1)].tolist())
+        if 100 * len(a & b) < 80 * len(a | b):
+            continue
+        shared = set(sorted(a)[: jaccard_join.prefix(len(a), 80)]) & set(sorted(b)[: jaccard_join.prefix(len(b), 80)])
+        for x in (a, b):
+            assert len(shared) >= 1 + len(x) * 80 // (100 * jaccard_join.MERGED)
+
+
 def test_jaccard_join_edges(spark):
     docs = edge_docs(spark)
     got = sorted(map(tuple, jaccard_join.similar_classes(docs).collect()), key=str)
@@ -473,6 +486,16 @@ def test_toxicity_edges(spark):
     assert toxicity.toxicity(docs.limit(0), labels).count() == 0
 
 
+def test_workers_change_models(spark):
+    docs = docs_of(spark, ["a b c"]).repartition(1)
+    for base in (0.2, 0.7, 0.4):
+        net = toxicity.Network({}, np.zeros(0, np.uint64), base)
+        assert toxicity.score(docs, net).first()["_score"] == base
+    for name in ("xx", "yy"):
+        model = language.Model([name], np.full((language.load_pieces(PIECES).n, 1), 1e-4))
+        assert language.identify(docs, model, PIECES).first()["lang_pred"] == name
+
+
 def test_windows_cover_every_word():
     counts = np.array([0, 1, 31, 32, 33, 48, 49, 1000])
     doc, begin, size = toxicity.windows(counts)
