@@ -5,9 +5,10 @@ lost, copies are one class, and no group is ever written out as pairs:
 
 1. Every document gets its shingle set's size and 128-bit hash; equal sets form a class with
    its smallest ``doc_id`` as representative.
-2. Each class lists its shortest inverted lists: |A| - ceil(0.8 |A|) + 1 shingles, rare ones
-   first (a bounded table of the most frequent shingles, counted over all documents, sorts
-   last; elsewhere the hash decides). Linked classes share one of those. A list is streamed
+2. Each class lists its shortest inverted lists: |A| - ceil(0.8 |A|) + 1 + |A| // 16 shingles,
+   rare ones first (a bounded table of the most frequent shingles, counted over all documents,
+   sorts last; elsewhere the hash decides). Linked classes share 1 + |B| // 16 of those, B the
+   smaller; a class without so many lists that others share goes no further. A list is streamed
    by set size and falls into chains of sizes close enough to link; a chain's first class
    becomes the pivot that all its classes are sent to, so classes that may link meet there.
 3. At a pivot, ``search`` answers a T-occurrence query for each class: with T the overlap
@@ -50,8 +51,14 @@ from .components import components
 FREQUENT = 100_000
 #: A shingle counts as frequent only if a window of WINDOW shingles holds it so often.
 LOCAL, WINDOW = 4, 2_000_000
+#: Short lists hold a set's n // MERGED shingles more than needed to share one, so that linked sets share more.
+MERGED = 16
 #: Shingles in a block of classes that meet in one task's memory, at some 40 bytes each.
 BLOCK = 400_000
+#: Log of the bits of the filter that thins texts: 16 MB.
+MOST_BITS = 27
+#: How often the second round looks for pivots that closed.
+CLOSINGS = 2
 _SIGNED = np.int64
 
 
@@ -61,8 +68,17 @@ def required(a: int, b: int, percent: int) -> int:
 
 
 def prefix(n, percent: int):
-    """How many of n shingles, in one order for all sets, linked sets must share one of."""
-    return n - -((-percent * n) // 100) + 1
+    """How many of n shingles, in one order for all sets, are a set's short lists.
+
+    A linked set lacks n - ceil(percent n) of them at most, so of that many and MERGED-th more
+    it holds the surplus, 1 + n // MERGED, counted with either set's own size.
+    """
+    return n - -((-percent * n) // 100) + 1 + n // MERGED
+
+
+def least_lists(n: str, percent: int) -> str:
+    """SQL: lists that a class of n shingles shares with any it links to; that one may be smaller."""
+    return f"1 + (({n} * {percent}) div {100 * MERGED})"
 
 
 def _sets(batch: pa.RecordBatch, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -193,6 +209,9 @@ def _pivots(percent: int):
             p = np.where(first >= 0, c[np.maximum(first, 0)], 0 if pivot is None else pivot)
             token, size, pivot = t[-1], n[-1], p[-1]
             rest = ~heads & (c != p)
+            # A chain's first class is a member of it too, wherever there is a second one.
+            _, chain = np.unique(first[rest], return_index=True)
+            own, of_own = np.unique(p[rest][chain], return_counts=True)
             c, p = c[rest], p[rest]
             if not len(c):
                 continue
@@ -200,10 +219,8 @@ def _pivots(percent: int):
             c, p = c[order], p[order]
             new = np.flatnonzero(np.concatenate([[True], (c[1:] != c[:-1]) | (p[1:] != p[:-1])]))
             count = np.diff(np.append(new, len(c)))
-            # A pivot is a member of every chain with a second class.
-            own = np.unique(p)
             yield pa.record_batch(
-                [pa.array(np.concatenate([c[new], own])), pa.array(np.concatenate([p[new], own])), pa.array(np.concatenate([count, np.ones(len(own), np.int64)]))],
+                [pa.array(np.concatenate([c[new], own])), pa.array(np.concatenate([p[new], own])), pa.array(np.concatenate([count, of_own]))],
                 names=["cls", "pivot", "lists"],
             )
 
@@ -339,11 +356,17 @@ def similar_classes(docs: DataFrame, percent: int = 80, size: int = 5, block: in
     lists = short_lists(docs.where(F.col("doc_id").isNotNull()), size, percent, frequent)
     lists = lists.repartition("token").sortWithinPartitions("token", "n", "cls")
     sent = lists.mapInArrow(_pivots(percent), "cls long, pivot long, lists long").groupBy("cls", "pivot").agg(F.sum("lists").alias("lists"))
-    members = work.keep(sent.join(classes.select("cls", "doc", "n"), "cls"))
+    sent = work.keep(sent)
+    # Linked classes share a number of lists that grows with their size; who has fewer has no link.
+    rich = sent.groupBy("cls").agg(F.sum("lists").alias("all_lists"))
+    able = classes.join(rich, "cls").where(f"all_lists >= {least_lists('n', percent)}").select("cls", "doc", "n")
+    members = work.keep(sent.join(able, "cls"))
     texts = docs.select(F.col("doc_id").alias("doc"), "text")
     if not known.groupBy("doc_id").count().where("doc_id IS NOT NULL AND count > 1").isEmpty():
         texts = texts.dropDuplicates(["doc", "text"])
-    texts = work.keep(texts.join(members.select("doc").distinct(), "doc", "left_semi"))
+    chosen = members.select("doc").distinct()
+    # An inner join, as the optimiser would push a semi join below the filter that thins.
+    texts = work.keep(_thinned(texts, chosen).join(chosen, "doc"))
 
     def searched(rows: DataFrame) -> DataFrame:
         full = rows.join(texts, "doc").select("pivot", "block", "label", "side", "text")
@@ -367,17 +390,16 @@ def similar_classes(docs: DataFrame, percent: int = 80, size: int = 5, block: in
 
     # Second round: pivots whose classes are in several components yet.
     labelled = members.join(groups, F.col("doc") == F.col("node"), "left").select(
-        "cls", "pivot", "doc", "n", F.coalesce("component", "doc").alias("label")
+        "cls", "pivot", "lists", "doc", "n", F.coalesce("component", "doc").alias("label")
     )
     labelled = work.keep(labelled)
-    own = labelled.where("cls = pivot").groupBy("pivot").agg(F.min("label").alias("home"))
-    open_ = (
-        labelled.groupBy("pivot")
-        .agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
-        .where("lo != hi")
-        .join(own, "pivot")
-        .select("pivot", "home")
-    )
+    # Only lists at such pivots can tell of a new link; who has too few of them is out, and with it pivots may close.
+    for _ in range(CLOSINGS):
+        still = _open(labelled).select("pivot")
+        labelled = labelled.join(still, "pivot", "left_semi")
+        able = labelled.groupBy("cls", "n").agg(F.sum("lists").alias("all_lists")).where(f"all_lists >= {least_lists('n', percent)}")
+        labelled = work.keep(labelled.join(able.select("cls"), "cls", "left_semi"))
+    open_ = _open(labelled)
     rest = labelled.join(open_, "pivot").withColumn("inside", F.col("label") == F.col("home"))
     weights = rest.groupBy("pivot").agg(
         F.sum(F.when(F.col("inside"), F.col("n")).otherwise(0)).alias("wi"),
@@ -422,6 +444,28 @@ def similar_classes(docs: DataFrame, percent: int = 80, size: int = 5, block: in
     )
 
 
+def _open(labelled: DataFrame) -> DataFrame:
+    """Pivots whose classes are in several components, and the pivot's own (or else the smallest)."""
+    home = F.coalesce(F.min(F.when(F.col("cls") == F.col("pivot"), F.col("label"))), F.min("label"))
+    found = labelled.groupBy("pivot").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), home.alias("home"))
+    return found.where("lo != hi").select("pivot", "home")
+
+
+def _thinned(texts: DataFrame, chosen: DataFrame) -> DataFrame:
+    """texts without most rows that are not chosen, before they are shuffled.
+
+    A bit per hashed id, in blocks of 4 KB: 16 bits per chosen id, and 16 MB in all at most,
+    whatever the data. Beyond that more rows pass; the join that follows is exact anyway.
+    """
+    bits = 1 << min(MOST_BITS, max(16, (16 * chosen.count()).bit_length()))
+    spot = F.pmod(F.xxhash64("doc"), F.lit(bits))
+    at = {"_block": F.floor(spot / F.lit(32768)).cast("long"), "_bit": spot % 32768}
+    maps = chosen.withColumns(at).groupBy("_block").agg(F.bitmap_construct_agg("_bit").alias("_map"))
+    byte = F.conv(F.hex(F.substring(F.col("_map"), F.floor(F.col("_bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    held = texts.withColumns(at).join(F.broadcast(maps), "_block").where(F.getbit(byte, (F.col("_bit") % 8).cast("int")) == 1)
+    return held.select(*texts.columns)
+
+
 def _copies(named: DataFrame) -> DataFrame:
     """Links of every document to its class's representative."""
     least = named.groupBy("cls", "cls2", "n").agg(F.min("doc_id").alias("b"))
