@@ -5,12 +5,16 @@ fuzzy search a text is normalised (A-Z lower-cased, words joined by single blank
 that may have e edits is split into e + 1 pieces, one of which must occur unchanged (the
 pigeonhole principle); an Aho-Corasick automaton finds all pieces of all notices in one pass,
 and the regex library's bounded-error matching verifies each place and reports the span and
-its edits. Rows are scanned alone, so nothing is shuffled and no key can be hot.
+its edits. The edits may not make one licence of another: a place whose telling word (licence
+name, version number, "nc") is another one, rather than a misspelling, is no notice. Rows are
+scanned alone, so nothing is shuffled and no key can be hot.
 
 Defined results
 * null, empty or wordless text: no words, no labels (empty strings), score 0, null places.
 * places overlap freely; every start of a phrase counts. Labels are distinct and sorted.
 * score: 1 with an exact phrase, else the best 1 - edits / length of a notice, else 0.
+* telling words: another number or rival, none, or more edits than a third of the word (one at
+  least; neighbours swapped are free) reject the place; other spellings of it stay near copies.
 * repeated rows get equal results; extra columns are ignored; an empty table gives none.
 * texts are whole, however long; a notice is never cut by a border of a block.
 """
@@ -18,6 +22,7 @@ Defined results
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import ahocorasick
 import numpy as np
@@ -44,6 +49,19 @@ NOTICES = (
     ("redistribution and use in source and binary forms with or without modification", "bsd", 6),
     ("all rights reserved", "all-rights-reserved", 1),
 )
+#: Words of notices that tell their licence from others, and words that edits must not turn into them.
+NUMBERS = "numbers"
+TELLING = (
+    ("released under the mit license", "mit", ()),
+    ("licensed under the apache license version 2 0", "apache", ()),
+    ("licensed under the apache license version 2 0", "2", NUMBERS),
+    ("licensed under cc by nc 4 0", "nc", ("nd", "sa")),
+    ("creative commons attribution noncommercial", "noncommercial", ("commercial",)),
+    ("licensed under the gnu general public license version 3", "3", NUMBERS),
+    ("mozilla public license version 2 0", "2", NUMBERS),
+)
+#: Characters behind a place, after its possible edits, in which its last word may end.
+WORD_REST = 40
 _NORMAL = bytes(T.ALNUM.fold[k] if T.ALNUM.word[k] else 32 for k in range(256))
 SCHEMA = (
     "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, "
@@ -55,6 +73,55 @@ def normal(text: str | None) -> str:
     return b" ".join((text or "").encode("utf-8", "surrogatepass").translate(_NORMAL).split()).decode("utf-8", "replace")
 
 
+def _align(row: list[int], part: str, text: str) -> list[int]:
+    """Least edits up to each place of the text, after a further part of a notice."""
+    for c in part:
+        new = [row[0] + 1]
+        for j, t in enumerate(text):
+            new.append(min(row[j] + (c != t), row[j + 1] + 1, new[j] + 1))
+        row = new
+    return row
+
+
+def _border(text: str, j: int) -> bool:
+    """Whether neither a word nor a number goes on at a place."""
+    return not 0 < j < len(text) or " " in text[j - 1 : j + 1] or text[j - 1].isdigit() != text[j].isdigit()
+
+
+def _runs(row: list[int], text: str, digits: bool) -> list[int]:
+    """Least edits up to each place, after the rest of any one word, or any number."""
+    out = [len(text) + len(row)] * len(row)
+    for j in range(1, len(row)):
+        i = j
+        while _border(text, j) and i and text[i - 1] != " " and (text[i - 1].isdigit() or not digits):
+            i -= 1
+            out[j] = min(out[j], row[i])
+    return out
+
+
+@lru_cache(maxsize=20_000)
+def _tells(notice: str, word: str, rivals: tuple[str, ...] | str, text: str) -> bool:
+    """Whether the place holds a notice's telling word, misspelt at most, and no other word instead."""
+    words = notice.split(" ")
+    k = words.index(word)
+    after = "".join(" " + w for w in words[k + 1 :])
+    before = _align([0] * (len(text) + 1), " ".join(words[:k]), text)
+    blank = _align(before, " ", text)
+
+    def edits(row: list[int]) -> int:
+        ends = enumerate(_align(row, after, text))
+        return min(x for j, x in ends if after or _border(text, j) and text[j - 1 : j] != " ")
+
+    swapped = [word[:i] + word[i + 1] + word[i] + word[i + 2 :] for i in range(len(word) - 1)]
+    own = min(edits(_align(blank, w, text)) for w in (word, *swapped))
+    if rivals == NUMBERS:
+        others = [edits(_runs(blank, text, digits=True))]
+    else:
+        others = [edits(_align(blank, w, text)) for w in rivals]
+    any_word = [min(x) for x in zip(before, _runs(blank, text, digits=False), strict=True)]
+    return own <= min(others, default=own) and own - edits(any_word) <= max(1, len(word) // 3)
+
+
 class Notices:
     """Finds notices with edits."""
 
@@ -86,13 +153,24 @@ class Notices:
                     mine.append([lo, hi])
         return found
 
+    def holds(self, k: int, text: str, start: int, stop: int, edits: int) -> bool:
+        """Whether a place is a notice's own, not another licence's with its telling words edited."""
+        full, _, most = self.notices[k]
+        if not edits and _border(text, stop):
+            return True
+        end = text.find(" ", stop + most, stop + most + WORD_REST)
+        place = text[max(0, start - most) : end if end >= 0 else stop + most + WORD_REST]
+        return all(_tells(full, word, rivals, place) for notice, word, rivals in TELLING if notice == full)
+
     def __call__(self, text: str) -> list[tuple[str, int, int, int, str]]:
         """label, start and stop in the normalised text, edits and the span itself."""
         out = []
         for k, ranges in self.windows(text).items():
             for lo, hi in ranges:
                 for m in self.verify[k].finditer(text, lo, hi):
-                    out.append((self.notices[k][1], m.start(), m.end(), sum(m.fuzzy_counts), m.group(), k))
+                    edits = sum(m.fuzzy_counts)
+                    if self.holds(k, text, m.start(), m.end(), edits):
+                        out.append((self.notices[k][1], m.start(), m.end(), edits, m.group(), k))
         out.sort(key=lambda x: (x[1], x[2], x[0], x[3]))
         return out
 

@@ -383,6 +383,40 @@ def test_notices_against_every_window():
         assert bool(want) == bool(got) and label in {x[0] for x in find(page)}
 
 
+@pytest.mark.parametrize(
+    "text",
+    [
+        "licensed under cc by sa 4 0", "licensed under cc by nd 4 0", "licensed under cc by nd 3 0", "released under the bsd license",
+        "released under the gpl license", "released under the isc license", "released under the zlib license", "released under the same license",
+        "licensed under the gnu general public license version 2", "licensed undr the gnu general public license version 2 or later",
+        "licensed under the gnu general public license version two", "licensed under the gnu general public license version 35",
+        "licensed under the gnu general public license version", "mozilla public license version 1 1", "mozilla public license version 1 0",
+        "licensed under the apache license version 1 1", "licensed under the apache license version 12 0", "licensed under the apple license version 2 0",
+        "licensed under the apache license version", "creative commons attribution commercial",
+    ],
+)
+def test_other_licences_are_no_near_copies(text):
+    find = licenses.Notices()
+    assert not find(text) and not find(f"some words {text} and more")
+
+
+@pytest.mark.parametrize(
+    ("text", "label"),
+    [
+        ("relased under teh mit license", "mit"), ("released under the mti license", "mit"), ("released under themit license", "mit"),
+        ("released under the mut license", "mit"), ("licensed under cc bync 4 0", "cc-by-nc"), ("licensed under cc by n c 4 0", "cc-by-nc"),
+        ("licensed under cc by nc 3 0", "cc-by-nc"), ("creative commons attribution non commercial", "cc-by-nc"),
+        ("licenced under the gnu general public licence version 3", "gpl-3"), ("licensed under the gnu general public license version3", "gpl-3"),
+        ("licensed under gnu general public license version 3", "gpl-3"), ("mozilla public licence version 2", "mpl-2"),
+        ("licensed under the apahce license version 2 0", "apache-2"), ("licensed under the apache licence version 2", "apache-2"),
+    ],
+)
+def test_misspelt_notices_stay(text, label):
+    find = licenses.Notices()
+    for page in (text, f"some words {text} and more"):
+        assert [x[0] for x in find(page)] == [label]
+
+
 # --- 4 ------------------------------------------------------------------------------------------
 def test_forward_sums_all_segmentations():
     import pyarrow as pa
