@@ -15,6 +15,8 @@ Defined results
 * score: 1 with an exact phrase, else the best 1 - edits / length of a notice, else 0.
 * telling words: another number or rival, none, or more edits than a third of the word (one at
   least; neighbours swapped are free) reject the place; other spellings of it stay near copies.
+* notices that follow each other are each found, near copies before a better one too; of
+  places of one notice that overlap, the one with the fewest edits stays.
 * repeated rows get equal results; extra columns are ignored; an empty table gives none.
 * texts are whole, however long; a notice is never cut by a border of a block.
 """
@@ -147,12 +149,22 @@ class Notices:
                 full, _, edits = self.notices[k]
                 lo, hi = max(0, at - offset - edits), min(len(text), at - offset + len(full) + edits)
                 mine = found.setdefault(k, [])
-                if mine and lo <= mine[-1][1]:
-                    mine[-1] = [min(lo, mine[-1][0]), max(hi, mine[-1][1])]
-                else:
-                    mine.append([lo, hi])
+                while mine and lo <= mine[-1][1]:
+                    first, last = mine.pop()
+                    lo, hi = min(lo, first), max(hi, last)
+                mine.append([lo, hi])
         return found
 
+    def places(self, k: int, text: str, lo: int, hi: int) -> Iterator[regex.Match]:
+        """The best place of a range, and those of the parts before and after it."""
+        full, _, edits = self.notices[k]
+        parts = [(lo, hi)]
+        while parts:
+            lo, hi = parts.pop()
+            if hi - lo >= len(full) - edits and (m := self.verify[k].search(text, lo, hi)):
+                yield m
+                parts += [(lo, m.start()), (m.end(), hi)]
+
     def holds(self, k: int, text: str, start: int, stop: int, edits: int) -> bool:
         """Whether a place is a notice's own, not another licence's with its telling words edited."""
         full, _, most = self.notices[k]
@@ -167,7 +179,7 @@ class Notices:
         out = []
         for k, ranges in self.windows(text).items():
             for lo, hi in ranges:
-                for m in self.verify[k].finditer(text, lo, hi):
+                for m in self.places(k, text, lo, hi):
                     edits = sum(m.fuzzy_counts)
                     if self.holds(k, text, m.start(), m.end(), edits):
                         out.append((self.notices[k][1], m.start(), m.end(), edits, m.group(), k))

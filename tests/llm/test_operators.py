@@ -417,6 +417,27 @@ def test_misspelt_notices_stay(text, label):
         assert [x[0] for x in find(page)] == [label]
 
 
+def test_adjacent_notices_are_all_found():
+    find = licenses.Notices()
+    both = find("released under teh mit license released under the mit license")
+    assert [(x[1], x[2], x[3]) for x in both] == [(0, 30, 2), (31, 61, 0)]
+    assert [x[3] for x in find("all rights reserve d all rights reserved")] == [1, 0]
+    rng = np.random.RandomState(2)
+    for _ in range(200):
+        k = rng.randint(len(licenses.NOTICES))
+        text, _, edits = licenses.NOTICES[k]
+        page, copies = "some words ", []
+        for _ in range(rng.randint(2, 7)):
+            s = list(text)
+            for _ in range(rng.randint(0, edits + 1)):
+                s[rng.randint(text.index(" "))] = "q"
+            copies.append((len(page), len(page) + len(text)))
+            page += "".join(s) + " "
+        got = sorted((a, b) for _, a, b, _, _, n in find(page) if n == k)
+        assert len(got) == len(copies)
+        assert all(abs(a - lo) <= edits and abs(b - hi) <= edits for (a, b), (lo, hi) in zip(got, copies, strict=True))
+
+
 # --- 4 ------------------------------------------------------------------------------------------
 def test_forward_sums_all_segmentations():
     import pyarrow as pa
