@@ -26,17 +26,34 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.select(docs.columns)
 
 
+def _keyed(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """docs with a ``_key`` of every row's own, in the order of ids; rows without an id come last.
+
+    Ids are the keys unless one is missing or repeated. Of rows equal in id and text one is left.
+    """
+    odd = docs.groupBy("doc_id").count().where("doc_id IS NULL OR count > 1")
+    if odd.isEmpty():
+        return docs.withColumn("_key", F.col("doc_id"))
+    order = [F.col("doc_id").asc_nulls_last(), *[F.col(c) for c in docs.columns if c != "doc_id"]]
+    keyed = Scratch(spark, "keyed").keep(docs.orderBy(*order).withColumn("_key", F.monotonically_increasing_id()))
+    named = keyed.where(F.col("doc_id").isNotNull()).groupBy("doc_id", "text").agg(F.min("_key").alias("_key"))
+    own = named.select("_key").unionByName(keyed.where(F.col("doc_id").isNull()).select("_key"))
+    return keyed.join(own, "_key", "left_semi")
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of similar ones: the one with the smallest id."""
-    classes = jaccard_join.similar_classes(docs)
-    first = classes.where("component_id = doc_id").select("doc_id").distinct()
-    stays = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return stays.unionByName(docs.where(F.col("doc_id").isNull()))
+    keyed = _keyed(spark, docs)
+    classes = jaccard_join.similar_classes(keyed.select(F.col("_key").alias("doc_id"), "text"))
+    first = classes.where("component_id = doc_id").select(F.col("doc_id").alias("_key"))
+    return keyed.join(first, "_key", "left_semi").select(docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no test item."""
-    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+    keyed = _keyed(spark, docs)
+    leaks = decontaminate.find_leaks(keyed.select(F.col("_key").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    return keyed.join(leaks.select(F.col("doc_id").alias("_key")).distinct(), "_key", "left_anti").select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -38,3 +38,20 @@ def test_missing_ids_and_texts_pass_through(spark):
         docs = stage(spark, docs, SF)
         assert docs.count() == 3
     assert docs.where(F.col("doc_id").isNull()).count() == 1
+
+
+def test_repeated_and_missing_ids_are_judged_by_row(spark):
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").where("length(text) > 40").orderBy("item_id").first()["text"]
+    a, b, c = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
+    leak = f"before {item} after"
+    rows = [(7, a), (7, b), (7, a), (8, a), (None, c), (None, c), (None, b), (None, leak), (9, leak), (9, "clean words"), (None, None), (None, None)]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(5)
+    stages = dict(corpus_pipeline.STAGES)
+    unique = stages["jaccard_join"](spark, docs, SF).cache()
+    assert unique.columns == docs.columns
+    kept = sorted(((r["doc_id"], r["text"]) for r in unique.collect()), key=str)
+    assert kept == sorted([(7, a), (7, b), (None, c), (9, leak), (9, "clean words"), (None, None), (None, None)], key=str)
+    clean = stages["decontamination"](spark, docs, SF)
+    assert clean.columns == docs.columns
+    texts = [(r["doc_id"], r["text"]) for r in clean.collect()]
+    assert not any(t == leak for _, t in texts) and (9, "clean words") in texts and texts.count((None, c)) == 2
