@@ -1,11 +1,12 @@
 """Benchmark decontamination: short test items inside long documents.
 
 Items fall into partitions by the size of their shingle set (powers of two). Each partition
-has its own bottom-k MinHash sketch size, the smallest that cannot miss: of an item with m
-shingles a document with containment t may lack m - ceil(t m), so one more than that, with
-the smallest hashes, must share one with every such document. Documents are exploded to
-their shingle hashes and probe the items' shingles; an item whose sketch no shingle of a
-document hits is no candidate, and candidates are verified by exact shingle containment.
+has its own bottom-k MinHash sketch size, the smallest that cannot miss an item of any size in
+it: of an item with m shingles a document with containment t may lack m - ceil(t m), so one more
+than that, with the smallest hashes, must share one with every such document. Documents are
+exploded to their shingle hashes and probe the sketches alone; an item whose sketch no shingle
+of a document hits is no candidate. Only documents with candidates are read again, and only
+their candidates are verified by exact shingle containment.
 Plain MinHash banding would miss short items in long documents, as their Jaccard similarity
 falls with the document's length; the bottom-k form has the full recall.
 
@@ -51,13 +52,28 @@ def item_shingles(items: DataFrame, threshold: float, size: int) -> DataFrame:
     w = w.select("item_id", "_n", F.array_sort(F.array_distinct(by_size)).alias("_s"))
     m = F.size("_s")
     # The partition of sizes 2^p .. 2^(p+1)-1 takes the sketch of its largest member.
-    top = F.least(F.pow(F.lit(2), F.floor(F.log2(m)) + 1) - 1, m.cast("double"))
-    sketch = (top - F.ceil(top * F.lit(threshold) - F.lit(1e-9)) + 1).cast("int")
+    top = F.pow(F.lit(2), F.floor(F.log2(m)) + 1) - 1
+    sketch = F.least((top - F.ceil(top * F.lit(threshold) - F.lit(1e-9)) + 1).cast("int"), m)
     return w.select(
         "item_id", "_n", m.alias("_m"), sketch.alias("_k"), F.posexplode("_s").alias("_pos", "_h")
     ).select("item_id", "_n", "_m", "_h", (F.col("_pos") < F.col("_k")).alias("_in"))
 
 
+def _exploded(texts: DataFrame, lengths: list[int], *also: str) -> DataFrame:
+    """doc_id, other columns, and every shingle hash with its number of words."""
+    w = texts.select("doc_id", *also, _words(F.col("text")).alias("_w"))
+    of = lambda n: lambda h: F.struct(h.alias("_h"), F.lit(n).alias("_n"))
+    each = [F.transform(_shingles(F.col("_w"), n), of(n)) for n in lengths]
+    # A text of fewer words has no shingles: null, which concat would make of all.
+    some = F.concat(*[F.coalesce(x, F.array().cast("array<struct<_h:bigint,_n:int>>")) for x in each])
+    return w.select("doc_id", *also, F.explode(some).alias("_x")).select("doc_id", *also, "_x._h", "_x._n")
+
+
+def candidates(texts: DataFrame, sketches: DataFrame, lengths: list[int]) -> DataFrame:
+    """doc_id and item_id wherever a document holds a shingle of an item's sketch."""
+    return _exploded(texts, lengths).join(sketches, ["_h", "_n"]).select("doc_id", "item_id").distinct()
+
+
 def find_leaks(
     docs: DataFrame, items: DataFrame, threshold: float = 0.8, size: int = SIZE, broadcast_shingles: int = BROADCAST_SHINGLES
 ) -> DataFrame:
@@ -65,22 +81,20 @@ def find_leaks(
     wanted = item_shingles(items, threshold, size)
     held = wanted.groupBy().agg(F.count("*").alias("n"), F.collect_set("_n").alias("lengths")).first()
     lengths = sorted({*(held["lengths"] or []), size})
-    w = docs.where(F.col("doc_id").isNotNull()).select("doc_id", _words(F.col("text")).alias("_w"))
-    each = [
-        w.select("doc_id", F.explode(_shingles(F.col("_w"), n)).alias("_h")).withColumn("_n", F.lit(n)) for n in lengths
-    ]
-    found = each[0]
-    for more in each[1:]:
-        found = found.unionByName(more)
-    if held["n"] <= broadcast_shingles:
-        wanted = F.broadcast(wanted)
+    near = (lambda x: F.broadcast(x)) if held["n"] <= broadcast_shingles else (lambda x: x)
+    texts = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text")
+    sketches = near(wanted.where("_in").select("item_id", "_n", "_h"))
+    found = candidates(texts, sketches, lengths)
+    # One row of a document's candidates, so that it is exploded once; an item's number bounds it.
+    named = found.groupBy("doc_id").agg(F.collect_set("item_id").alias("_items"))
+    chosen = _exploded(texts.join(named, "doc_id"), lengths, "_items")
     return (
-        found.join(wanted, ["_h", "_n"])
-        .groupBy("doc_id", "item_id", "_m", "_h")
-        .agg(F.max("_in").alias("_in"))
+        chosen.join(near(wanted.select("item_id", "_n", "_m", "_h")), ["_h", "_n"])
+        .where(F.array_contains("_items", F.col("item_id")))
+        .select("doc_id", "item_id", "_m", "_h")
+        .distinct()
         .groupBy("doc_id", "item_id", "_m")
-        .agg(F.count("*").alias("shared"), F.max("_in").alias("_candidate"))
-        .where("_candidate")
+        .agg(F.count("*").alias("shared"))
         .withColumn("item_shingles", F.col("_m").cast("long"))
         .where(F.col("shared") >= F.col("item_shingles") * F.lit(threshold) - 1e-9)
         .select("doc_id", "item_id", "shared", "item_shingles", (F.col("shared") / F.col("item_shingles")).alias("containment"))

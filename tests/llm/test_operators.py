@@ -218,6 +218,21 @@ def test_decontamination_edges(spark):
     assert {(r["doc_id"], r["item_id"]): r["containment"] for r in shuffled.collect()} == got
 
 
+def test_sketches_alone_find_candidates(spark):
+    sizes = [1, 3, 4, 7, 8, 12, 15, 16, 40]
+    items = spark.createDataFrame([(m, " ".join(f"i{m}w{k}" for k in range(m + 4))) for m in sizes], "item_id long, text string")
+    rows = decontaminate.item_shingles(items, 0.8, 5).collect()
+    held = Counter(r["item_id"] for r in rows if r["_in"])
+    assert held == {1: 1, 3: 1, 4: 2, 7: 2, 8: 4, 12: 4, 15: 4, 16: 7, 40: 13}  # 63 - ceil(0.8 * 63) + 1
+    # A document of all shingles but one: a candidate by any sketch shingle, whichever one is missing.
+    w = [f"i8w{k}" for k in range(12)]
+    docs = docs_of(spark, [" ".join(w[1:]), " ".join(w[:-1]), " ".join(w[:5]), " ".join(w[7:]), *(" ".join(w[k : k + 5]) for k in range(8))])
+    sketches = decontaminate.item_shingles(items, 0.8, 5).where("_in").select("item_id", "_n", "_h")
+    found = {r["doc_id"] for r in decontaminate.candidates(docs, sketches, [5]).collect()}
+    assert {0, 1} <= found and len(found - {0, 1, 2, 3}) == 4  # of single shingles, those of the sketch
+    assert {r["doc_id"] for r in decontaminate.find_leaks(docs, items).collect()} == {0, 1}
+
+
 # --- 9 ------------------------------------------------------------------------------------------
 def test_plan_packs_everything_once():
     rng = np.random.RandomState(2)
