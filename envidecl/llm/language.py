@@ -16,7 +16,9 @@ Defined results
   labelled rows, everything is ``und`` with score 0.
 * a null ``doc_id`` is not held out; repeated rows get equal results.
 * ties go to the first language in alphabetical order.
-* words of more than 48 bytes are summed in blocks of 48, all of them.
+* pieces of more than 12 bytes are left out of the vocabulary.
+* words of more than 48 bytes are summed in blocks of 48, all of them; every block begins with a
+  border as a word does, and segmentations across blocks are not summed.
 * extra columns are ignored; an empty table gives an empty result.
 """
 
