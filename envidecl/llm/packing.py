@@ -17,6 +17,8 @@ are encoded as a whole where two spaces follow each other.
 
 Defined results
 * null or empty text: one piece of one token, the end token.
+* the literal of an added token (<|endoftext|>) is text like any other: it is encoded as plain
+  characters, where the tokenizer by default gives its single id.
 * repeated rows, and rows without ``doc_id``, are documents of their own, packed each.
 * a text of any length is cut, its first piece taking the remainder.
 * extra columns are ignored; an empty table gives an empty result.
