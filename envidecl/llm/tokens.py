@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 CHUNK = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
-_BYTES = np.random.RandomState(20240229).randint(1, 1 << 62, 256, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+BYTES = np.random.RandomState(20240229).randint(1, 1 << 62, 256, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -30,6 +30,11 @@ def _power(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
+def power(n: int, inverse: bool = False) -> np.ndarray:
+    """The first n powers of the hash's base, or of its inverse."""
+    return _power(_INVERSE if inverse else _BASE, n)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values whose every output bit depends on every input bit."""
     x = x ^ (x >> np.uint64(33))
@@ -49,7 +54,7 @@ class Alphabet:
         self.separator = np.zeros(256, bool)
         self.separator[list(separators)] = True
         self.word = ~self.separator[self.fold]
-        self.value = _BYTES[self.fold]
+        self.value = BYTES[self.fold]
 
 
 #: Words between white space, A-Z lower-cased.
