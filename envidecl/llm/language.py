@@ -5,7 +5,7 @@ Every language has its own probabilities over one fixed public vocabulary of pie
 over all its segmentations, by the forward algorithm; a text's is the product over its words,
 which pieces never cross, and the language with the largest posterior wins. Probabilities
 come from expectation maximisation (forward and backward sums) over the words of a bounded
-sample of labelled documents.
+sample of labelled documents, which Spark counts.
 
 Texts are whole. Words are hashed from the column's bytes; each distinct word is segmented
 once by a worker, all new words of a batch together, and looked up afterwards.
@@ -16,9 +16,10 @@ Defined results
   labelled rows, everything is ``und`` with score 0.
 * a null ``doc_id`` is not held out; repeated rows get equal results.
 * ties go to the first language in alphabetical order.
-* pieces of more than 12 bytes are left out of the vocabulary.
-* words of more than 48 bytes are summed in blocks of 48, all of them; every block begins with a
-  border as a word does, and segmentations across blocks are not summed.
+* words of any length are summed whole: the forward sums keep as many places as the longest
+  piece has bytes, and their scale apart. Only for learning are words of more than
+  ``LEARNED_WORD`` bytes cut into blocks of that size.
+* of more than ``LANGUAGES`` different values of lang the most frequent ones are learned.
 * extra columns are ignored; an empty table gives an empty result.
 """
 
@@ -33,12 +34,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens as T
-from .common import bounded_batches, held_out
+from .common import ascii_lower, bounded_batches, held_out
 
 #: The bounds of the training sample: documents of a language, and of all.
-SAMPLE_DOCS, SAMPLE_ALL = 600, 4000
+SAMPLE_DOCS, SAMPLE_ALL, LANGUAGES = 600, 4000, 200
 ROUNDS = 4
-LONGEST_PIECE, LONGEST_WORD = 12, 48
+LEARNED_WORD = 1024
+#: Words longer than this are summed one by one, the others together.
+TOGETHER = 512
+#: Places times words that are summed together.
+CELLS = 400_000
+#: Steps between two looks at the scale of the sums.
+RESCALE = 8
 #: Added to every piece's expected count.
 SMOOTH = 0.05
 #: Distinct words whose sums a worker keeps.
@@ -63,14 +70,14 @@ class Pieces:
     """The vocabulary: sorted hashes of the pieces' bytes, word borders as a blank."""
 
     def __init__(self, pieces: list[bytes]):
-        own = sorted({p.lower() for p in pieces if 0 < len(p) <= LONGEST_PIECE} | {bytes([k]) for k in range(256)})
+        own = sorted({p.lower() for p in pieces if p} | {bytes([k]).lower() for k in range(256)})
         raw = np.frombuffer(b"".join(own), np.uint8)
         size = np.array([len(p) for p in own])
         start = np.cumsum(size) - size
         total = _hashes(raw)
         h = (total[start + size] - total[start]) * T._power(T._INVERSE, len(total))[start]
         self.sorted, self.id = np.unique(h, return_index=True)
-        self.n = len(own)
+        self.n, self.longest = len(own), int(size.max())
 
     def lattice(self, raw: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
         """For each piece length, the piece that starts at each byte of the words, or -1; words' starts and sizes.
@@ -87,11 +94,11 @@ class Pieces:
         left = np.repeat(begin + size, size) - np.arange(len(text))
         total = _hashes(text)
         out = []
-        for n in range(1, LONGEST_PIECE + 1):
+        for n in range(1, self.longest + 1):
             at = np.flatnonzero(left >= n)
             h = _run_hash(total, at, n)
             k = np.minimum(np.searchsorted(self.sorted, h), len(self.sorted) - 1)
-            ids = np.full(len(text), -1, np.int64)
+            ids = np.full(len(text), -1, np.int32)
             ids[at] = np.where(self.sorted[k] == h, self.id[k], -1)
             out.append(ids)
         return out, begin, size
@@ -106,49 +113,114 @@ def load_pieces(path: str) -> Pieces:
     return Pieces([p.replace("▁", " ").encode() for p in found])
 
 
-def _blocks(size: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words cut into blocks of LONGEST_WORD bytes: word, start, stop."""
-    n = np.maximum(1, -(-size // LONGEST_WORD))
-    word = np.repeat(np.arange(len(size)), n)
-    step = np.arange(len(word)) - np.repeat(np.cumsum(n) - n, n)
-    s = start[word] + step * LONGEST_WORD
-    return word, s, np.minimum(s + LONGEST_WORD, stop[word])
-
-
-def forward(lattice: list[np.ndarray], begin: np.ndarray, size: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """Sums over all segmentations of every prefix: [place, word, language]; p: pieces by languages."""
-    top = int(size.max())
-    a = np.zeros((top + 1, len(begin), p.shape[1]))
-    a[0] = 1
-    for t in range(1, top + 1):
-        live = np.flatnonzero(size >= t)
-        for n in range(1, min(t, LONGEST_PIECE) + 1):
-            ids = lattice[n - 1][begin[live] + t - n]
+def _groups(size: np.ndarray) -> Iterator[np.ndarray]:
+    """Words of similar size, longest first, of at most CELLS places together."""
+    order = np.argsort(-size, kind="stable")
+    lo = 0
+    while lo < len(order):
+        hi = lo + max(1, CELLS // (int(size[order[lo]]) + 1))
+        yield order[lo:hi]
+        lo = hi
+
+
+def _rescale(window: np.ndarray, log: np.ndarray) -> None:
+    """Brings the largest of the last sums of each word and language to one."""
+    top = window.max(axis=0)
+    top[top == 0] = 1
+    window /= top
+    log += np.log(top)
+
+
+def log_sums(lattice: list[np.ndarray], begin: np.ndarray, size: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Log of the sum over all segmentations of each word, by languages; words longest first; p: pieces by languages."""
+    longest = len(lattice)
+    ring = np.zeros((longest + 1, len(begin), p.shape[1]))
+    ring[0] = 1
+    log = np.zeros((len(begin), p.shape[1]))
+    out = np.empty_like(log)
+    live = np.searchsorted(-size, -np.arange(size[0] + 2), side="right")
+    for t in range(1, int(size[0]) + 1):
+        m = live[t]
+        now = ring[t % (longest + 1), :m]
+        now[:] = 0
+        for n in range(1, min(t, longest) + 1):
+            ids = lattice[n - 1][begin[:m] + t - n]
             k = np.flatnonzero(ids >= 0)
-            w = live[k]
-            a[t, w] += a[t - n, w] * p[ids[k]]
-    return a
+            if len(k):
+                now[k] += ring[(t - n) % (longest + 1), k] * p[ids[k]]
+        done = live[t + 1]
+        if done < m:
+            out[done:m] = np.log(now[done:]) + log[done:m]
+        if t % RESCALE == 0:
+            _rescale(ring[:, :done], log[:done])
+    return out
+
+
+def long_log_sum(pieces: Pieces, word: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """``log_sums`` of one long word, whose lattice is made in parts."""
+    longest = pieces.longest
+    n = np.arange(1, longest + 1)
+    ring = np.zeros((longest + 1, p.shape[1]))
+    ring[0] = 1
+    log = np.zeros(p.shape[1])
+    whole, part = len(word) + 1, 1 << 16
+    for lo in range(0, whole, part):
+        # Starts of pieces from lo - longest on; the border is place 0 of the word.
+        first = max(0, lo - longest)
+        raw = word[max(0, first - 1) : lo + part + longest]
+        lattice, _, _ = pieces.lattice(raw, np.array([0]), np.array([len(raw)]))
+        ids = np.stack(lattice)
+        if first:
+            ids = ids[:, 1:]  # the border that lattice puts before each part is none here
+        for t in range(lo + 1, min(lo + part, whole) + 1):
+            k = n[: min(t, longest)]
+            i = ids[k - 1, t - k - first]
+            k, i = k[i >= 0], i[i >= 0]
+            ring[t % (longest + 1)] = (ring[(t - k) % (longest + 1)] * p[i]).sum(axis=0)
+            if t % RESCALE == 0:
+                _rescale(ring, log)
+    return np.log(ring[whole % (longest + 1)]) + log
 
 
 def expected(lattice: list[np.ndarray], begin: np.ndarray, size: np.ndarray, p: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """Expected counts of pieces by languages, words weighted by their counts."""
-    a = forward(lattice, begin, size, p)
-    top = len(a) - 1
-    words = np.arange(len(begin))
-    b = np.zeros_like(a)
-    b[size, words] = 1
-    out = np.zeros_like(p)
-    share = weight / np.maximum(a[size, words], 1e-300)
-    for t in range(top - 1, -1, -1):
-        live = np.flatnonzero(size > t)
-        for n in range(1, min(LONGEST_PIECE, top - t) + 1):
-            fits = live[size[live] >= t + n]
+    longest, top, words = len(lattice), int(size.max()), np.arange(len(begin))
+    logs = []
+    for back in (False, True):
+        a = np.zeros((top + 1, len(begin), p.shape[1]))
+        scale, now = np.zeros_like(a), np.zeros(a.shape[1:])
+        if back:
+            a[size, words] = 1
+        else:
+            a[0] = 1
+        for s in range(1, top + 1):
+            t = top - s if back else s
+            for n in range(1, min(s, longest) + 1):
+                near = np.flatnonzero(size >= (t + n if back else t))
+                ids = lattice[n - 1][begin[near] + (t if back else t - n)]
+                k = np.flatnonzero(ids >= 0)
+                w = near[k]
+                a[t, w] += a[t + n if back else t - n, w] * p[ids[k]]
+            scale[t] = now
+            if s % RESCALE == 0:
+                # All sums that later ones still need share a scale; the others keep theirs.
+                last = slice(t, t + longest) if back else slice(max(0, t - longest + 1), t + 1)
+                shift = np.zeros(a.shape[1:])
+                _rescale(a[last], shift)
+                scale[last] += shift
+                now += shift
+        with np.errstate(divide="ignore"):
+            logs.append(np.log(a) + scale)
+    forward, backward = logs
+    whole = forward[size, words]
+    out, log_p = np.zeros_like(p), np.log(p)
+    for t in range(top):
+        for n in range(1, min(longest, top - t) + 1):
+            fits = np.flatnonzero(size >= t + n)
             ids = lattice[n - 1][begin[fits] + t]
             k = np.flatnonzero(ids >= 0)
             w, i = fits[k], ids[k]
-            onward = p[i] * b[t + n, w]
-            b[t, w] += onward
-            full = a[t, w] * onward * share[w]
+            full = np.exp(forward[t, w] + log_p[i] + backward[t + n, w] - whole[w]) * weight[w]
             for lang in range(p.shape[1]):
                 out[:, lang] += np.bincount(i, full[:, lang], len(p))
     return out
@@ -159,24 +231,24 @@ class Model:
         self.languages, self.p = languages, p
 
 
-def train(pieces: Pieces, texts: list[str], langs: list[str]) -> Model:
+def train(pieces: Pieces, langs: list[str], words: list[bytes], counts: list[int]) -> Model:
+    """From words of languages with their counts."""
     names = sorted(set(langs))
     if not names:
         return Model([], np.zeros((pieces.n, 0)))
-    raw, rows = T.buffers(pa.array(texts, pa.string()))
-    row, start, stop, h = T.words(raw, rows, T.ALNUM)
-    distinct, first, of = np.unique(h, return_index=True, return_inverse=True)
-    code = np.array([names.index(x) for x in langs])
-    weight = np.zeros((len(distinct), len(names)))
-    np.add.at(weight, (of, code[row]), 1)
-    s, t = start[first], stop[first]
-    word, s, t = _blocks(t - s, s, t)
-    weight = weight[word]
+    of: dict[bytes, int] = {}
+    row = np.array([of.setdefault(w, len(of)) for w in words])
+    weight = np.zeros((len(of), len(names)))
+    np.add.at(weight, (row, np.searchsorted(names, langs)), counts)
+    cut = [(w[k : k + LEARNED_WORD], n) for n, w in enumerate(of) for k in range(0, len(w), LEARNED_WORD)]
+    size = np.array([len(w) for w, _ in cut])
+    raw, weight = np.frombuffer(b"".join(w for w, _ in cut), np.uint8), weight[[n for _, n in cut]]
+    start = np.cumsum(size) - size
     p = np.full((pieces.n, len(names)), 1 / pieces.n)
-    chunks = [slice(k, k + 20_000) for k in range(0, len(s), 20_000)]
-    held = [pieces.lattice(raw, s[c], t[c]) for c in chunks]
+    groups = list(_groups(size))
+    held = [pieces.lattice(raw, start[g], (start + size)[g]) for g in groups]
     for _ in range(ROUNDS):
-        count = sum((expected(*x, p, weight[c]) for x, c in zip(held, chunks, strict=True)), np.zeros_like(p))
+        count = sum((expected(*x, p, weight[g]) for x, g in zip(held, groups, strict=True)), np.zeros_like(p))
         p = (count + SMOOTH) / (count.sum(axis=0) + SMOOTH * pieces.n)
     return Model(names, p)
 
@@ -190,13 +262,14 @@ class Scorer:
         self.hashes, self.sums = np.zeros(0, np.uint64), np.zeros((0, len(self.model.languages)), np.float32)
 
     def _new(self, raw: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-        word, s, t = _blocks(stop - start, start, stop)
+        size, p = stop - start, self.model.p
         out = np.zeros((len(start), len(self.model.languages)))
-        for k in range(0, len(s), 10_000):
-            c = slice(k, k + 10_000)
-            lattice, begin, size = self.pieces.lattice(raw, s[c], t[c])
-            a = forward(lattice, begin, size, self.model.p)
-            np.add.at(out, word[c], np.log(np.maximum(a[size, np.arange(len(begin))], 1e-300)))
+        short, long_ = np.flatnonzero(size <= TOGETHER), np.flatnonzero(size > TOGETHER)
+        for g in _groups(size[short]):
+            w = short[g]
+            out[w] = log_sums(*self.pieces.lattice(raw, start[w], stop[w]), p)
+        for w in long_.tolist():
+            out[w] = long_log_sum(self.pieces, T.ALNUM.fold[raw[start[w] : stop[w]]], p)
         return out
 
     def __call__(self, column: pa.Array) -> np.ndarray:
@@ -231,18 +304,23 @@ def _vocabulary(path: str) -> Pieces:
     return _pieces.get(path) or _pieces.setdefault(path, load_pieces(path))
 
 
-def fit(docs: DataFrame, path: str, per_language: int = SAMPLE_DOCS, overall: int = SAMPLE_ALL) -> Model:
+#: Words as ``tokens.ALNUM`` has them.
+WORD = r"([^\x00-\x2F\x3A-\x60\x7B-\x7F]+)"
+
+
+def fit(docs: DataFrame, path: str, per_language: int = SAMPLE_DOCS, overall: int = SAMPLE_ALL, languages: int = LANGUAGES) -> Model:
     """Learn from at most about so many documents, chosen by a hash of the id, never held-out ones."""
     known = docs.where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL").where(~held_out(F.col("doc_id")))
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    by_lang = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages)
+    counts = {r["lang"]: r["n"] for r in by_lang.collect()}
     if not counts:
-        return train(_vocabulary(path), [], [])
+        return train(_vocabulary(path), [], [], [])
     most = min(per_language, max(1, overall // len(counts)))
     share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(int(min(1.0, most / n) * 1_000_000)))])
     chosen = known.where(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1_000_000)) < share[F.col("lang")])
-    rows = chosen.select("doc_id", "lang", "text").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["lang"], r["text"]))
-    return train(_vocabulary(path), [r["text"] for r in rows], [r["lang"] for r in rows])
+    words = chosen.select("lang", F.explode(F.regexp_extract_all(ascii_lower(F.col("text")), F.lit(WORD), F.lit(1))).alias("word"))
+    rows = words.groupBy("lang", "word").agg(F.count("*").alias("n")).toArrow().sort_by([("lang", "ascending"), ("word", "ascending")])
+    return train(_vocabulary(path), rows["lang"].to_pylist(), [w.encode() for w in rows["word"].to_pylist()], rows["n"].to_pylist())
 
 
 def identify(docs: DataFrame, model: Model, path: str) -> DataFrame:
