@@ -2,12 +2,14 @@
 
 A word's input is its own embedding (zero if training did not keep the word) joined with the
 mean embedding of its hashed character n-grams and prefixes. A forward and a backward GRU run
-over windows of 32 words that overlap by half and cover every word; attention pools the
-states of a window, and a document's score is that of its most toxic window.
+over windows of 32 words, one at every 16th word, so each overlaps the next by half and they
+cover every word; all of them are scored. Attention pools the states of a window, and a
+document's score is that of its most toxic window.
 
 Training takes a bounded sample of labelled rows (``SAMPLE_ROWS`` rows of each label, chosen
-by a hash of the id, of at most ``SAMPLE_WORDS`` words) on the driver; held-out rows are
-never read. A document's gradient is spread over its windows by a softmax of their scores,
+by a hash of the id, whatever their length) to the driver; held-out rows are never read. A
+text of more than ``SAMPLE_WORDS`` words gives runs of words spread evenly over all of it,
+which tasks cut, so the driver holds a bounded number of words. A document's gradient is spread over its windows by a softmax of their scores,
 whose temperature falls, so that the network finds the windows that explain the label.
 
 Scoring is vectorised over Arrow batches: words are hashed from the column's bytes, the
@@ -15,10 +17,11 @@ input side of the gates is computed once per distinct word and kept by the worke
 windows of a batch advance together. Each row is scored alone, so no key can be hot.
 
 Defined results
-* null, empty or wordless text: score 0.
+* null, empty or wordless text: score 0, where both labels were learned.
 * repeated rows get equal scores; a null ``doc_id`` is not held out.
 * labels that are null or lack their document teach nothing; several labels of a document
-  are several examples. Without both labels in the sample all scores are the share of ones.
+  are several examples. Without both labels in the sample all scores, of wordless texts too,
+  are the share of ones; without any label they are 0.
 * extra columns pass through ``score``; an empty table gives an empty result.
 * very long texts are scored whole, window by window in blocks of bounded size.
 """
@@ -31,7 +34,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
@@ -41,7 +44,7 @@ from .common import bounded_batches, held_out
 WINDOW, STRIDE, HIDDEN, WORD_DIM, CHAR_DIM = 32, 16, 8, 8, 8
 BUCKETS, VOCABULARY = 1 << 13, 20_000
 #: The bounds of the training sample.
-SAMPLE_ROWS, SAMPLE_WORDS = 2000, 400
+SAMPLE_ROWS, SAMPLE_WORDS, RUN_WORDS = 2000, 2048, 64
 EPOCHS, LEAST_STEPS, BATCH_DOCS, RATE = 4, 400, 32, 0.01
 THRESHOLD = 0.3
 #: Distinct words whose gate inputs a worker keeps, 200 bytes each.
@@ -296,21 +299,30 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Network:
     known = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").where(~held_out(F.col("doc_id")))
     known = known.select(F.col("doc_id").alias("_doc"), F.col("toxic").alias("_toxic"))
     order = F.xxhash64("_doc")
-    # Three times the rows wanted, as many documents are longer than the sample takes.
+    # Three times the rows wanted, as labels may lack their documents.
     sample = known.where("_toxic = 1").orderBy(order, "_doc").limit(3 * rows)
     sample = sample.union(known.where("_toxic = 0").orderBy(order, "_doc").limit(3 * rows))
-    short = docs.select("doc_id", "text").where(F.length("text") <= 8 * SAMPLE_WORDS)
     found = (
-        short.join(F.broadcast(sample), F.col("doc_id") == F.col("_doc"))
-        .groupBy("_toxic", "_doc", "text")
-        .agg(order.alias("_o"))
-        .select("_toxic", "_o", "_doc", "text")
+        docs.select("doc_id", "text")
+        .where("text IS NOT NULL")
+        .join(F.broadcast(sample), F.col("doc_id") == F.col("_doc"))
+        .select("_toxic", order.alias("_o"), "_doc", spread(F.col("text")).alias("text"))
+        .distinct()
     )
     got = [found.where(F.col("_toxic") == k).orderBy("_o", "_doc", "text").limit(rows) for k in (0, 1)]
     all_ = sorted(got[0].union(got[1]).collect(), key=lambda r: (r["_o"], r["_doc"], r["text"]))
     return train([r["text"] for r in all_], [r["_toxic"] for r in all_])
 
 
+def spread(text: Column, most: int = SAMPLE_WORDS, run: int = RUN_WORDS) -> Column:
+    """The text, or of one with more than ``most`` words runs of words evenly spread from its begin to its end."""
+    words = F.split(text, r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", -1)
+    n = most // run
+    starts = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: (1 + k * ((F.size(words) - run) / (n - 1))).cast("int"))
+    runs = F.flatten(F.transform(starts, lambda at: F.slice(words, at, run)))
+    return F.when(F.size(words) <= most, text).otherwise(F.array_join(runs, " "))
+
+
 def score(docs: DataFrame, net: Network) -> DataFrame:
     """docs with ``_score``, which replaces a column of that name."""
     spark, docs = docs.sparkSession, docs.drop("_score")
