@@ -18,7 +18,11 @@ Defined results
   order of role, then text.
 * a conversation of context turns alone has no participant and gives no row.
 * control marks inside a text are rendered with a blank after ``<``, so they cannot close a segment.
-* line breaks and blanks in a role become ``_`` in its name.
+* a speaker's name is the role with white space and the signs of marks (``<``, ``>``, ``|``, ``~``)
+  as ``_``; of speakers whose names become equal, all but the first in order get ``~2``, ``~3`` and
+  so on. Context roles stand in headers themselves, so they are names of your choice.
+* the order inside a block of turn numbers is worked out in one task: rows of one conversation
+  and 256 numbers, or without a number, for each perspective.
 * extra columns are ignored; an empty table gives an empty result.
 """
 
@@ -30,6 +34,8 @@ from pyspark.sql.window import Window
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 BLOCK = 256
+#: Signs that no name holds.
+NO_NAME = r"[\t\n\x0B\f\r <>|~]"
 
 
 def _safe(text: Column) -> Column:
@@ -45,10 +51,18 @@ def rotate(turns: DataFrame, context: tuple[str, ...] = ("system",)) -> DataFram
     )
     speaks = ~F.col("speaker").isin(*context)
     people = said.where(speaks).select("conv_id", F.col("speaker").alias("perspective")).distinct()
-    views = said.join(people, "conv_id")
+    plain = F.regexp_replace("perspective", NO_NAME, "_")
+    alike = Window.partitionBy("conv_id", "_plain").orderBy("perspective")
+    named = people.withColumn("_plain", plain).withColumn("_k", F.row_number().over(alike))
+    named = named.select(
+        "conv_id",
+        F.col("perspective").alias("speaker"),
+        F.when(F.col("_k") == 1, F.col("_plain")).otherwise(F.concat("_plain", F.lit("~"), F.col("_k").cast("string"))).alias("_name"),
+    )
+    views = said.join(named, ["conv_id", "speaker"], "left").join(people, "conv_id")
     mine = F.col("speaker") == F.col("perspective")
     role = F.when(~speaks, F.col("speaker")).when(mine, "assistant").otherwise("user")
-    name = F.when(speaks & ~mine, F.regexp_replace("speaker", r"\s", "_"))
+    name = F.when(speaks & ~mine, F.col("_name"))
     head = F.concat(F.lit(OPEN), F.col("role"), F.when(F.col("name").isNotNull(), F.concat(F.lit(" name="), F.col("name"))).otherwise(""), F.lit("\n"))
     body = F.concat(_safe(F.col("text")), F.lit(CLOSE))
     views = (
@@ -101,10 +115,13 @@ SQL = r"""
 WITH said AS (SELECT DISTINCT conv_id, turn, role AS speaker, coalesce(text, '') AS text FROM conversations
               WHERE conv_id IS NOT NULL AND role IS NOT NULL),
 people AS (SELECT DISTINCT conv_id, speaker AS perspective FROM said WHERE speaker <> 'system'),
+plain AS (SELECT *, regexp_replace(perspective, '[\t\n\x0B\f\r <>|~]', '_', 'g') AS c FROM people),
+named AS (SELECT conv_id, perspective AS speaker, c || CASE WHEN k > 1 THEN '~' || k ELSE '' END AS nm
+          FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, c ORDER BY perspective) AS k FROM plain)),
 v AS (SELECT s.*, p.perspective,
-             CASE WHEN speaker = 'system' THEN speaker WHEN speaker = perspective THEN 'assistant' ELSE 'user' END AS role,
-             CASE WHEN speaker <> 'system' AND speaker <> perspective THEN regexp_replace(speaker, '\s', '_', 'g') END AS name
-      FROM said s JOIN people p ON s.conv_id = p.conv_id),
+             CASE WHEN s.speaker = 'system' THEN s.speaker WHEN s.speaker = perspective THEN 'assistant' ELSE 'user' END AS role,
+             CASE WHEN s.speaker <> 'system' AND s.speaker <> perspective THEN nm END AS name
+      FROM said s JOIN people p ON s.conv_id = p.conv_id LEFT JOIN named n ON n.conv_id = s.conv_id AND n.speaker = s.speaker),
 h AS (SELECT *, '<|im_start|>' || role || CASE WHEN name IS NOT NULL THEN ' name=' || name ELSE '' END || chr(10) AS head FROM v),
 g AS (SELECT *, head || replace(replace(text, '<|im_start|>', '< |im_start|>'), '<|im_end|>', '< |im_end|>') || '<|im_end|>' || chr(10) AS segment FROM h),
 l AS (SELECT *, length(segment) AS length,
@@ -116,3 +133,8 @@ SELECT conv_id, perspective, position, turn, speaker, role, name, segment, start
        CASE WHEN speaker = perspective THEN length - length(head) - 1 ELSE 0 END AS mask_length
 FROM l
 """
+
+TRANSCRIPT_SQL = f"""
+WITH rotated AS ({SQL})
+SELECT conv_id, perspective, string_agg(segment, '' ORDER BY position) AS text FROM rotated GROUP BY conv_id, perspective
+"""

@@ -37,6 +37,11 @@ def op5_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perspectives.rotate(table(spark, sf_dir, "conversations"))
 
 
+def chat_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole renderings that op5 gives in segments."""
+    return perspectives.transcript(perspectives.rotate(table(spark, sf_dir, "conversations")))
+
+
 def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
@@ -65,6 +70,7 @@ QUERIES: dict[str, Query] = {
         op3_warc,
         op4_language,
         op5_perspectives,
+        chat_transcripts,
         op6_nearest,
         op7_line_dedup,
         op8_jaccard_join,
@@ -76,6 +82,7 @@ QUERIES: dict[str, Query] = {
 ORACLE_SQL: dict[str, str] = {
     "op3_warc": warc_store.SQL,
     "op5_perspectives": perspectives.SQL,
+    "chat_transcripts": perspectives.TRANSCRIPT_SQL,
     "op7_line_dedup": line_dedup.SQL,
     "op10_decontamination": decontaminate.SQL,
 }
