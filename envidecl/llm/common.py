@@ -24,10 +24,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of the session; a temporary one of our own only where none is set."""
+    """The shared folder of the session; a temporary one of our own only in local mode, where none is set."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         found = spark.conf.get("spark.envidecl.scratch", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not found:
         found = "file://" + tempfile.mkdtemp(prefix="envidecl-")
         spark.conf.set("spark.envidecl.scratch", found)
@@ -61,8 +63,6 @@ class Scratch:
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
-        # Shuffle files of finished jobs go as soon as their frames are collected.
-        self.spark.sparkContext._jvm.System.gc()
         return out
 
     def drop(self, *frames: DataFrame) -> None:
