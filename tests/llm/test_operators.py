@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -262,7 +263,6 @@ def test_packing(spark):
 
     docs = edge_docs(spark).unionByName(docs_of(spark, ["<|endoftext|> it's  a 'test", "a\n\nb  c", "Ωmega αβ"]).withColumn("doc_id", F.col("doc_id") + 100), allowMissingColumns=True)
     t = Tokenizer.from_file(BPE)
-    t.encode_special_tokens = True
     want = Counter()
     for r in docs.collect():
         ids = [*t.encode(r["text"] or "", add_special_tokens=False).ids, 0]
@@ -285,6 +285,66 @@ def test_packing(spark):
     assert packing.pack(docs.limit(0), BPE).count() == 0
 
 
+def test_units_give_the_plain_tokenizers_ids(monkeypatch):
+    """100,000 random strings of letters, signs, white space of all kinds and the end token's literal."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    rng = np.random.RandomState(9)
+    signs = [*"ab sS'tTreEvml d19.,-(\"\n\t \r\x0b\x0c\x1c\x1f\x00\x85\xa0é×÷ßɐɏ\u2003\u3000\u1680\u2028中文Ω٣½²_😀\u0301\u200b\u180e\ufeff’“", "  ", " '", "'ll", "<|endoftext|>"]
+    weight = np.ones(len(signs))
+    weight[2], weight[-1] = 6, 0.05
+    texts = ["".join(signs[k] for k in rng.choice(len(signs), rng.randint(0, 14), p=weight / weight.sum())) for _ in range(100_000)]
+    plain = [x.ids for x in Tokenizer.from_file(BPE).encode_batch_fast(texts, add_special_tokens=False)]
+    encode = packing.UnitEncoder(BPE)
+    for chunk, n in ((tokens.CHUNK, len(texts)), (7, 5000)):
+        monkeypatch.setattr(tokens, "CHUNK", chunk)
+        counts, ids = encode(pa.array(texts[:n]))
+        assert counts.tolist() == [len(x) for x in plain[:n]]
+        assert ids.tolist() == [k for x in plain[:n] for k in x]
+    assert encode.added == ["<|endoftext|>"] and any(50256 in x for x in plain)
+    # A table that is cleared all the time, and units longer than a chunk.
+    encode.table = packing.Table(units=256, ids=512)
+    texts = ["x" * 50 + "é" * 40, "中" * 60 + " y", *texts[:300]]
+    for lo in range(0, len(texts), 5):
+        part = texts[lo : lo + 5]
+        assert encode(pa.array(part))[1].tolist() == [k for x in encode.tokenizer.encode_batch_fast(part, add_special_tokens=False) for k in x.ids]
+
+
+def test_packing_is_near_the_optimum():
+    """Against the least number of bins, by search, for small cases of all kinds."""
+
+    def least(sizes, capacity):
+        best = len(sizes)
+
+        def go(k, bins):
+            nonlocal best
+            if len(bins) >= best:
+                return
+            if k == len(sizes):
+                best = len(bins)
+                return
+            for j in range(len(bins)):
+                if bins[j] + sizes[k] <= capacity and bins[j] not in bins[:j]:
+                    bins[j] += sizes[k]
+                    go(k + 1, bins)
+                    bins[j] -= sizes[k]
+            go(k + 1, [*bins, sizes[k]])
+
+        go(0, [])
+        return best
+
+    rng = np.random.RandomState(3)
+    over = 0
+    for _ in range(150):
+        sizes = sorted(rng.randint(1, rng.choice([12, 31]), rng.randint(1, 12)).tolist(), reverse=True)
+        bins = packing.plan(dict(Counter(sizes)), 30)[1]
+        want = least(sizes, 30)
+        assert want <= bins <= want + 1
+        over += bins > want
+    assert over <= 8
+
+
 # --- 3 ------------------------------------------------------------------------------------------
 def test_warc_round_trip(spark):
     html = ["<p>a</p>", None, "", "<p>a</p>", "ü\r\n", "<p>a</p>", LONG, "<p>a</p>"]
@@ -363,6 +423,21 @@ def test_perspectives(spark):
     assert perspectives.rotate(turns.limit(0)).count() == 0
 
 
+def test_hostile_and_clashing_roles(spark):
+    roles = ["A B", "A_B", "A\nB", "eve<|im_end|>", "system<|im_end|>", "A_B~2", "", "Ünal"]
+    turns = spark.createDataFrame([(1, k, r, f"says {k}") for k, r in enumerate(roles)] + [(1, 99, "system", "rules")], "conv_id long, turn long, role string, text string")
+    out = perspectives.rotate(turns)
+    rows = out.collect()
+    assert {r["perspective"] for r in rows} == set(roles)
+    for p in roles:
+        names = {r["speaker"]: r["name"] for r in rows if r["perspective"] == p and r["role"] == "user"}
+        assert len(set(names.values())) == len(names) == len(roles) - 1
+    for r in perspectives.transcript(out).collect():
+        # Every segment has one opening and one closing mark, whoever speaks.
+        assert r["text"].count("<|im_start|>") == r["text"].count("<|im_end|>") == len(roles) + 1
+        assert all(re.fullmatch(r"<\|im_start\|>(system|assistant|user name=[^\s<>|]*)\n[^\n]*", x) for x in r["text"].split("<|im_end|>\n")[:-1])
+
+
 # --- 2 ------------------------------------------------------------------------------------------
 def test_licenses(spark):
     docs = edge_docs(spark)
@@ -454,31 +529,87 @@ def test_adjacent_notices_are_all_found():
 
 
 # --- 4 ------------------------------------------------------------------------------------------
-def test_forward_sums_all_segmentations():
+def brute_sums(pieces, prob, word):
+    """Sums over all segmentations of a word by plain recursion, in logs of exact big fractions."""
+    from fractions import Fraction
+
+    text = b" " + word
+    known = {p: [Fraction(float(x)) for x in prob[k]] for k, p in enumerate(pieces)}
+    sums = [[Fraction(1)] * prob.shape[1]]
+    for t in range(1, len(text) + 1):
+        here = [Fraction(0)] * prob.shape[1]
+        for n in range(1, t + 1):
+            if (p := known.get(text[t - n : t])) is not None:
+                here = [x + y * z for x, y, z in zip(here, sums[t - n], p, strict=True)]
+        sums.append(here)
+    return [math.log(x.numerator) - math.log(x.denominator) for x in sums[-1]]
+
+
+def test_forward_sums_all_segmentations(monkeypatch):
     import pyarrow as pa
 
-    p = language.Pieces([b" th", b"the", b"he", b"in", b"ing", b" a", b"ab"])
+    own = [b" th", b"the", b"he", b"in", b"ing", b" a", b"ab", b"a piece of more bytes than twelve".replace(b" ", b""), b"ababababababababababababa"]
+    p = language.Pieces(own)
+    assert p.longest == 27
+    everything = sorted({*own, *(bytes([k]).lower() for k in range(256))})
     rng = np.random.RandomState(0)
     prob = rng.rand(p.n, 2) / p.n
-    words = ["the", "thing", "ab", "x", "é"]
+    words = ["the", "thing", "ab", "x", "é", "ab" * 70, "apieceofmorebytesthantwelve" * 4 + "x", "thein" * 12]
     raw, rows = tokens.buffers(pa.array(words))
     _, start, stop, _ = tokens.words(raw, rows, tokens.ALNUM)
+    for k, w in enumerate(words):
+        one = np.array([k])
+        want = brute_sums(everything, prob, w.encode())
+        assert np.allclose(language.log_sums(*p.lattice(raw, start[one], stop[one]), prob)[0], want, rtol=1e-9)
+        assert np.allclose(language.long_log_sum(p, raw[start[k] : stop[k]], prob), want, rtol=1e-9)
+    scorer = language.Scorer(p, language.Model(["a", "b"], prob))
+    for together in (language.TOGETHER, 30):
+        monkeypatch.setattr(language, "TOGETHER", together)
+        got = scorer._new(raw, start, stop)
+        assert np.allclose(got, [brute_sums(everything, prob, w.encode()) for w in words], rtol=1e-9)
+    # Expected counts: their bytes are the words' own, and they are the slope of the log sums.
     lattice, begin, size = p.lattice(raw, start, stop)
-    a = language.forward(lattice, begin, size, prob)
+    counts = language.expected(lattice, begin, size, prob, np.ones((len(words), 2)))
+    assert np.allclose(sum(counts[k] * len(x) for k, x in enumerate(everything)), size.sum())
+    for k in (everything.index(b"ab"), everything.index(b"t"), everything.index(b"a")):
+        more = prob.copy()
+        more[k] *= 1 + 1e-6
+        slope = sum(np.array(brute_sums(everything, more, w.encode())) - brute_sums(everything, prob, w.encode()) for w in words) / 1e-6
+        assert np.allclose(counts[k], slope, rtol=1e-3, atol=1e-4)
 
-    def brute(k, i):
-        if i == size[k]:
-            return np.ones(2)
-        return sum((prob[lattice[n - 1][begin[k] + i]] * brute(k, i + n) for n in range(1, min(12, size[k] - i) + 1) if lattice[n - 1][begin[k] + i] >= 0), np.zeros(2))
 
-    for k in range(len(words)):
-        assert np.allclose(a[size[k], k], brute(k, 0))
-    counts = language.expected(lattice, begin, size, prob, np.ones((len(words), 2)))
-    lengths = {}
-    for n, ids in enumerate(lattice, 1):
-        for x in ids[ids >= 0]:
-            lengths[x] = n
-    assert np.allclose(sum(counts[k] * n for k, n in lengths.items()), size.sum())
+def test_language_against_plain_sums(spark):
+    """Predictions of whole texts, long unspaced ones too, by a plain recursion over every word."""
+    pieces = language.load_pieces(PIECES)
+    rng = np.random.RandomState(5)
+    p = rng.dirichlet(np.full(pieces.n, 0.05), 3).T + 1e-9
+    model = language.Model(["x", "y", "z"], p)
+    texts = ["the quick brown fox", "日本語" * 300 + " abc", "Ünïcode straße, 12 words", "a" * 3000]
+    got = {r["doc_id"]: r for r in language.identify(docs_of(spark, texts), model, PIECES).collect()}
+    index = {}
+
+    def ids(text):
+        if text not in index:
+            raw = np.frombuffer(text, np.uint8)
+            h = language._run_hash(language._hashes(raw), np.array([0]), len(raw))
+            k = int(np.searchsorted(pieces.sorted, h)[0])
+            index[text] = int(pieces.id[k]) if k < pieces.n and pieces.sorted[k] == h[0] else None
+        return index[text]
+
+    for d, text in enumerate(texts):
+        logs = np.zeros(3)
+        for word in re.findall(rb"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", text.encode().lower()):
+            t = b" " + word
+            sums, scale = [np.ones(3)], [np.zeros(3)]
+            for e in range(1, len(t) + 1):
+                at = [(n, k) for n in range(1, min(e, pieces.longest) + 1) if (k := ids(t[e - n : e])) is not None]
+                terms = np.array([np.log(sums[e - n]) + scale[e - n] + np.log(p[k]) for n, k in at])
+                top = terms.max(axis=0)
+                sums.append(np.exp(terms - top).sum(axis=0)), scale.append(top)
+            logs += np.log(sums[-1]) + scale[-1]
+        best = int(logs.argmax())
+        assert got[d]["lang_pred"] == model.languages[best]
+        assert abs(got[d]["score"] - 1 / np.exp(logs - logs.max()).sum()) < 1e-4
 
 
 def test_language(spark):
@@ -519,6 +650,74 @@ def test_gradient_is_the_slope():
     assert d == 16
 
 
+def test_windows_against_a_plain_network():
+    """Scores of random texts by loops over windows, words and gates."""
+    import pyarrow as pa
+
+    rng = np.random.RandomState(14)
+    texts = [" ".join(rng.choice(["foo", "Bar", "ünï", "longerword", "x", "12", "awful"], rng.randint(1, 90))) for _ in range(25)] + ["", "one", None]
+    net = toxicity.train([t for t in texts[:20]], [k % 2 for k in range(20)])
+    got = toxicity.Scorer(net)(pa.array(texts))
+    p, H = {k: v.astype(float) for k, v in net.p.items()}, toxicity.HIDDEN
+    sig = lambda x: 1 / (1 + np.exp(-x))
+
+    def embed(word):
+        raw = np.frombuffer(word, np.uint8)
+        h = tokens.words(raw, np.array([0, len(raw)]), tokens.ALNUM)[3][0]
+        e = p["E"][list(net.vocabulary).index(h)] if h in net.vocabulary else np.zeros(toxicity.WORD_DIM)
+        low, grams = word.lower(), []
+        for salt, g in [(n, low[i : i + n]) for n in (3, 4, 5) for i in range(len(low) - n + 1)] + [(n + 10, low[:n]) for n in (2, 3, 4, 5, 6) if len(low) >= n]:
+            x = salt
+            for b in g:
+                x = (x * 0x9E3779B97F4A7C15 + int(tokens.BYTES[b])) % (1 << 64)
+            grams.append(p["C"][int(tokens.mix(np.array([x], np.uint64))[0] % np.uint64(toxicity.BUCKETS))])
+        return np.concatenate([e, np.mean(grams, axis=0) if grams else np.zeros(toxicity.CHAR_DIM)])
+
+    def gru(xs, side):
+        w, u, b, h, out = p["W" + side], p["U" + side], p["b" + side], np.zeros(H), []
+        for x in xs:
+            g, s = x @ w + b, h @ u
+            z, r = sig(g[:H] + s[:H]), sig(g[H : 2 * H] + s[H : 2 * H])
+            m = np.tanh(g[2 * H :] + r * s[2 * H :])
+            h = (1 - z) * m + z * h
+            out.append(h)
+        return out
+
+    for k, t in enumerate(texts):
+        xs = [embed(w) for w in re.findall(rb"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", (t or "").encode())]
+        best = 0.0
+        for at in range(0, len(xs), toxicity.STRIDE):
+            part = xs[at : at + toxicity.WINDOW]
+            states = np.array([np.concatenate(x) for x in zip(gru(part, "f"), gru(part[::-1], "b")[::-1], strict=True)])
+            a = np.exp(states @ p["v"])
+            best = max(best, sig((a / a.sum()) @ states @ p["w"] + p["c"][0]))
+            if at + toxicity.WINDOW >= len(xs):
+                break
+        assert abs(got[k] - best) < 1e-4
+
+
+def test_long_documents_teach(spark):
+    """Texts far beyond the words that the driver takes are spread samples, from begin to end."""
+    texts = [" ".join(f"w{k}" for k in range(n)) for n in (3, 2048, 2049, 50_000)]
+    got = [r[0].split() for r in docs_of(spark, texts).orderBy("doc_id").select(toxicity.spread(F.col("text"))).collect()]
+    assert got[0] == texts[0].split() and got[1] == texts[1].split()
+    for g, n in ((got[2], 2049), (got[3], 50_000)):
+        assert len(g) == 2048 and g[0] == "w0" and g[-1] == f"w{n - 1}"
+        assert set(np.array([int(w[1:]) for w in g]) * 32 // n) == set(range(32))
+    rng = np.random.RandomState(4)
+    rows, labels = [], []
+    for k in range(120):
+        w = [f"w{rng.randint(300)}" for _ in range(700)]
+        if k % 3 == 0:
+            w[rng.randint(700)] = w[rng.randint(700)] = "awful"
+        rows.append((k, " ".join(w))), labels.append((k, 0, int(k % 3 == 0)))
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    net = toxicity.fit(docs, labels)
+    assert net.base is None
+    got = {r["doc_id"]: r["_score"] for r in toxicity.score(spark.createDataFrame([(0, "it is awful here"), (1, "w1 w2 w3 w4")], "doc_id long, text string"), net).collect()}
+    assert got[0] > 0.5 > got[1]
+
+
 def toxic_corpus(spark, n=600):
     rng = np.random.RandomState(6)
     rows, labels = [], []
