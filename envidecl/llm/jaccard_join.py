@@ -48,13 +48,13 @@ from .common import Scratch, bounded_batches
 from .components import components
 
 #: Shingles whose frequency sorts them last; 16 bytes each reach every worker.
-FREQUENT = 100_000
+FREQUENT = 500_000
 #: A shingle counts as frequent only if a window of WINDOW shingles holds it so often.
-LOCAL, WINDOW = 4, 2_000_000
+LOCAL, WINDOW = 3, 2_000_000
 #: Short lists hold a set's n // MERGED shingles more than needed to share one, so that linked sets share more.
 MERGED = 16
 #: Shingles in a block of classes that meet in one task's memory, at some 40 bytes each.
-BLOCK = 400_000
+BLOCK = 150_000
 #: Log of the bits of the filter that thins texts: 16 MB.
 MOST_BITS = 27
 #: How often the second round looks for pivots that closed.
@@ -140,10 +140,10 @@ def frequent_shingles(docs: DataFrame, size: int, scratch: Scratch, most: int =
         if held > most:
             break
         least = r["step"]
-    top = [] if least is None else counted.where(step >= least).collect()
+    top = counted.where(step >= least if least is not None else F.lit(False)).select("token", "n").toArrow()
     scratch.drop(counted)
-    top.sort(key=lambda r: (-r["n"], r["token"]))
-    token = np.array([r[0] for r in top], np.int64).view(np.uint64)
+    token, n = (np.asarray(top[c].combine_chunks()).astype(np.int64) for c in ("token", "n"))
+    token = token[np.lexsort((token, -n))].view(np.uint64)
     order = np.argsort(token)
     return np.stack([token[order], (len(token) - 1 - order).astype(np.uint64)])
 
@@ -228,27 +228,45 @@ def _pivots(percent: int):
 
 
 class _Union:
+    """Components of 0..n-1; the smaller of two is relabelled, so all joins take n log n steps."""
+
     def __init__(self, labels: np.ndarray):
         _, self.of = np.unique(labels, return_inverse=True)
+        order = np.argsort(self.of, kind="stable")
+        self.members = dict(enumerate(np.split(order, np.flatnonzero(np.diff(self.of[order])) + 1)))
 
     def join(self, a: int, b: int) -> None:
-        self.of[self.of == self.of[b]] = self.of[a]
+        x, y = int(self.of[a]), int(self.of[b])
+        if x != y:
+            if len(self.members[x]) < len(self.members[y]):
+                x, y = y, x
+            less = self.members.pop(y)
+            self.of[less] = x
+            self.members[x] = np.concatenate([self.members[x], less])
 
 
-def _merge(lists: list[np.ndarray], n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Members of sorted lists and how many lists hold each: a heap merge, or counting where lists are long."""
+def _merge(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Members of sorted lists and how many lists hold each: by a heap where they are short, else by one sort of their runs."""
     if sum(map(len, lists)) <= 256:
         runs = [(k, sum(1 for _ in g)) for k, g in groupby(heapq.merge(*(x.tolist() for x in lists)))]
         return np.array([k for k, _ in runs], np.int64), np.array([c for _, c in runs], np.int64)
-    counts = np.bincount(np.concatenate(lists), minlength=n)
-    found = np.flatnonzero(counts)
-    return found, counts[found]
+    all_ = np.sort(np.concatenate(lists), kind="stable")
+    head = np.flatnonzero(np.concatenate([[True], all_[1:] != all_[:-1]]))
+    return all_[head], np.diff(np.append(head, len(all_)))
+
+
+def _overlap(a: np.ndarray, b: np.ndarray) -> int:
+    """Values of a that sorted b holds, by binary probes."""
+    return int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
 
 
 def search(sets: list[np.ndarray], labels: np.ndarray, sides: np.ndarray, percent: int) -> np.ndarray:
     """A component number for each of the sorted sets, by DivideSkip; equal labels are linked already.
 
-    sides: 0 and 1 are compared with each other only; 2 with all.
+    sides: 0 and 1 are compared with each other only; 2 with all. Sets ask in the order of
+    their sizes for earlier ones. A list all of whose earlier members are in one component is
+    left out for a set of that component, as nothing new can come of it; so in a group of near
+    copies a set asks no list once it is linked to one of them.
     """
     n = len(sets)
     sizes = np.array([len(s) for s in sets])
@@ -258,47 +276,76 @@ def search(sets: list[np.ndarray], labels: np.ndarray, sides: np.ndarray, percen
     token = np.concatenate([sets[i] for i in rank])
     owner = np.repeat(np.arange(n), sizes[rank])
     order = np.lexsort((owner, token))
-    token, owner = token[order], owner[order]
-    borders = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, np.int64)
-    keys, ends = token[borders], np.append(borders[1:], len(token))
+    owner_of = np.empty(len(token), np.int64)
+    head = np.ones(len(token), bool)
+    head[1:] = token[order[1:]] != token[order[:-1]]
+    owner_of[order] = np.cumsum(head) - 1  # the list of each set's each member
+    borders = np.append(np.flatnonzero(head), len(token))
+    owner = owner[order]
+    length = np.diff(borders)
+    starts = np.concatenate([[0], np.cumsum(sizes[rank])])
     ordered, size_of = [sets[i] for i in rank], sizes[rank]
     union, side = _Union(labels[rank]), sides[rank]
-    for q in range(1, n):
-        mine, m = ordered[q], int(size_of[q])
-        low = int(np.searchsorted(size_of, -((-percent * m) // 100)))
-        if low >= q:
-            continue
-        t = -((-percent * m) // 100)  # the least overlap with any set of an allowed size up to m
-        at = np.searchsorted(keys, mine)
-        length = ends[at] - borders[at]
-        by_length = np.argsort(length, kind="stable")
-        n_long = min(t - 1, int(t / (0.01 * np.log2(max(2, int(length.max()))) + 1)))
-        short, long_ = by_length[: m - n_long], by_length[m - n_long :]
-        lists = [x for x in (owner[borders[k] : ends[k]] for k in at[short]) if len(x) > 1]
-        if not lists:
-            continue
-        other, seen = _merge(lists, n)
-        good = (other < q) & (other >= low) & (seen >= t - n_long)
-        other, seen = other[good], seen[good]
-        fits = (side[other] != side[q]) | (side[other] == 2) | (side[q] == 2)
-        other, seen = other[fits], seen[fits]
-        # The likeliest first, as a link spares all others of its component.
-        go = np.argsort(-seen, kind="stable")
-        other, seen = other[go], seen[go]
-        probes = np.sort(mine[long_])
-        while len(other):
+    first = np.full(len(length), -1, np.int64)  # an earlier member of each list
+    last = np.full(len(length), -1, np.int64)  # and the latest one
+    mixed = np.zeros(len(length), bool)  # whether the earlier members were in several components
+    low = np.searchsorted(size_of, -((-percent * size_of) // 100))
+
+    def meets(a: int, b: int) -> bool:
+        return side[a] != side[b] or side[a] == 2
+
+    def linked(q: int, c: int, overlap: int) -> bool:
+        return 100 * overlap >= percent * (size_of[q] + size_of[c] - overlap)
+
+    for q in range(n):
+        at = owner_of[starts[q] : starts[q + 1]]
+        if low[q] < q:
+            # The set that most of the lists met last is the likeliest link.
+            near = last[at]
+            near = near[near >= low[q]]
+            if len(near):
+                c = int(np.bincount(near - low[q]).argmax() + low[q]) if q - low[q] < 4 * len(near) else int(near[len(near) // 2])
+                if union.of[c] != union.of[q] and meets(q, c) and linked(q, c, _overlap(ordered[q], ordered[c])):
+                    union.join(c, q)
+            _ask(q, at, int(low[q]), ordered, size_of, owner, borders, length, union, side, first, mixed, percent)
+        held = first[at]
+        apart = (held >= 0) & (union.of[held] != union.of[q])
+        mixed[at[apart]] = True
+        first[at[held < 0]] = q
+        last[at] = q
+    return union.of[place]
+
+
+def _ask(q, at, low, ordered, size_of, owner, borders, length, union, side, first, mixed, percent) -> None:
+    """One T-occurrence query of ``search``: links set q to all earlier components that it reaches."""
+    mine, m = ordered[q], int(size_of[q])
+    t = -((-percent * m) // 100)  # the least overlap with any set of an allowed size up to m
+    by_length = np.argsort(length[at], kind="stable")
+    n_long = min(t - 1, int(t / (0.01 * np.log2(max(2, int(length[at].max()))) + 1)))
+    short, long_ = by_length[: m - n_long], by_length[m - n_long :]
+    k = at[short]
+    k = k[(length[k] > 1) & (first[k] >= 0) & (mixed[k] | (union.of[first[k]] != union.of[q]))]
+    if not len(k):
+        return
+    other, seen = _merge([owner[borders[x] : borders[x + 1]] for x in k.tolist()])
+    good = (other < q) & (other >= low) & (seen >= t - n_long)
+    other, seen = other[good], seen[good]
+    good = ((side[other] != side[q]) | (side[other] == 2)) & (union.of[other] != union.of[q])
+    other, seen = other[good], seen[good]
+    # The likeliest first, as a link spares all others of its component.
+    go = np.argsort(-seen, kind="stable")
+    other, seen = other[go], seen[go]
+    probes = np.sort(mine[long_])
+    while len(other):
+        c = int(other[0])
+        # Members outside the component of q are in no list that was left out, so the count is whole.
+        overlap = int(seen[0]) + _overlap(probes, ordered[c])
+        if 100 * overlap >= percent * (m + len(ordered[c]) - overlap):
+            union.join(c, q)
             away = union.of[other] != union.of[q]
             other, seen = other[away], seen[away]
-            if not len(other):
-                break
-            c = int(other[0])
-            theirs = ordered[c]
-            hit = np.minimum(np.searchsorted(theirs, probes), len(theirs) - 1)
-            overlap = int(seen[0]) + int((theirs[hit] == probes).sum())
-            if 100 * overlap >= percent * (m + len(theirs) - overlap):
-                union.join(c, q)
+        else:
             other, seen = other[1:], seen[1:]
-    return union.of[place]
 
 
 def _search_blocks(size: int, percent: int):
