@@ -302,13 +302,11 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Network:
     # Three times the rows wanted, as labels may lack their documents.
     sample = known.where("_toxic = 1").orderBy(order, "_doc").limit(3 * rows)
     sample = sample.union(known.where("_toxic = 0").orderBy(order, "_doc").limit(3 * rows))
-    found = (
-        docs.select("doc_id", "text")
-        .where("text IS NOT NULL")
-        .join(F.broadcast(sample), F.col("doc_id") == F.col("_doc"))
-        .select("_toxic", order.alias("_o"), "_doc", spread(F.col("text")).alias("text"))
-        .distinct()
-    )
+    sample = docs.select("doc_id").join(F.broadcast(sample), F.col("doc_id") == F.col("_doc")).select("_toxic", order.alias("_o"), "_doc").distinct()
+    chosen = [sample.where(F.col("_toxic") == k).orderBy("_o", "_doc").limit(rows) for k in (0, 1)]
+    # Texts move only now, those of the chosen ids.
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen[0].union(chosen[1])), F.col("doc_id") == F.col("_doc"))
+    found = found.select("_toxic", "_o", "_doc", spread(F.coalesce("text", F.lit(""))).alias("text")).distinct()
     got = [found.where(F.col("_toxic") == k).orderBy("_o", "_doc", "text").limit(rows) for k in (0, 1)]
     all_ = sorted(got[0].union(got[1]).collect(), key=lambda r: (r["_o"], r["_doc"], r["text"]))
     return train([r["text"] for r in all_], [r["_toxic"] for r in all_])
