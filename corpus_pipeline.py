@@ -6,6 +6,8 @@ costs a part of one stage at most.
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,6 +79,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     work = Scratch(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        out = work.keep(stage(spark, docs, sf_dir)) if name != STAGES[-1][0] else stage(spark, docs, sf_dir)
-        docs = out
+        docs = work.keep(stage(spark, docs, sf_dir)) if name != STAGES[-1][0] else stage(spark, docs, sf_dir)
+        # Shuffle files of a stage go once its frames are collected, not with the last stage.
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
     return docs
