@@ -47,10 +47,16 @@ def a1_a3_mode(total: Column, parts: Column) -> Column:
     )
 
 
+def first_value() -> Column:
+    """The first value of a slot that has several: the surest, then the earliest in the document, then the smallest."""
+    order = F.struct(-F.coalesce("confidence", F.lit(1.0)), F.coalesce("source_page", F.lit(1 << 30)), F.col("value"))
+    return F.min_by("value", F.when(F.col("value").isNotNull(), order))
+
+
 def pivot_modules(facts: DataFrame, modules: list[str] | None = None) -> DataFrame:
     """Values of plain slots side by side, first not null; the list of modules is fixed, so the plan is too."""
     own = facts.where("scenario = ''")
-    return own.groupBy("epd_uid", "indicator").pivot("module", modules or D.MODULES + ["A1-A3"]).agg(F.first("value", ignorenulls=True))
+    return own.groupBy("epd_uid", "indicator").pivot("module", modules or D.MODULES + ["A1-A3"]).agg(first_value())
 
 
 def stages(facts: DataFrame, indicator: str = "GWP-total") -> DataFrame:
@@ -113,5 +119,5 @@ def module_frame(declared: DataFrame, facts: DataFrame, indicator: str = "GWP-to
     scope = {**{m: D.MODULE_SCOPE["A1-A3"] for m in ("A1", "A2", "A3")}, **D.MODULE_SCOPE}
     spine = spark.createDataFrame([(k, m, scope.get(m)) for k, m in enumerate(["A1-A3", *D.MODULES])], "ord int, module string, scope string")
     ids = facts.select("epd_uid").distinct()
-    values = facts.where((F.col("indicator") == indicator) & (F.col("scenario") == "")).groupBy("epd_uid", "module").agg(F.first("value", ignorenulls=True).alias("value"))
+    values = facts.where((F.col("indicator") == indicator) & (F.col("scenario") == "")).groupBy("epd_uid", "module").agg(first_value().alias("value"))
     return ids.crossJoin(F.broadcast(spine)).join(declared, ["epd_uid", "module"], "left").join(values, ["epd_uid", "module"], "left")

@@ -12,19 +12,21 @@ from ..dims import tables as D
 from ..functions.domain import data_specificity, electricity_mix, match_operators, profile_family, standard_profile, waste_context
 
 from ..functions.units import unit_key
-from .results import pivot_modules, product_stage
+from .results import first_value, pivot_modules, product_stage
 
 REPEATS_IN_FULL_TEXT = 5
+#: Characters of the text that operators are looked for in, and of the classifier's fields.
+HEAD, COVER, BODY = 6000, 3000, 60_000
 
 
 def _escape(word: str) -> str:
     return re.sub(r"([.^$*+?{}\[\]\\|()/])", r"\\\1", word)
 
 
-def _rules() -> list[tuple]:
+def _rules(categories: list[tuple] | None = None) -> list[tuple]:
     """ord, category, parent, kind, pattern, weight, word of every keyword, pattern and hint."""
     out = []
-    for k, (cat, parent, strong, weak, patterns, hints) in enumerate(D.CATEGORIES):
+    for k, (cat, parent, strong, weak, patterns, hints) in enumerate(categories or D.CATEGORIES):
         for kind, words in (("strong", strong), ("weak", weak)):
             for w in dict.fromkeys(x.lower() for x in words):
                 out.append((k, cat, parent, kind, rf"(?Ui)(?<![\w-]){_escape(w)}(?!\w)", D.KEYWORD_WEIGHTS[kind], w))
@@ -42,21 +44,24 @@ def category_fields(records: DataFrame) -> DataFrame:
         "pcr": F.col("metadata.pcr"),
         "product_category": F.col("metadata.product_category"),
         "product_description": F.col("metadata.product_description"),
-        "cover_text": F.left(F.col("full_text"), F.lit(3000)),
-        "full_text": F.col("full_text"),
+        # The first page, where form feeds part pages.
+        "cover_text": F.left(F.split_part(F.col("full_text"), F.lit("\f"), F.lit(1)), F.lit(COVER)),
+        "full_text": F.left(F.col("full_text"), F.lit(BODY)),
     }
     fields = F.array(*[F.struct(F.lit(k).alias("field"), F.lit(w).alias("weight"), text[k].alias("text")) for k, w in D.FIELD_WEIGHTS.items()])
     return records.select("epd_uid", F.inline(fields)).where(F.length("text") > 0)
 
 
-def category_scores(fields: DataFrame) -> DataFrame:
+def category_scores(fields: DataFrame, categories: list[tuple] | None = None) -> DataFrame:
     """epd_uid, category, score. A word inside a longer hit of another category does not count.
 
+    categories: (id, parent, strong words, weak words, patterns, hints); the default is the engine's own.
+
     Rules are a fixed list of a few hundred; each text is matched against them in place, so the
     join has no shuffle. A word counts once in a field, five times in the full text.
     """
     spark = fields.sparkSession
-    rules = F.broadcast(spark.createDataFrame(_rules(), "ord int, category string, parent string, kind string, pattern string, w double, word string"))
+    rules = F.broadcast(spark.createDataFrame(_rules(categories), "ord int, category string, parent string, kind string, pattern string, w double, word string"))
     low = fields.withColumn("_low", F.lower("text"))
     near = (F.col("kind") == "pattern") | F.contains(F.col("_low"), F.lower("word"))
     pairs = low.join(rules, near & ((F.col("kind") != "pcr_hint") | (F.col("field") == "pcr")))
@@ -83,9 +88,9 @@ def category_scores(fields: DataFrame) -> DataFrame:
     return words.unionByName(hints).groupBy("epd_uid", "category", "ord", "parent").agg(F.sum("points").alias("score"))
 
 
-def classify(records: DataFrame, least: float = 3.0) -> DataFrame:
+def classify(records: DataFrame, least: float = 3.0, categories: list[tuple] | None = None) -> DataFrame:
     """epd_uid, category, confidence and three alternatives; a child with half its parent's score takes its place."""
-    scores = category_scores(category_fields(records))
+    scores = category_scores(category_fields(records), categories)
     w = Window.partitionBy("epd_uid").orderBy(F.desc("score"), "ord")
     ranked = scores.withColumn("_rank", F.row_number().over(w))
     per = ranked.groupBy("epd_uid").agg(F.array_sort(F.collect_list(F.struct("_rank", "category", "parent", "score"))).alias("_r"))
@@ -142,7 +147,7 @@ def worst(statuses: Column) -> Column:
 def step1(records: DataFrame, facts: DataFrame) -> DataFrame:
     """epd_uid with the status of all twelve parameters, their worst, counts, and whether the mandatory three hold."""
     m = match_operators(
-        records.select("*", F.col("metadata.programme_operator").alias("operator"), F.col("metadata.registration_number").alias("registration"), F.left("full_text", F.lit(4000)).alias("head"))
+        records.select("*", F.col("metadata.programme_operator").alias("operator"), F.col("metadata.registration_number").alias("registration"), F.left("full_text", F.lit(HEAD)).alias("head"))
     )
     family = profile_family(F.coalesce("metadata.standard_profile", standard_profile(F.col("full_text"))))
     groups = group_status(indicator_matrix(facts, m.select("epd_uid", family.alias("family"))))
@@ -192,7 +197,7 @@ def sum_check(facts: DataFrame, tolerance: float = 0.05) -> DataFrame:
 def component_check(facts: DataFrame) -> DataFrame:
     """Modules in which fossil, biogenic and land-use parts do not sum to the total within 5 % or 0.05."""
     parts = ["GWP-total", "GWP-fossil", "GWP-biogenic", "GWP-luluc"]
-    p = facts.where((F.col("scenario") == "") & F.col("indicator").isin(parts)).groupBy("epd_uid", "module").pivot("indicator", parts).agg(F.first("value", ignorenulls=True))
+    p = facts.where((F.col("scenario") == "") & F.col("indicator").isin(parts)).groupBy("epd_uid", "module").pivot("indicator", parts).agg(first_value())
     off = F.abs(F.col("GWP-fossil") + F.col("GWP-biogenic") + F.col("GWP-luluc") - F.col("GWP-total"))
     return p.where(off > F.greatest(0.05 * F.abs(F.col("GWP-total")), F.lit(0.05))).select("epd_uid", "module", off.alias("difference"))
 

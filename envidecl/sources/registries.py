@@ -98,3 +98,20 @@ def property_table(lines: DataFrame) -> DataFrame:
 def missing_fields(fields: DataFrame, table: DataFrame) -> DataFrame:
     """Paths that are wanted and not in the field table; flow dataset paths are exempt. Any row fails a build."""
     return fields.where(~F.startswith("path", F.lit("flowDataSet/"))).join(table.select("path"), "path", "left_anti")
+
+
+def read_categories(spark: SparkSession, path: str, section: str = "material_categories") -> list[tuple]:
+    """Categories of a JSON dictionary, as ``rules.classify`` takes them: a bounded table of rules, not of data.
+
+    The section is a list of objects with id, parent, strong, weak, patterns and pcr_hints.
+    """
+    item = "struct<id:string,parent:string,strong:array<string>,weak:array<string>,patterns:array<string>,pcr_hints:array<string>>"
+    text = spark.read.option("wholetext", "true").text(path)
+    found = text.select(F.explode(F.from_json(F.get_json_object("value", f"$.{section}"), f"array<{item}>")).alias("c")).select("c.*")
+    return [(r["id"], r["parent"], *(list(r[k] or []) for k in ("strong", "weak", "patterns", "pcr_hints"))) for r in found.collect()]
+
+
+def read_section(spark: SparkSession, path: str, section: str, schema: str) -> DataFrame:
+    """Rows of any other list of a JSON dictionary, in its order."""
+    text = spark.read.option("wholetext", "true").text(path)
+    return text.select(F.posexplode(F.from_json(F.get_json_object("value", f"$.{section}"), f"array<struct<{schema}>>")).alias("ord", "c")).select("ord", "c.*")
