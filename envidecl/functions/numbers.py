@@ -38,8 +38,12 @@ def same_number(a: Column, b: Column) -> Column:
 
 
 def number_text(value: Column) -> Column:
-    """Four significant digits; null is empty."""
-    return F.coalesce(F.format_string("%.4g", value), F.lit(""))
+    """Four significant digits without zeros at the end, powers of ten from 1e4 and below 1e-4; null is empty."""
+    digits = F.format_string("%.3e", value)
+    power = F.regexp_extract(digits, r"e([+-]\d+)$", 1).cast("int")
+    plain = F.regexp_replace(digits.cast("decimal(30,10)").cast("string"), r"\.?0+$", "")
+    far = F.regexp_replace(digits, r"\.?0*e", "e")
+    return F.coalesce(F.when(value == 0, "0").when(power.between(-4, 3), plain).otherwise(far), F.lit(""))
 
 
 def page_count(total: Column, size: int) -> Column:

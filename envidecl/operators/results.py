@@ -15,7 +15,7 @@ def flatten(records: DataFrame) -> DataFrame:
     """One row per indicator, module and scenario: plain modules first, then scenarios not seen yet."""
     each = records.select("epd_uid", F.explode("results").alias("indicator", "_i"))
     plain = F.transform(
-        F.map_entries("_i.modules"), lambda e: F.struct(e["key"].alias("module"), F.coalesce(e["value"]["scenario"], F.lit("")).alias("scenario"), e["value"].alias("v"))
+        F.coalesce(F.map_entries("_i.modules"), F.array()), lambda e: F.struct(e["key"].alias("module"), F.coalesce(e["value"]["scenario"], F.lit("")).alias("scenario"), e["value"].alias("v"))
     )
     by_scenario = F.flatten(
         F.transform(
@@ -24,7 +24,7 @@ def flatten(records: DataFrame) -> DataFrame:
         )
     )
     fresh = F.filter(by_scenario, lambda s: ~F.exists(plain, lambda p: (p["module"] == s["module"]) & (p["scenario"] == s["scenario"])))
-    rows = each.select("epd_uid", "indicator", F.col("_i.canonical_unit").alias("unit"), F.inline(F.concat(F.coalesce(plain, F.array()), F.coalesce(fresh, F.array()))))
+    rows = each.select("epd_uid", "indicator", F.col("_i.canonical_unit").alias("unit"), F.inline(F.concat(plain, fresh)))
     value = {c: F.col(f"v.{c}") for c in ("value", "status", "raw_value", "raw_unit", "source_page", "source_table", "confidence", "extraction_method", "provenance")}
     return rows.select("epd_uid", "indicator", "module", "scenario", *[v.alias(k) for k, v in value.items()], "unit", F.coalesce("v.human_edited", F.lit(False)).alias("human_edited")).select(RESULT_COLUMNS)
 

@@ -32,10 +32,6 @@ def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _among(words: list[str]):
-    return lambda w: w.isin(*words)
-
-
 def _found(spark: SparkSession, d: str) -> DataFrame:
     parts = t(spark, d, "part").select(
         "p_partkey", "p_name", "p_type", "p_retailprice", F.lower(F.concat_ws(" ", "p_name", "p_type")).alias("search_text"), F.lit(0).alias("archived")
@@ -56,18 +52,6 @@ def search_total(spark: SparkSession, d: str) -> DataFrame:
     return _found(spark, d).agg(F.count("*").alias("total"))
 
 
-@register(f"SELECT o_orderkey, nullif(o_orderstatus, 'P') AS kind FROM orders WHERE nullif(o_orderstatus, 'P') IS NULL OR o_orderdate >= DATE '{AS_OF}'")
-def valid_filter(spark: SparkSession, d: str) -> DataFrame:
-    rows = t(spark, d, "orders").select("o_orderkey", F.nullif("o_orderstatus", F.lit("P")).alias("kind"), "o_orderdate")
-    return rows.where(F.col("kind").isNull() | (F.col("o_orderdate") >= F.lit(AS_OF).cast("date"))).select("o_orderkey", "kind")
-
-
-@register("SELECT l_orderkey, l_linenumber, l_returnflag, l_linestatus FROM lineitem WHERE l_returnflag IN ('A', 'R') AND l_linestatus IN ('F')")
-def results_in_lists(spark: SparkSession, d: str) -> DataFrame:
-    rows = t(spark, d, "lineitem")
-    return rows.where(F.col("l_returnflag").isin("A", "R") & F.col("l_linestatus").isin("F")).select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus")
-
-
 @register("SELECT c_mktsegment, count(*) AS n FROM customer WHERE c_mktsegment IS NOT NULL GROUP BY 1")
 def facet_category(spark: SparkSession, d: str) -> DataFrame:
     return search.facet(t(spark, d, "customer"), "c_mktsegment")
@@ -81,39 +65,6 @@ def facet_all(spark: SparkSession, d: str) -> DataFrame:
     return search.facets(t(spark, d, "orders"), "o_orderstatus", "o_orderpriority")
 
 
-@register(
-    "SELECT count(*) AS total, count(*) FILTER (o_orderstatus = 'O') AS active, "
-    f"count(*) FILTER (o_orderstatus = 'O' AND o_orderdate >= DATE '{AS_OF}') AS valid, count(*) FILTER (o_totalprice > 200000) AS large FROM orders"
-)
-def index_stats(spark: SparkSession, d: str) -> DataFrame:
-    active = F.col("o_orderstatus") == "O"
-    return t(spark, d, "orders").agg(
-        F.count("*").alias("total"),
-        F.count_if(active).alias("active"),
-        F.count_if(active & (F.col("o_orderdate") >= F.lit(AS_OF).cast("date"))).alias("valid"),
-        F.count_if(F.col("o_totalprice") > 200000).alias("large"),
-    )
-
-
-@register(
-    "SELECT l_orderkey, l_linenumber, 'quantity' AS measure, l_quantity AS value FROM lineitem UNION ALL "
-    "SELECT l_orderkey, l_linenumber, 'discount', l_discount FROM lineitem UNION ALL SELECT l_orderkey, l_linenumber, 'tax', l_tax FROM lineitem"
-)
-def long_flatten(spark: SparkSession, d: str) -> DataFrame:
-    rows = t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("quantity"), F.col("l_discount").alias("discount"), F.col("l_tax").alias("tax"))
-    return rows.unpivot(["l_orderkey", "l_linenumber"], ["quantity", "discount", "tax"], "measure", "value")
-
-
-@register(
-    "SELECT c_mktsegment, arg_min(o_totalprice, o_orderkey) FILTER (o_orderstatus = 'F') AS f, arg_min(o_totalprice, o_orderkey) FILTER (o_orderstatus = 'O') AS o, "
-    "arg_min(o_totalprice, o_orderkey) FILTER (o_orderstatus = 'P') AS p FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1"
-)
-def compare_pivot(spark: SparkSession, d: str) -> DataFrame:
-    rows = t(spark, d, "orders").join(t(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    out = rows.groupBy("c_mktsegment").pivot("o_orderstatus", ["F", "O", "P"]).agg(F.min_by("o_totalprice", "o_orderkey"))
-    return out.toDF("c_mktsegment", "f", "o", "p")
-
-
 @register(
     "WITH x AS (SELECT l_orderkey, l_linenumber, nullif(l_quantity, 10) AS total, nullif(l_tax, 0.0) AS a, nullif(l_discount, 0.0) AS b, l_quantity AS c FROM lineitem) "
     "SELECT l_orderkey, l_linenumber, coalesce(total, a + b + c) AS value, CASE WHEN total IS NOT NULL THEN 'reported' WHEN a + b + c IS NOT NULL THEN 'calculated_from_split' END AS provenance FROM x"
@@ -161,64 +112,11 @@ def worst_status(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "orders").groupBy("o_custkey").agg(rules.worst(F.collect_set(status)).alias("worst"), F.count("*").alias("n"))
 
 
-@register(
-    "WITH s AS (SELECT l_orderkey, sum(CAST(l_extendedprice AS DECIMAL(18,2)))::DOUBLE AS lines FROM lineitem GROUP BY 1) "
-    "SELECT abs(lines - o_totalprice) > greatest(0.05 * abs(o_totalprice), 1e-9) AS off, count(*) AS n FROM orders JOIN s ON o_orderkey = l_orderkey GROUP BY 1"
-)
-def qa_sum_check(spark: SparkSession, d: str) -> DataFrame:
-    s = t(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("double").alias("lines"))
-    off = F.abs(F.col("lines") - F.col("o_totalprice")) > F.greatest(0.05 * F.abs("o_totalprice"), F.lit(1e-9))
-    return t(spark, d, "orders").join(s, F.col("o_orderkey") == F.col("l_orderkey")).groupBy(off.alias("off")).agg(F.count("*").alias("n"))
-
-
-@register(
-    "SELECT l_suppkey, abs(sum(l_quantity) FILTER (l_returnflag = 'A') + sum(l_quantity) FILTER (l_returnflag = 'N') + sum(l_quantity) FILTER (l_returnflag = 'R') - sum(l_quantity)) > 0.05 AS off, "
-    "sum(l_quantity) AS total FROM lineitem GROUP BY 1"
-)
-def qa_component_check(spark: SparkSession, d: str) -> DataFrame:
-    p = t(spark, d, "lineitem").groupBy("l_suppkey").pivot("l_returnflag", ["A", "N", "R"]).agg(F.sum("l_quantity"))
-    total = F.coalesce("A", F.lit(0.0)) + F.coalesce("N", F.lit(0.0)) + F.coalesce("R", F.lit(0.0))
-    return p.select("l_suppkey", (F.abs(F.col("A") + F.col("N") + F.col("R") - total) > 0.05).alias("off"), total.alias("total"))
-
-
 @register("SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1")
 def latest_version(spark: SparkSession, d: str) -> DataFrame:
     return store.latest(t(spark, d, "events"), ["user_id", "event_type"], [F.desc("ts"), F.desc("event_id")]).select("user_id", "event_type", "event_id", "value")
 
 
-@register("SELECT event_id, user_id, lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS previous_id FROM events")
-def version_lag(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return t(spark, d, "events").select("event_id", "user_id", F.lag("event_id").over(w).alias("previous_id"))
-
-
-@register("SELECT n_name, count(c_custkey) AS n, count(*) FILTER (c_acctbal < 0) AS negative FROM nation LEFT JOIN customer ON n_nationkey = c_nationkey GROUP BY 1")
-def left_join_spine(spark: SparkSession, d: str) -> DataFrame:
-    rows = t(spark, d, "nation").join(t(spark, d, "customer"), F.col("n_nationkey") == F.col("c_nationkey"), "left")
-    return rows.groupBy("n_name").agg(F.count("c_custkey").alias("n"), F.count_if(F.col("c_acctbal") < 0).alias("negative"))
-
-
-@register("SELECT doc_id, lang FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
-def registry_anti(spark: SparkSession, d: str) -> DataFrame:
-    return t(spark, d, "documents").select("doc_id", "lang").join(t(spark, d, "labels").select("doc_id"), "doc_id", "left_anti")
-
-
-@register("SELECT doc_id, lang FROM documents d WHERE EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
-def semi_retain(spark: SparkSession, d: str) -> DataFrame:
-    return t(spark, d, "documents").select("doc_id", "lang").join(t(spark, d, "labels").select("doc_id"), "doc_id", "left_semi")
-
-
-@register(
-    "WITH a AS (SELECT o_orderkey AS k, nullif(o_totalprice, round(o_totalprice)) AS v FROM orders WHERE o_orderstatus IN ('F', 'P')), b AS (SELECT o_orderkey AS k, -o_totalprice AS v FROM orders WHERE o_totalprice > 150000) "
-    "SELECT coalesce(a.k, b.k) AS k, CASE WHEN a.k IS NOT NULL THEN a.v ELSE b.v END AS v FROM a FULL JOIN b ON a.k = b.k"
-)
-def outer_merge(spark: SparkSession, d: str) -> DataFrame:
-    orders = t(spark, d, "orders")
-    a = orders.where(F.col("o_orderstatus").isin("F", "P")).select(F.col("o_orderkey").alias("k"), F.nullif("o_totalprice", F.round("o_totalprice")).alias("v"), F.lit(True).alias("own"))
-    b = orders.where("o_totalprice > 150000").select(F.col("o_orderkey").alias("k"), (-F.col("o_totalprice")).alias("w"))
-    return a.join(b, "k", "full_outer").select("k", F.when(F.col("own"), F.col("v")).otherwise(F.col("w")).alias("v"))
-
-
 _LABELS = [(0, "red bolt"), (1, "bolt"), (2, "red"), (3, "gear"), (4, "small widget")]
 
 
@@ -235,62 +133,6 @@ def label_match(spark: SparkSession, d: str) -> DataFrame:
     return best.select("label", "b.cand", "b.score")
 
 
-_MAKERS = [(0, "alpha", "medium", "^brand#1"), (1, "beta", "promo", "^brand#2"), (2, "gamma", "economy", "^brand#5")]
-
-
-@register(
-    "WITH m(ord, maker, alias, pattern) AS (VALUES " + ", ".join(f"({k}, '{n}', '{a}', '{p}')" for k, n, a, p in _MAKERS) + "), "
-    "s AS (SELECT p_partkey, maker, ord, CASE WHEN contains(lower(p_type), alias) THEN 0.97 WHEN regexp_matches(lower(p_brand), pattern) THEN 0.9 ELSE 0 END::DOUBLE AS score FROM part, m), "
-    "b AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY score DESC, ord) AS r FROM s WHERE score > 0) SELECT p_partkey, maker, score FROM b WHERE r = 1"
-)
-def operator_match(spark: SparkSession, d: str) -> DataFrame:
-    hits = [
-        F.struct(
-            F.when(F.contains(F.lower("p_type"), F.lit(a)), 0.97).when(F.lower("p_brand").rlike(p), 0.9).otherwise(0.0).alias("score"), F.lit(-k).alias("ord"), F.lit(n).alias("maker")
-        )
-        for k, n, a, p in _MAKERS
-    ]
-    best = t(spark, d, "part").select("p_partkey", F.array_max(F.array(*hits)).alias("b"))
-    return best.where("b.score > 0").select("p_partkey", "b.maker", "b.score")
-
-
-_WORDS = [("metal", "ring", 3.0), ("metal", "bolt", 1.0), ("colour", "red", 1.0), ("colour", "blue", 1.0), ("colour", "green", 1.0), ("finish", "promo", 3.0), ("finish", "economy", 2.5), ("part", "gear", 1.0), ("part", "widget", 1.0)]
-
-
-@register(
-    "WITH w(category, word, points) AS (VALUES " + ", ".join(f"('{c}', '{w}', {p})" for c, w, p in _WORDS) + "), "
-    "f AS (SELECT p_partkey, lower(p_name) AS txt, 5.0 AS weight FROM part UNION ALL SELECT p_partkey, lower(p_type), 1.0 FROM part), "
-    "s AS (SELECT p_partkey, category, sum(points * weight)::DOUBLE AS score FROM f, w WHERE regexp_matches(txt, '(^|[^a-z])' || word || '($|[^a-z])') GROUP BY 1, 2), "
-    "b AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY score DESC, category) AS r FROM s) SELECT p_partkey, category, score FROM b WHERE r = 1"
-)
-def category_score(spark: SparkSession, d: str) -> DataFrame:
-    words = F.broadcast(spark.createDataFrame(_WORDS, "category string, word string, points double"))
-    part = t(spark, d, "part")
-    fields = F.array(F.struct(F.lower("p_name").alias("txt"), F.lit(5.0).alias("weight")), F.struct(F.lower("p_type").alias("txt"), F.lit(1.0).alias("weight")))
-    hit = F.regexp_like(F.col("txt"), F.concat(F.lit("(^|[^a-z])"), F.col("word"), F.lit("($|[^a-z])")))
-    scores = part.select("p_partkey", F.inline(fields)).join(words, hit).groupBy("p_partkey", "category").agg(F.sum(F.col("points") * F.col("weight")).alias("score"))
-    return store.latest(scores, ["p_partkey"], [F.desc("score"), F.asc("category")])
-
-
-_STOPS = {"en": ["the", "and", "of", "is"], "fr": ["le", "la", "les", "et"], "de": ["und", "der", "die", "das"], "es": ["el", "los", "que", "de"]}
-
-
-@register(
-    "WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-zæøåäöüé]+') AS ws FROM documents), c AS (SELECT doc_id, "
-    + ", ".join(f"len(list_filter(ws, lambda x: x IN ({', '.join(repr(s) for s in stop)})))::INT AS n_{k}" for k, stop in _STOPS.items())
-    + " FROM w) SELECT doc_id, n_en, n_fr, n_de, n_es, CASE WHEN greatest(n_en, n_fr, n_de, n_es) < 5 THEN NULL WHEN n_en >= greatest(n_fr, n_de, n_es) THEN 'en' "
-    "WHEN n_fr >= greatest(n_de, n_es) THEN 'fr' WHEN n_de >= n_es THEN 'de' ELSE 'es' END AS vote FROM c"
-)
-def language_vote(spark: SparkSession, d: str) -> DataFrame:
-    words = t(spark, d, "documents").select("doc_id", F.regexp_extract_all(F.lower("text"), F.lit("[a-zæøåäöüé]+"), 0).alias("ws"))
-    counts = words.select("doc_id", *[F.size(F.filter("ws", _among(stop))).alias(f"n_{k}") for k, stop in _STOPS.items()])
-    most = F.greatest(*[F.col(f"n_{k}") for k in _STOPS])
-    vote = F.lit(None).cast("string")
-    for k in reversed(_STOPS):
-        vote = F.when(F.col(f"n_{k}") == most, k).otherwise(vote)
-    return counts.withColumn("vote", F.when(most >= 5, vote))
-
-
 @register(
     "SELECT doc_id, trim(regexp_replace(lower(translate(text, '–—−‐‑₂₃₄²³⁺⁻“”„’‘', '-----23423+-\"\"\"''''')), '\\s+', ' ', 'g')) AS normal FROM documents"
 )
@@ -340,12 +182,6 @@ def slug_uid(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "customer").select("c_custkey", text.slug(F.col("c_name")).alias("slug"), text.record_uid(none, none, none, F.col("c_name")).alias("uid"))
 
 
-@register("SELECT sha256(text) AS digest, count(*) AS n, min(doc_id) AS first_doc FROM documents GROUP BY text HAVING count(*) > 1")
-def content_hash_distinct(spark: SparkSession, d: str) -> DataFrame:
-    rows = t(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("digest"))
-    return rows.groupBy("digest").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc")).where("n > 1")
-
-
 @register("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
 def json_props(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").try_cast("bigint").alias("k"))
@@ -391,39 +227,9 @@ def session_segments(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("event_id", "user_id", F.sum("fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("segment"))
 
 
-@register(
-    "WITH b AS (SELECT o_orderkey AS k, md5(o_orderstatus) AS h FROM orders WHERE o_orderkey % 3 <> 0), n AS (SELECT o_orderkey AS k, md5(CASE WHEN o_orderkey % 2 = 0 THEN 'X' ELSE o_orderstatus END) AS h FROM orders WHERE o_orderkey % 5 <> 0) "
-    "SELECT coalesce(n.k, b.k) AS k, CASE WHEN n.k IS NULL THEN 'kept' WHEN b.h IS NULL THEN 'created' WHEN b.h = n.h THEN 'unchanged' ELSE 'updated' END AS status FROM b FULL JOIN n ON b.k = n.k"
-)
-def upsert_merge(spark: SparkSession, d: str) -> DataFrame:
-    orders = t(spark, d, "orders")
-    b = orders.where("o_orderkey % 3 <> 0").select(F.col("o_orderkey").alias("k"), F.md5("o_orderstatus").alias("old"))
-    n = orders.where("o_orderkey % 5 <> 0").select(F.col("o_orderkey").alias("k"), F.md5(F.when(F.col("o_orderkey") % 2 == 0, "X").otherwise(F.col("o_orderstatus"))).alias("new"))
-    both = b.join(n, "k", "full_outer")
-    return both.select("k", F.when(F.col("new").isNull(), "kept").otherwise(store.upsert_status(F.col("old"), F.col("new"))).alias("status"))
-
-
 @register("SELECT p_partkey, p_size::DOUBLE AS quantity, 'kg' AS unit, 'mass' AS dimension FROM part")
 def declared_unit_parse(spark: SparkSession, d: str) -> DataFrame:
     rows = t(spark, d, "part").select("p_partkey", units.parse_declared_unit(F.concat(F.col("p_size"), F.lit(" kg"))).alias("u"))
     return rows.select("p_partkey", "u.quantity", "u.unit", "u.dimension")
 
 
-_MIX = {"first": ["license", "stupid"], "second": ["the", "der"], "third": ["que", "une"]}
-
-
-def _least_place(terms: list[str]) -> str:
-    return "list_sort(list_filter([" + ", ".join(f"{{'at': strpos(lower(text), '{x}'), 'ord': {k}, 'term': '{x}'}}" for k, x in enumerate(terms)) + "], lambda h: h.at > 0))[1].term"
-
-
-@register(
-    "WITH x AS (SELECT doc_id, " + ", ".join(f"{_least_place(v)} AS t{k}" for k, v in enumerate(_MIX.values())) + " FROM documents) "
-    "SELECT doc_id, CASE WHEN t0 IS NOT NULL THEN 'first' WHEN t1 IS NOT NULL THEN 'second' WHEN t2 IS NOT NULL THEN 'third' END AS kind, coalesce(t0, t1, t2) AS term FROM x"
-)
-def electricity_class(spark: SparkSession, d: str) -> DataFrame:
-    low = F.lower("text")
-    hits = {k: text.earliest(low, v) for k, v in _MIX.items()}
-    kind = F.lit(None).cast("string")
-    for k in reversed(hits):
-        kind = F.when(hits[k].isNotNull(), k).otherwise(kind)
-    return t(spark, d, "documents").select("doc_id", kind.alias("kind"), F.coalesce(*[h["term"] for h in hits.values()]).alias("term"))
