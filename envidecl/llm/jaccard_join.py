@@ -48,9 +48,9 @@ from .common import Scratch, bounded_batches
 from .components import components
 
 #: Shingles whose frequency sorts them last; 16 bytes each reach every worker.
-FREQUENT = 500_000
+FREQUENT = 100_000
 #: A shingle counts as frequent only if a window of WINDOW shingles holds it so often.
-LOCAL, WINDOW = 3, 2_000_000
+LOCAL, WINDOW = 4, 2_000_000
 #: Short lists hold a set's n // MERGED shingles more than needed to share one, so that linked sets share more.
 MERGED = 16
 #: Shingles in a block of classes that meet in one task's memory, at some 40 bytes each.
