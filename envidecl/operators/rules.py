@@ -10,9 +10,9 @@ from pyspark.sql.window import Window
 
 from ..dims import tables as D
 from ..functions.domain import data_specificity, electricity_mix, match_operators, profile_family, standard_profile, waste_context
-
-from ..functions.units import unit_key
-from .results import first_value, pivot_modules, product_stage
+from ..functions.dates import parse_date, validity
+from ..functions.units import parse_declared_unit, unit_key
+from .results import first_value, pivot_modules, product_stage, reporting_helper
 
 REPEATS_IN_FULL_TEXT = 5
 #: Characters of the text that operators are looked for in, and of the classifier's fields.
@@ -158,31 +158,95 @@ def step1(records: DataFrame, facts: DataFrame) -> DataFrame:
     )
     stage = pivot_modules(facts.where("indicator IN ('GWP-total', 'GWP')"), ["A1-A3", "A1", "A2", "A3"])
     stage = stage.groupBy("epd_uid").agg(F.bool_or(product_stage(F.col("A1-A3"), F.col("A1"), F.col("A2"), F.col("A3"))["value"].isNotNull()).alias("has_stage"))
+    scoped = [m for m, scope in D.MODULE_SCOPE.items() if scope == "included"]
+    gwp = facts.where("indicator IN ('GWP-total', 'GWP') AND scenario = '' AND value IS NOT NULL")
+    held = facts.groupBy("epd_uid").agg(F.count("*").alias("n_facts")).join(
+        gwp.where(F.col("module").isin(scoped)).groupBy("epd_uid").agg(F.count_distinct("module").cast("int").alias("n_scoped")), "epd_uid", "left"
+    )
     mix = electricity_mix(F.col("full_text"))["type"]
     level = data_specificity(F.col("full_text"), F.col("metadata.ilcd_subtype"), F.col("metadata.manufacturer"))
     waste = waste_context(F.col("full_text"), F.col("metadata.geographical_scope"))
-    verified = F.lower("metadata.verification")
+    verified, iso = F.lower("metadata.verification"), F.coalesce("metadata.iso14025", F.lit(False))
+    from_xml = F.coalesce(F.col("source_format").isin("ilcd_xml", "ilcd_zip"), F.lit(False))
     status = {
         "core_standard": F.when(family == "EN15804_A2", "pass").when(family == "EN15804_A1", "warning").otherwise("missing"),
-        "third_party_verification": F.when(verified == "external", "pass").when(verified == "internal", "fail").otherwise("missing"),
+        "third_party_verification": F.when((verified == "external") & (iso | from_xml), "pass").when(verified == "external", "warning").when(verified == "internal", "fail").when(iso | (F.length("metadata.verifier") > 0), "warning").otherwise("missing"),
         "programme_operator": F.when(F.col("operator_id").isNotNull(), "pass").when(F.length("operator") > 0, "warning").otherwise("missing"),
-        "reference_service_life": F.when(F.col("metadata.reference_service_life_years").isNotNull(), "pass").otherwise("missing"),
+        "reference_service_life": F.when(F.col("metadata.reference_service_life_years") > 0, "pass").when(F.col("metadata.reference_service_life_status") == "not_defined", "warning").otherwise("missing"),
         "unit_conversion_factor": F.when(F.coalesce("metadata.conversion_factor_to_1kg", "metadata.mass_per_declared_unit_kg").isNotNull(), "pass").otherwise("missing"),
-        "life_cycle_modules": F.when(F.coalesce("has_stage", F.lit(False)), "pass").otherwise("fail"),
+        "life_cycle_modules": F.when(F.coalesce("has_stage", F.lit(False)), F.when(F.coalesce("n_scoped", F.lit(0)) == len(scoped), "pass").otherwise("warning")).when(F.col("n_facts") > 0, "fail").otherwise("missing"),
         "environmental_impact_indicators": F.coalesce("impact", F.lit("missing")),
         "resource_waste_indicators": F.coalesce("resource", F.lit("missing")),
         "electricity_mix": F.when(mix == "residual_mix", "pass").when(mix.isNotNull(), "warning").otherwise("missing"),
-        "product_specific_data": F.when(level == "product_specific", "pass").when(level == "unknown", "missing").otherwise("warning"),
+        "product_specific_data": F.when(level.isin("product_specific", "manufacturer_group"), "pass").when(level == "unknown", "missing").otherwise("warning"),
         "waste_treatment_context": F.when(waste == "danish", "pass").when(waste == "other", "warning").otherwise("missing"),
         "co2_reporting_unit": F.lit("info"),
     }
-    out = m.join(summed, "epd_uid", "left").join(stage, "epd_uid", "left").select("epd_uid", *[c.alias(k) for k, c in status.items()])
+    out = m.join(summed, "epd_uid", "left").join(stage, "epd_uid", "left").join(held, "epd_uid", "left").select("epd_uid", *[c.alias(k) for k, c in status.items()])
     all_ = F.array(*map(F.col, status))
     must = [F.col(k).isin("pass", "warning") for k in ("core_standard", "third_party_verification", "life_cycle_modules")]
     counts = [F.size(F.filter(all_, _equal(k))).alias(f"n_{k}") for k in D.STATUS_RANK]
     return out.select("*", worst(all_).alias("worst"), (must[0] & must[1] & must[2]).alias("mandatory_ok"), *counts)
 
 
+#: What a reader is told of each status of each parameter, in the engine's own words.
+TOLD = {
+    "core_standard": {"pass": "prepared by EN 15804+A2", "warning": "EN 15804+A1: accepted in a transition only, results do not compare with +A2", "missing": "no version of EN 15804 found"},
+    "third_party_verification": {"pass": "verified externally", "warning": "verification is not certain to be external by ISO 14025", "fail": "verified internally only", "missing": "no statement of verification found"},
+    "programme_operator": {"pass": "an accepted programme", "warning": "the programme is not on the list", "missing": "no programme operator found"},
+    "reference_service_life": {"pass": "service life declared", "warning": "the declaration defines no service life", "missing": "no service life found"},
+    "unit_conversion_factor": {"pass": "convertible to mass", "missing": "no mass, density or factor found"},
+    "life_cycle_modules": {"pass": "product stage and all included modules have values", "warning": "included modules lack values", "fail": "results without the product stage", "missing": "no results"},
+    "environmental_impact_indicators": {"pass": "all indicators found", "warning": "some indicators lack", "missing": "a group of indicators lacks"},
+    "resource_waste_indicators": {"pass": "all indicators found", "warning": "some indicators lack", "missing": "a group of indicators lacks"},
+    "electricity_mix": {"pass": "modelled with a residual mix", "warning": "modelled with another mix", "missing": "the text does not describe electricity"},
+    "product_specific_data": {"pass": "data of the manufacturer", "warning": "average or generic data", "missing": "the level of the data is not stated"},
+    "waste_treatment_context": {"pass": "end of life in Denmark", "warning": "end of life elsewhere", "missing": "no place of the end of life stated"},
+    "co2_reporting_unit": {"info": "values are per declared unit"},
+}
+
+
+def step1_report(records: DataFrame, facts: DataFrame, checked: DataFrame, as_of: Column | None = None) -> DataFrame:
+    """epd_uid, ord, parameter, requirement, status, value (JSON or null) and message: a row for each parameter, and the validity."""
+    found = match_operators(
+        records.select("*", F.col("metadata.programme_operator").alias("operator"), F.col("metadata.registration_number").alias("registration"), F.left("full_text", F.lit(HEAD)).alias("head"))
+    )
+    md, doc = F.col("metadata"), F.col("full_text")
+    mix, level = electricity_mix(doc), data_specificity(doc, md["ilcd_subtype"], md["manufacturer"])
+    slots = facts.where("indicator IN ('GWP-total', 'GWP') AND scenario = '' AND value IS NOT NULL").groupBy("epd_uid").agg(F.array_sort(F.collect_set("module")).alias("_available"))
+    codes = facts.where("value IS NOT NULL").groupBy("epd_uid").agg(F.array_sort(F.collect_set("indicator")).alias("_present"))
+    stage = pivot_modules(facts.where("indicator IN ('GWP-total', 'GWP')"), ["A1-A3", "A1", "A2", "A3", "A4", "A5", "C3", "C4"])
+    total = product_stage(F.col("A1-A3"), F.col("A1"), F.col("A2"), F.col("A3"))["value"]
+    stage = stage.groupBy("epd_uid").agg(F.min_by(F.struct(total.alias("total"), "A4", "A5", "C3", "C4"), "indicator").alias("_g"))
+    rows = found.join(slots, "epd_uid", "left").join(codes, "epd_uid", "left").join(stage, "epd_uid", "left").join(checked, "epd_uid")
+    g = F.col("_g")
+    helper = reporting_helper(g["total"], g["A4"], g["A5"], g["C3"], g["C4"], md["reference_service_life_years"])
+    end = md["valid_until"].try_cast("date")
+    valid = validity(end, F.current_date() if as_of is None else as_of)
+    js = lambda **kw: F.to_json(F.struct(*[v.alias(k) for k, v in kw.items()]))
+    value = {
+        "core_standard": js(standard=F.coalesce(md["standard"], md["standard_profile"])),
+        "third_party_verification": js(verification_type=md["verification"], verifier=md["verifier"], iso14025=md["iso14025"]),
+        "programme_operator": js(programme_operator=md["programme_operator"], id=F.col("operator_id"), name=F.col("operator_name"), confidence=F.col("operator_confidence")),
+        "reference_service_life": js(years=md["reference_service_life_years"], status=md["reference_service_life_status"]),
+        "unit_conversion_factor": js(declared_unit=md["declared_unit_raw"], mass_per_declared_unit_kg=md["mass_per_declared_unit_kg"], conversion_factor_to_1kg=md["conversion_factor_to_1kg"]),
+        "life_cycle_modules": js(available=F.col("_available")),
+        "environmental_impact_indicators": js(present=F.col("_present")),
+        "resource_waste_indicators": js(present=F.col("_present")),
+        "electricity_mix": js(type=mix["type"], term=mix["term"]),
+        "product_specific_data": js(level=level, ilcd_subtype=md["ilcd_subtype"]),
+        "waste_treatment_context": js(context=waste_context(doc, md["geographical_scope"]), geography=md["geographical_scope"]),
+        "co2_reporting_unit": F.to_json(helper),
+    }
+    told = {k: F.create_map(*[F.lit(x) for p in v.items() for x in p]) for k, v in TOLD.items()}
+    one = lambda k, p, r: F.struct(F.lit(k).alias("ord"), F.lit(p).alias("parameter"), F.lit(r).alias("requirement"), F.col(p).alias("status"), value[p].alias("value"), F.try_element_at(told[p], F.col(p)).alias("message"))
+    last = F.struct(
+        F.lit(len(D.PARAMETERS)).alias("ord"), F.lit("validity").alias("parameter"), F.lit("record").alias("requirement"), F.when(valid["valid_today"], "pass").when(~valid["valid_today"], "warning").otherwise("missing").alias("status"),
+        js(valid_until=end.cast("string"), valid_today=valid["valid_today"], days_remaining=valid["days_remaining"]).alias("value"), F.lit(None).cast("string").alias("message"),
+    )
+    return rows.select("epd_uid", F.inline(F.array(*[one(k, p, r) for k, (p, r) in enumerate(D.PARAMETERS)], last)))
+
+
 def _equal(value: str):
     return lambda s: s == value
 
@@ -240,32 +304,52 @@ def normalized_search_text(*parts: Column) -> Column:
 
 
 def summarize(records: DataFrame, facts: DataFrame, checked: DataFrame, classified: DataFrame) -> DataFrame:
-    """One flat row per declaration for search."""
+    """One flat row per declaration for search, sorting and export."""
     gwp = pivot_modules(facts.where("indicator IN ('GWP-total', 'GWP')"), ["A1-A3", "A1", "A2", "A3", "D"])
-    gwp = gwp.groupBy("epd_uid").agg(
-        F.first(product_stage(F.col("A1-A3"), F.col("A1"), F.col("A2"), F.col("A3"))["value"], ignorenulls=True).alias("gwp_a1_a3"), F.first("D", ignorenulls=True).alias("gwp_d")
-    )
-    md = F.col("metadata")
-    return (
-        records.join(gwp, "epd_uid", "left")
-        .join(checked.select("epd_uid", "worst", "mandatory_ok", "programme_operator"), "epd_uid", "left")
-        .join(classified, "epd_uid", "left")
-        .select(
-            "epd_uid",
-            md["registration_number"].alias("registration_number"),
-            md["product_name"].alias("product_name"),
-            md["manufacturer"].alias("manufacturer"),
-            md["standard_profile"].alias("standard_profile"),
-            md["declared_unit_raw"].alias("declared_unit"),
-            md["valid_until"].alias("valid_until"),
-            F.col("category").alias("category_id"),
-            "category_confidence",
-            "gwp_a1_a3",
-            "gwp_d",
-            F.col("worst").alias("step1_worst"),
-            F.coalesce("mandatory_ok", F.lit(False)).cast("int").alias("dgnb_ready"),
-            (F.col("programme_operator") == "pass").cast("int").alias("eco_platform"),
-            F.lit(0).alias("archived"),
-            normalized_search_text(md["registration_number"], md["product_name"], md["manufacturer"], F.col("category")).alias("search_text"),
-        )
+    stage = product_stage(F.col("A1-A3"), F.col("A1"), F.col("A2"), F.col("A3"))
+    # Of both codes the one of +A2, which comes last in their order.
+    gwp = gwp.groupBy("epd_uid").agg(F.max_by(F.struct("indicator", stage.alias("s"), F.col("D").alias("d")), "indicator").alias("_g"))
+    md, g = F.col("metadata"), F.col("_g")
+    unit = parse_declared_unit(md["declared_unit_raw"])
+    iso = lambda c: F.coalesce(parse_date(c)["iso"].cast("string"), c.try_cast("date").cast("string"))
+    counts = [f"n_{k}" for k in ("pass", "warning", "fail", "missing")]
+    joined = records.join(gwp, "epd_uid", "left").join(checked.select("epd_uid", "worst", "mandatory_ok", "programme_operator", "third_party_verification", *counts), "epd_uid", "left").join(classified, "epd_uid", "left")
+    own = ("registration_number", "product_name", "manufacturer", "standard", "standard_profile", "mass_per_declared_unit_kg", "conversion_factor_to_1kg")
+    none = F.lit(None).cast("string")
+    member = F.coalesce((F.col("programme_operator") == "pass").cast("int"), F.lit(0))
+    met = F.coalesce("mandatory_ok", F.lit(False)).cast("int")
+    return joined.select(
+        "epd_uid",
+        *[md[c].alias(c) for c in own],
+        md["programme_operator"].alias("programme_operator"),
+        member.alias("eco_platform_member"),
+        F.col("category"),
+        F.initcap(F.translate("category", "_", " ")).alias("category_label"),
+        none.alias("building_element"),
+        "category_confidence",
+        md["declared_unit_raw"].alias("declared_unit"),
+        unit["quantity"].alias("declared_quantity"),
+        unit["unit"].alias("declared_unit_code"),
+        md["reference_service_life_years"].alias("rsl_years"),
+        iso(md["publication_date"]).alias("publication_date"),
+        iso(md["valid_until"]).alias("valid_until"),
+        md["geographical_scope"].alias("geography"),
+        g["indicator"].alias("gwp_indicator"),
+        g["s"]["value"].alias("gwp_a1_a3"),
+        g["s"]["provenance"].alias("gwp_a1_a3_provenance"),
+        g["d"].alias("gwp_d"),
+        F.col("third_party_verification").alias("verification"),
+        *[F.col(c).alias(c.replace("n_", "step1_")) for c in counts],
+        met.alias("dgnb_mandatory_met"),
+        "source_format",
+        none.alias("source_file"),
+        F.col("file_sha256").alias("source_sha256"),
+        F.lit("extracted_not_approved").alias("review_status"),
+        normalized_search_text(md["registration_number"], md["product_name"], md["manufacturer"], md["programme_operator"], md["pcr"], md["product_description"], F.col("category")).alias("search_text"),
+        # What the filters of search go by.
+        F.col("category").alias("category_id"),
+        F.col("worst").alias("step1_worst"),
+        met.alias("dgnb_ready"),
+        member.alias("eco_platform"),
+        F.lit(0).alias("archived"),
     )

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..dims import tables as D
 from ..functions import domain, text
 from ..operators import results, rules, search, store, views
-from ..schemas import FACT_RESULT, RESULT_COLUMNS, VALUE
+from ..schemas import FACT_RESULT, RESULT_COLUMNS
 from ..sources import documents, ilcd, registries
 from .driver import AS_OF, register, t
 
@@ -41,22 +41,9 @@ def facts(spark: SparkSession, d: str) -> DataFrame:
     return rows.select(*[(F.col(c) if c in rows.columns else F.lit(None)).cast(k).alias(c) for c, k in kinds.items()]).select(RESULT_COLUMNS)
 
 
-def nested(long: DataFrame) -> DataFrame:
-    """epd_uid and results as records hold them."""
-    fields = [c.split(":") for c in VALUE.removeprefix("struct<").removesuffix(">").split(",")]
-    v = F.struct(*[(F.col(n) if n in long.columns and n != "scenario" else F.lit(None)).cast(k).alias(n) for n, k in fields])
-    rows = long.withColumn("_v", v)
-    pack = lambda key, value: F.map_from_entries(F.collect_list(F.struct(key, value)))
-    plain = rows.where("scenario = ''").groupBy("epd_uid", "indicator").agg(pack("module", "_v").alias("modules"))
-    other = rows.where("scenario <> ''").groupBy("epd_uid", "indicator", "module").agg(pack("scenario", "_v").alias("_m")).groupBy("epd_uid", "indicator").agg(pack("module", "_m").alias("scenario_modules"))
-    both = plain.join(other, ["epd_uid", "indicator"], "full_outer")
-    one = F.struct(F.lit(None).cast("string").alias("method_profile"), F.lit("kg CO2 eq").alias("canonical_unit"), "modules", "scenario_modules")
-    return both.withColumn("_i", one).groupBy("epd_uid").agg(pack("indicator", "_i").alias("results"))
-
-
 @register(f"WITH {FACTS} SELECT epd_uid, indicator, module, scenario, value, CASE WHEN value IS NULL THEN 'not_declared' ELSE 'declared' END AS status, 'kg CO2 eq' AS unit FROM f")
 def long_flatten(spark: SparkSession, d: str) -> DataFrame:
-    return results.flatten(nested(facts(spark, d))).select("epd_uid", "indicator", "module", "scenario", "value", "status", "unit")
+    return results.flatten(results.nest(facts(spark, d))).select("epd_uid", "indicator", "module", "scenario", "value", "status", "unit")
 
 
 @register(

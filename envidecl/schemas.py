@@ -16,7 +16,7 @@ RECORD = (
     "epd_uid string, metadata struct<registration_number:string,product_name:string,manufacturer:string,programme_operator:string,declared_unit_raw:string,"
     "standard_profile:string,standard:string,publication_date:string,valid_until:string,reference_service_life_years:double,mass_per_declared_unit_kg:double,"
     "conversion_factor_to_1kg:double,pcr:string,product_category:string,product_description:string,ilcd_classification:string,ilcd_subtype:string,"
-    "geographical_scope:string,verification:string,language:string,uuid:string>, "
+    "geographical_scope:string,verification:string,language:string,uuid:string,verifier:string,iso14025:boolean,reference_service_life_status:string>, "
     f"results map<string,{INDICATOR}>, declared map<string,string>, source_format string, file_sha256 string, full_text string"
 )
 FACT_VERSION = "epd_uid string, version int, saved_at timestamp, content_hash string, note string, archived boolean, record string"

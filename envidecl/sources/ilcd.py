@@ -56,10 +56,10 @@ def processes(members: DataFrame, most: int = MAX_PROCESSES) -> DataFrame:
     xml = F.col("xml")
     w = Window.partitionBy("archive").orderBy("member")
     chosen = members.where(F.contains("xml", F.lit("processDataSet"))).withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most)
-    expiry = xml_text(xml, "dataSetValidUntil")
-    valid = F.when(expiry.rlike(r"^\d{4}$"), F.concat(expiry, F.lit("-12-31"))).otherwise(F.left(expiry, F.lit(10)))
-    internal = xml_text(xml, "referenceToReferenceFlow")
-    return chosen.select(
+    review = xml_text(xml, "validation", "review", "@type")
+    label = lambda b: normalize_text(F.regexp_extract(b, r"(?s)<(?:\w+:)?shortDescription\b[^>]*>([^<]*)<", 1))
+    # What the XML says first, each path once; what follows from it afterwards.
+    said = chosen.select(
         "archive",
         "member",
         "xml",
@@ -67,20 +67,31 @@ def processes(members: DataFrame, most: int = MAX_PROCESSES) -> DataFrame:
         preferred(xml, "baseName").alias("product_name"),
         F.array_join(F.xpath(xml, F.lit(_path("classification", "class") + "/text()")), " / ").alias("ilcd_classification"),
         xml_text(xml, "registrationNumber").alias("registration_number"),
-        parse_number(xml_text(xml, "referenceServiceLife", "@years")).alias("reference_service_life_years"),
+        xml_text(xml, "referenceServiceLife", "@years").alias("_life"),
         xml_text(xml, "referenceYear").alias("reference_year"),
-        valid.alias("valid_until"),
+        xml_text(xml, "dataSetValidUntil").alias("_expiry"),
         F.left(xml_text(xml, "publicationDateOfEPD"), F.lit(10)).alias("publication_date"),
         xml_text(xml, "subType").alias("ilcd_subtype"),
         xml_text(xml, "locationOfOperationSupplyOrProduction", "@location").alias("geographical_scope"),
-        F.when(F.lower(xml_text(xml, "validation", "review", "@type")).rlike("external|third"), "external").when(xml_text(xml, "validation", "review", "@type").isNotNull(), "internal").alias("verification"),
+        review.alias("_review"),
         F.transform(F.xpath(xml, F.lit(_path("complianceDeclarations", "compliance", "referenceToComplianceSystem", "shortDescription") + "/text()")), normalize_text).alias("compliance"),
+        F.transform(_blocks(xml, "referenceToComplianceSystem", "referenceToComplianceSystem"), lambda b: F.struct(F.lower(b["ref"]).alias("system_uuid"), label(b["b"]).alias("label"))).alias("systems"),
         preferred(xml, "publicationAndOwnership", "referenceToOwnershipOfDataSet", "shortDescription").alias("manufacturer"),
-        internal.alias("reference_internal_id"),
-        parse_number(F.get(F.xpath(xml, F.lit(f"//{_step('exchange')}/{_step('meanAmount')}/text()")), F.lit(0))).alias("declared_quantity"),
+        xml_text(xml, "referenceToReferenceFlow").alias("reference_internal_id"),
+        F.get(F.xpath(xml, F.lit(f"//{_step('exchange')}/{_step('meanAmount')}/text()")), F.lit(0)).alias("_amount"),
         F.xpath(xml, F.lit(f"//{_step('exchange')}/@dataSetInternalID")).alias("_ids"),
         F.xpath(xml, F.lit(f"//{_step('exchange')}/{_step('referenceToFlowDataSet')}/@refObjectId")).alias("_flows"),
-    ).withColumn("reference_flow", F.lower(F.get("_flows", F.array_position("_ids", F.col("reference_internal_id")).cast("int") - 1))).drop("_ids", "_flows")
+    )
+    expiry, kind = F.col("_expiry"), F.lower("_review")
+    return said.withColumns(
+        {
+            "reference_service_life_years": parse_number(F.col("_life")),
+            "valid_until": F.when(expiry.rlike(r"^\d{4}$"), F.concat(expiry, F.lit("-12-31"))).otherwise(F.left(expiry, F.lit(10))),
+            "verification": F.when(kind.rlike("external|third"), "external").when(kind.isNotNull(), "internal"),
+            "declared_quantity": parse_number(F.col("_amount")),
+            "reference_flow": F.lower(F.get("_flows", F.array_position("_ids", F.col("reference_internal_id")).cast("int") - 1)),
+        }
+    ).drop("_life", "_expiry", "_review", "_amount", "_ids", "_flows")
 
 
 def with_flows(process: DataFrame, flow: DataFrame) -> DataFrame:
@@ -122,10 +133,41 @@ def facts(amount: DataFrame, indicators: DataFrame) -> tuple[DataFrame, DataFram
     w = Window.partitionBy("archive", "uuid", "indicator", "module", F.coalesce("scenario", F.lit(""))).orderBy(F.desc("block"), F.desc("pos"))
     last = known.withColumn("_n", F.row_number().over(w)).where("_n = 1")
     value = parse_number(F.col("raw"))
-    out = last.select("archive", "uuid", "indicator", "module", F.coalesce("scenario", F.lit("")).alias("scenario"), value.alias("value"), F.when(value.isNotNull(), "declared").otherwise("not_declared").alias("status"), "unit", F.col("raw").alias("raw_value"))
+    out = last.select("archive", "uuid", "indicator", "module", F.coalesce("scenario", F.lit("")).alias("scenario"), value.alias("value"), F.when(value.isNotNull(), "declared").otherwise("not_declared").alias("status"), "unit", F.col("raw").alias("raw_value"), "block", "pos")
     return out, unknown
 
 
+def scenarios(process: DataFrame) -> DataFrame:
+    """archive, uuid, scenario, is_default of the scenarios that processes describe."""
+    tags = F.regexp_extract_all("xml", F.lit(r"<(?:\w+:)?scenario\b([^>]*)>"), 1)
+    rows = process.select("archive", "uuid", F.posexplode(tags).alias("n", "a"))
+    attr = lambda name: F.nullif(F.regexp_extract("a", rf"\b(?:\w+:)?{name}=\"([^\"]*)\"", 1), F.lit(""))
+    return rows.select("archive", "uuid", F.coalesce(attr("name"), F.concat(F.lit("scenario_"), F.col("n") + 1)).alias("scenario"), F.coalesce(attr("default") == "true", F.lit(False)).alias("is_default"))
+
+
+def module_slots(fact: DataFrame, scenario: DataFrame) -> DataFrame:
+    """Facts with every module's own slot filled: by the default scenario, else the plain value, else the first scenario."""
+    defaults = scenario.where("is_default").select("archive", "uuid", "scenario", F.lit(True).alias("_d")).distinct()
+    rows = fact.join(defaults, ["archive", "uuid", "scenario"], "left")
+    rank = F.when(F.coalesce("_d", F.lit(False)), 0).when(F.col("scenario") == "", 1).otherwise(2)
+    w = Window.partitionBy("archive", "uuid", "indicator", "module").orderBy(rank, "block", "pos")
+    slot = rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").withColumn("scenario", F.lit("")).drop("_n", "_d")
+    return slot.unionByName(fact.where("scenario <> ''"))
+
+
+def profiles(process: DataFrame, systems: DataFrame | None = None) -> DataFrame:
+    """archive, uuid, standard_profile: of the last known compliance system (system_uuid, system_profile), else of the first label with 15804.
+
+    Known systems are a small fixed list, so they are broadcast.
+    """
+    each = process.select("archive", "uuid", F.posexplode("systems").alias("n", "s")).select("archive", "uuid", "n", "s.system_uuid", "s.label")
+    known = systems if systems is not None else process.sparkSession.createDataFrame([], "system_uuid string, system_profile string")
+    each = each.join(F.broadcast(known.select(F.lower("system_uuid").alias("system_uuid"), "system_profile")), "system_uuid", "left")
+    by_label = F.when(F.contains("label", F.lit("15804")), profile_of(F.array("label")))
+    best = each.groupBy("archive", "uuid").agg(F.max_by("system_profile", F.when(F.col("system_profile").isNotNull(), F.col("n"))).alias("_s"), F.min_by(by_label, F.when(by_label.isNotNull(), F.col("n"))).alias("_l"))
+    return best.select("archive", "uuid", F.coalesce("_s", "_l", F.lit("unresolved")).alias("standard_profile"))
+
+
 def declarations(fact: DataFrame) -> DataFrame:
     """Every module with a result is declared."""
     return fact.select("archive", "uuid", "module").distinct().withColumn("declared", F.lit("X"))

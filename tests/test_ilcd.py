@@ -34,3 +34,27 @@ def test_process_with_flow(spark):
     }
     assert unknown.first()["unknown_indicators"] == ["unknown"]
     assert {r["module"] for r in ilcd.declarations(facts).collect()} == {"A1-A3", "C3"}
+
+
+def test_records_of_processes(spark):
+    """Default scenarios fill slots, compliance systems decide by id, and the whole becomes records."""
+    from envidecl.operators import assemble, results
+
+    xml = PROCESS.replace("<common:other><epd:referenceServiceLife", '<common:other><epd:scenario epd:name="S1"/><epd:scenario epd:name="S2" epd:default="true"/><epd:referenceServiceLife')
+    xml = xml.replace('epd:scenario="S2">ND<', 'epd:scenario="S2">4.5<').replace("<common:referenceToComplianceSystem>", '<common:referenceToComplianceSystem refObjectId="SYS-1">')
+    members = spark.createDataFrame([("z", "p.xml", xml), ("z", "f.xml", FLOW)], "archive string, member string, xml string")
+    p = ilcd.processes(members)
+    assert [(r["scenario"], r["is_default"]) for r in ilcd.scenarios(p).collect()] == [("S1", False), ("S2", True)]
+    assert ilcd.profiles(p).first()["standard_profile"] == "EN15804_A2_EF3.0"
+    systems = spark.createDataFrame([("sys-1", "EN15804_A2_EF3.1")], "system_uuid string, system_profile string")
+    assert ilcd.profiles(p, systems).first()["standard_profile"] == "EN15804_A2_EF3.1"
+    registry = ilcd.registry(spark, [("I-1", "GWP-total", "kg CO2 eq"), ("i-2", "PERT", "MJ")])
+    records, facts = assemble.from_ilcd(members, registry, systems)
+    row = records.first()
+    assert (row["epd_uid"], row["metadata"]["standard_profile"], row["metadata"]["standard"], row["metadata"]["reference_service_life_years"]) == ("ilcd-aaaa-1", "EN15804_A2_EF3.1", "EN 15804+A2", 100.0)
+    slots = {(r["indicator"], r["module"], r["scenario"]): r["value"] for r in facts.collect()}
+    assert slots == {("GWP-total", "A1-A3", ""): -10.5, ("GWP-total", "C3", ""): 4.5, ("GWP-total", "C3", "S1"): 1.5, ("GWP-total", "C3", "S2"): 4.5, ("PERT", "A1-A3", ""): 7.0}
+    assert {(r["indicator"], r["module"], r["scenario"]): r["value"] for r in results.flatten(records).collect()} == slots
+    d = assemble.derive(records)
+    summary, step1 = d.summary.first(), d.step1.first()
+    assert (summary["category"], summary["gwp_a1_a3"], summary["source_format"], step1["third_party_verification"], step1["life_cycle_modules"]) == ("timber", -10.5, "ilcd_xml", "pass", "warning")

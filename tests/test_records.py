@@ -41,7 +41,7 @@ def test_record_to_search_and_store(spark, tmp_path):
     assert classified.first()["category"] == "concrete"
     checked = rules.step1(records, long)
     got = checked.first()
-    assert (got["core_standard"], got["life_cycle_modules"], got["programme_operator"]) == ("pass", "pass", "pass")
+    assert (got["core_standard"], got["life_cycle_modules"], got["programme_operator"]) == ("pass", "warning", "pass")
     assert got["mandatory_ok"] is False and got["worst"] == "missing"
     summary = rules.summarize(records, long, checked, classified)
     hit = search.search(summary, text="concrete").collect()
@@ -133,3 +133,25 @@ def test_stream_reconciles_once(spark, tmp_path):
     (src / "2.json").write_text(doc(2) + "\n")
     reconcile(store, str(src), str(tmp_path / "cp")).awaitTermination(60)
     assert [r["version"] for r in store.versions().collect()] == [3]
+
+
+def test_edits_and_derived_blocks(spark):
+    from envidecl.operators import assemble
+
+    records = record(spark)
+    edits = spark.createDataFrame([("MD-99999-EN", "manufacturer", "Other A/S"), ("MD-99999-EN", "standard", "EN 15804+A2"), ("MD-99999-EN", "valid_until", ""), ("MD-99999-EN", "reference_service_life_years", "60"), ("x", "manufacturer", "no")], "epd_uid string, field string, value string")
+    edited, log = assemble.edit_fields(records, edits)
+    row = edited.first()
+    assert (row["metadata"]["manufacturer"], row["metadata"]["reference_service_life_years"], row["metadata"]["product_name"]) == ("Other A/S", 60.0, "Test concrete C30/37")
+    assert {(r["field"], r["original"]) for r in log.collect()} == {("manufacturer", "Test A/S"), ("reference_service_life_years", None)}
+    before, after = assemble.derive(records), assemble.derive(edited)
+    assert (before.step1.first()["reference_service_life"], after.step1.first()["reference_service_life"]) == ("missing", "pass")
+    assert search.search(after.summary, text="other").count() == 1 and search.search(before.summary, text="other").count() == 0
+    told = {r["parameter"]: r for r in after.report.collect()}
+    assert len(told) == 13 and json.loads(told["reference_service_life"]["value"]) == {"years": 60.0} and told["life_cycle_modules"]["message"]
+    assert json.loads(told["life_cycle_modules"]["value"]) == {"available": ["A1-A3", "D"]}
+    chosen = assemble.derive(edited, overrides=spark.createDataFrame([("MD-99999-EN", "wall")], "epd_uid string, chosen string"))
+    assert chosen.summary.first()["category"] == "wall"
+    summary = after.summary.first()
+    assert (summary["declared_quantity"], summary["declared_unit_code"], summary["gwp_indicator"], summary["gwp_a1_a3"], summary["gwp_a1_a3_provenance"], summary["rsl_years"]) == (1.0, "m3", "GWP-total", 250.0, "reported", 60.0)
+    assert len(set(after.summary.columns)) == len(after.summary.columns) == 41
