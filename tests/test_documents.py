@@ -47,6 +47,27 @@ def test_declarations_and_metadata(spark):
     assert rows["empty"]["registration_number"] is None
 
 
+def test_records_of_documents(spark):
+    """From pages to summary rows in one run."""
+    from envidecl.operators import assemble, results, search
+
+    records, facts = assemble.from_documents(docs(spark))
+    rows = {r["epd_uid"]: r for r in records.collect()}
+    assert len(rows) == 2
+    row = rows["MD-12345-EN"]
+    md = row["metadata"]
+    assert (md["product_name"], md["standard_profile"], md["standard"], md["reference_service_life_years"], md["verification"], row["source_format"]) == ("Roof panel", "EN15804_A2_UNKNOWN_EF", "EN 15804+A2", 40.0, "external", "pdf")
+    assert row["declared"] == {"A1": "X", "A2": "X", "A3": "X", "A4": "MND", "A5": "ND"}
+    slots = {(r["indicator"], r["module"], r["scenario"]): r["value"] for r in facts.collect()}
+    assert slots[("GWP-total", "A1", "")] == 15.0 and slots[("GWP-total", "C3", "1")] == 3.0
+    assert {(r["indicator"], r["module"], r["scenario"]): r["value"] for r in results.flatten(records).collect()} == slots
+    d = assemble.derive(records)
+    step1 = {r["epd_uid"]: r for r in d.step1.collect()}["MD-12345-EN"]
+    assert (step1["core_standard"], step1["third_party_verification"], step1["programme_operator"], step1["life_cycle_modules"]) == ("pass", "warning", "pass", "fail")
+    hit = search.search(d.summary, text="roof panel").collect()
+    assert [(r["epd_uid"], r["category"], r["declared_unit_code"], r["rsl_years"]) for r in hit] == [("MD-12345-EN", "roof", "m2", 40.0)]
+
+
 def test_layout():
     words = [L.Box("a", 0, 5, 0, 8), L.Box("b", 40, 45, 1, 9), L.Box("c", 2, 6, 12, 20), L.Box("d", 7, 9, 12, 20)]
     assert [[x.text for x in line] for line in L.lines(words)] == [["a", "b"], ["c", "d"]]
