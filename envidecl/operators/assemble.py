@@ -81,9 +81,9 @@ def from_ilcd(members: DataFrame, indicators: DataFrame, systems: DataFrame | No
     if not everything:
         facts = results.retain(facts, STEP1_CODES)[0]
     declared = ilcd.declarations(slots).join(uids, ["archive", "uuid"]).select("epd_uid", "module", "declared").dropDuplicates(["epd_uid", "module"])
-    own = ("registration_number", "product_name", "manufacturer", "standard_profile", "publication_date", "valid_until", "reference_service_life_years", "mass_per_declared_unit_kg", "conversion_factor_to_1kg", "ilcd_classification", "ilcd_subtype", "geographical_scope", "verification", "uuid")
+    own = ("programme_operator", "product_description", "declared_unit_raw", "registration_number", "product_name", "manufacturer", "standard_profile", "publication_date", "valid_until", "reference_service_life_years", "mass_per_declared_unit_kg", "conversion_factor_to_1kg", "ilcd_classification", "ilcd_subtype", "geographical_scope", "verification", "uuid")
     known = {c: F.col(c) for c in own} | {"standard": _standard(F.col("standard_profile")), "iso14025": F.exists("compliance", lambda c: F.contains(c, F.lit("14025")))}
-    rows = base.withColumn("source_format", F.lit("ilcd_xml")).withColumn("file_sha256", none).withColumn("full_text", F.coalesce("product_name", F.lit("")))
+    rows = base.withColumn("source_format", F.lit("ilcd_xml")).withColumn("file_sha256", none).withColumn("full_text", F.concat_ws("\n", "product_name", "product_description"))
     return kept(_records(rows, known, facts, declared)), facts
 
 

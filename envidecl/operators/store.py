@@ -59,12 +59,18 @@ class Store:
         return out if include_archived else out.where("archived = 0")
 
     def save(self, batch: DataFrame, note: str = "") -> DataFrame:
-        """batch: epd_uid, content_hash, record. Returns epd_uid, version and status of each; repeated ids save once."""
-        new = latest(batch, ["epd_uid"], [F.asc("content_hash")])
+        """batch: epd_uid, content_hash, record. Returns epd_uid, version and status of each row.
+
+        Several rows of one id become versions one after the other, in the order of ``ord`` if the
+        batch has that column, else of their hashes; a row equal to the one before it is unchanged.
+        """
+        new = batch.select("epd_uid", "content_hash", "record", F.col("ord") if "ord" in batch.columns else F.col("content_hash").alias("ord"))
         have = self.current().select("epd_uid", F.col("version").alias("_v"), F.col("content_hash").alias("_h"))
-        both = new.join(have, "epd_uid", "left").withColumn("status", upsert_status(F.col("_h"), F.col("content_hash")))
-        version = F.coalesce("_v", F.lit(0)) + F.when(F.col("status") == "unchanged", 0).otherwise(1)
-        both = both.withColumn("version", version.cast("int"))
+        w = Window.partitionBy("epd_uid").orderBy("ord", "content_hash", "record")
+        before = F.when(F.row_number().over(w) == 1, F.col("_h")).otherwise(F.lag("content_hash").over(w))
+        both = new.join(have, "epd_uid", "left").withColumn("_before", before).withColumn("status", upsert_status(F.col("_before"), F.col("content_hash")))
+        changes = F.sum((F.col("status") != "unchanged").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))
+        both = both.withColumn("version", (F.coalesce("_v", F.lit(0)) + changes).cast("int"))
         rows = both.select("epd_uid", "version", F.date_trunc("second", F.current_timestamp()).alias("saved_at"), "content_hash", F.lit(note).alias("note"), "record", "status")
         # What was decided is kept before anything is appended, as the current view changes then.
         decided = f"{self.root}/decided/{self._stamp()}"

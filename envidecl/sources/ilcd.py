@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.domain import module_of
-from ..functions.numbers import parse_number
+from ..functions.numbers import number_text, parse_number
 from ..functions.text import clean_cell, normalize_text
 from .files import MAX_PROCESSES
 
@@ -18,6 +18,15 @@ from .files import MAX_PROCESSES
 MASS = "93a60a56-a3c8-11da-a746-0800200b9a66"
 AREA = "93a60a56-a3c8-19da-a746-0800200c9a66"
 VOLUME = "93a60a56-a3c8-22da-a746-0800200c9a66"
+PROPERTY_UNITS = {
+    MASS: "kg", AREA: "m2", VOLUME: "m3", "838aaa23-0117-11db-92e3-0800200c9a66": "m", "01846770-4cfe-4a25-8ad9-919d8d378345": "piece",
+    "93a60a56-a3c8-14da-a746-0800200c9a66": "MJ", "93a60a56-a3c8-11da-a746-0800200c9a66": "MJ",
+}
+#: Material properties that declarations use, and their columns.
+MATERIAL_COLUMNS = {
+    "grammage": "grammage_kg_m2", "gross density": "gross_density_kg_m3", "bulk density": "bulk_density_kg_m3", "layer thickness": "layer_thickness_m",
+    "linear density": "linear_density_kg_m", "weight per piece": "weight_per_piece_kg",
+}
 
 
 def _step(name: str) -> str:
@@ -46,9 +55,28 @@ def flows(members: DataFrame) -> DataFrame:
     amount = lambda uuid: parse_number(
         F.get(F.xpath(xml, F.lit(f"//{_step('flowProperty')}[{_step('referenceToFlowPropertyDataSet')}[@refObjectId='{uuid}']]/{_step('meanValue')}/text()")), F.lit(0))
     )
-    return members.where(F.contains("xml", F.lit("flowDataSet"))).select(
-        "archive", F.lower(xml_text(xml, "UUID")).alias("flow_uuid"), amount(MASS).alias("flow_mass"), amount(AREA).alias("flow_area"), amount(VOLUME).alias("flow_volume")
-    ).where("flow_uuid IS NOT NULL")
+    each = f"//{_step('flowProperties')}/{_step('flowProperty')}"
+    of = lambda path: F.xpath(xml, F.lit(path))
+    said = members.where(F.contains("xml", F.lit("flowDataSet"))).select(
+        "archive",
+        F.lower(xml_text(xml, "UUID")).alias("flow_uuid"),
+        amount(MASS).alias("flow_mass"),
+        amount(AREA).alias("flow_area"),
+        amount(VOLUME).alias("flow_volume"),
+        xml_text(xml, "referenceToReferenceFlowProperty").alias("_index"),
+        F.arrays_zip(of(f"{each}/@dataSetInternalID").alias("id"), of(f"{each}/{_step('referenceToFlowPropertyDataSet')}/@refObjectId").alias("ref"), of(f"{each}/{_step('meanValue')}/text()").alias("value")).alias("_all"),
+        F.arrays_zip(of(f"//{_step('PropertyDetails')}/@id").alias("id"), of(f"//{_step('PropertyDetails')}/{_step('Name')}/text()").alias("name")).alias("_names"),
+        F.arrays_zip(of(f"//{_step('PropertyData')}/@property").alias("id"), of(f"//{_step('PropertyData')}/{_step('Data')}/text()").alias("value")).alias("_data"),
+    )
+    own = F.get(F.filter("_all", lambda p: p["id"] == F.col("_index")), F.lit(0))
+    named = F.transform("_data", lambda v: F.struct(F.lower(F.trim(F.get(F.filter("_names", lambda n: n["id"] == v["id"]), F.lit(0))["name"])).alias("key"), F.trim(v["value"]).try_cast("double").alias("value")))
+    known = F.array_distinct(F.filter(named, lambda p: p["key"].isNotNull() & p["value"].isNotNull()))
+    # A property that is given twice has its last value.
+    last = F.filter(known, lambda p, k: ~F.exists(F.slice(known, k + 2, F.size(known)), lambda q: q["key"] == p["key"]))
+    return said.select(
+        "archive", "flow_uuid", "flow_mass", "flow_area", "flow_volume", F.lower(own["ref"]).alias("flow_reference"), F.trim(own["value"]).try_cast("double").alias("flow_reference_value"),
+        F.map_from_entries(last).alias("material_properties"),
+    ).where("flow_uuid IS NOT NULL")
 
 
 def processes(members: DataFrame, most: int = MAX_PROCESSES) -> DataFrame:
@@ -69,7 +97,9 @@ def processes(members: DataFrame, most: int = MAX_PROCESSES) -> DataFrame:
         xml_text(xml, "registrationNumber").alias("registration_number"),
         xml_text(xml, "referenceServiceLife", "@years").alias("_life"),
         xml_text(xml, "referenceYear").alias("reference_year"),
-        xml_text(xml, "dataSetValidUntil").alias("_expiry"),
+        F.coalesce(xml_text(xml, "expirationDateOfEPD"), xml_text(xml, "dataSetValidUntil")).alias("_expiry"),
+        F.coalesce(preferred(xml, "referenceToPublisher", "shortDescription"), preferred(xml, "referenceToRegistrationAuthority", "shortDescription")).alias("programme_operator"),
+        preferred(xml, "technology", "technologicalApplicability").alias("product_description"),
         F.left(xml_text(xml, "publicationDateOfEPD"), F.lit(10)).alias("publication_date"),
         xml_text(xml, "subType").alias("ilcd_subtype"),
         xml_text(xml, "locationOfOperationSupplyOrProduction", "@location").alias("geographical_scope"),
@@ -95,10 +125,20 @@ def processes(members: DataFrame, most: int = MAX_PROCESSES) -> DataFrame:
 
 
 def with_flows(process: DataFrame, flow: DataFrame) -> DataFrame:
-    """Left join within an archive; the mass of the reference flow gives the conversion factor."""
+    """Left join within an archive; the reference flow's mass for its own quantity, or its material properties, give the factor."""
     joined = process.join(flow.withColumnRenamed("flow_uuid", "reference_flow"), ["archive", "reference_flow"], "left")
-    joined = joined.withColumn("mass_per_declared_unit_kg", F.bround(F.col("declared_quantity") * F.col("flow_mass"), 6))
-    return joined.withColumn("conversion_factor_to_1kg", F.when(F.col("mass_per_declared_unit_kg") > 0, F.bround(F.col("declared_quantity") / F.col("mass_per_declared_unit_kg"), 8)))
+    per = F.coalesce(F.nullif("flow_reference_value", F.lit(0.0)), F.lit(1.0))
+    joined = joined.withColumn("mass_per_declared_unit_kg", F.when(F.col("declared_quantity") != 0, F.bround(F.col("declared_quantity") * F.col("flow_mass") / per, 6)))
+    by_mass = F.when(F.col("mass_per_declared_unit_kg") > 0, F.bround(F.col("declared_quantity") / F.col("mass_per_declared_unit_kg"), 8))
+    given = lambda name: F.try_element_at("material_properties", F.lit(name))
+    units = F.create_map(*[F.lit(x) for p in PROPERTY_UNITS.items() for x in p])
+    return joined.withColumns(
+        {
+            "conversion_factor_to_1kg": F.coalesce(by_mass, given("conversion factor to 1 kg")),
+            "declared_unit_raw": F.concat(number_text(F.col("declared_quantity")), F.lit(" "), F.try_element_at(units, F.col("flow_reference"))),
+            **{column: given(name) for name, column in MATERIAL_COLUMNS.items()},
+        }
+    )
 
 
 def registry(spark: SparkSession, rows: list[tuple[str, str, str]]) -> DataFrame:

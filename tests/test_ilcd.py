@@ -17,8 +17,11 @@ PROCESS = """<processDataSet xmlns:common="c" xmlns:epd="e"><processInformation>
 <LCIAResults><LCIAResult><referenceToLCIAMethodDataSet refObjectId="I-1"/><common:other><epd:amount epd:module="A1-A3">-10.5</epd:amount>
 <epd:amount epd:module="C3" epd:scenario="S1">1.5</epd:amount><epd:amount epd:module="C3" epd:scenario="S2">ND</epd:amount></common:other></LCIAResult>
 <LCIAResult><referenceToLCIAMethodDataSet refObjectId="UNKNOWN"/><common:other><epd:amount epd:module="D">1</epd:amount></common:other></LCIAResult></LCIAResults></processDataSet>"""
-FLOW = f"""<flowDataSet><flowInformation><UUID>flow-1</UUID></flowInformation><flowProperties><flowProperty dataSetInternalID="0">
-<referenceToFlowPropertyDataSet refObjectId="{ilcd.MASS}"/><meanValue>450</meanValue></flowProperty></flowProperties></flowDataSet>"""
+FLOW = f"""<flowDataSet><flowInformation><UUID>flow-1</UUID><quantitativeReference><referenceToReferenceFlowProperty>1</referenceToReferenceFlowProperty></quantitativeReference>
+<MatML_Doc><Material><BulkDetails><PropertyData property="pr1"><Data format="float">0.02</Data></PropertyData><PropertyData property="pr2"><Data>450</Data></PropertyData><PropertyData property="pr3"><Data>none</Data></PropertyData></BulkDetails></Material>
+<Metadata><PropertyDetails id="pr1"><Name>layer thickness</Name></PropertyDetails><PropertyDetails id="pr2"><Name>Gross Density</Name></PropertyDetails><PropertyDetails id="pr3"><Name>grammage</Name></PropertyDetails></Metadata></MatML_Doc></flowInformation><flowProperties><flowProperty dataSetInternalID="0">
+<referenceToFlowPropertyDataSet refObjectId="{ilcd.MASS}"/><meanValue>450</meanValue></flowProperty>
+<flowProperty dataSetInternalID="1"><referenceToFlowPropertyDataSet refObjectId="{ilcd.VOLUME}"/><meanValue>1.0</meanValue></flowProperty></flowProperties></flowDataSet>"""
 
 
 def test_process_with_flow(spark):
@@ -27,6 +30,7 @@ def test_process_with_flow(spark):
     row = ilcd.with_flows(p, ilcd.flows(members)).withColumn("profile", ilcd.profile_of(F.col("compliance"))).first()
     assert (row["uuid"], row["product_name"], row["reference_service_life_years"], row["valid_until"]) == ("aaaa-1", "Timber beam", 100.0, "2026-12-31")
     assert (row["reference_flow"], row["mass_per_declared_unit_kg"], row["verification"], row["profile"]) == ("flow-1", 900.0, "external", "EN15804_A2_EF3.0")
+    assert (row["declared_unit_raw"], row["layer_thickness_m"], row["gross_density_kg_m3"], row["grammage_kg_m2"]) == ("2 m3", 0.02, 450.0, None)
     facts, unknown = ilcd.facts(ilcd.amounts(p), ilcd.registry(spark, [("I-1", "GWP-total", "kg CO2 eq"), ("i-2", "PERT", "MJ")]))
     got = {(r["indicator"], r["module"], r["scenario"]): (r["value"], r["status"]) for r in facts.collect()}
     assert got == {

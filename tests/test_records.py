@@ -56,9 +56,12 @@ def test_record_to_search_and_store(spark, tmp_path):
     assert [r["status"] for r in store.save(batch).collect()] == ["unchanged"]
     changed = batch.withColumn("content_hash", F.lit("other"))
     assert [(r["status"], r["version"]) for r in store.save(changed).collect()] == [("updated", 2)]
+    several = spark.createDataFrame([("n", "h2", "b", 2), ("n", "h1", "a", 1), ("n", "h1", "a", 3), ("n", "h1", "a", 4)], "epd_uid string, content_hash string, record string, ord int")
+    assert sorted((r["version"], r["status"]) for r in store.save(several).collect()) == [(1, "created"), (2, "updated"), (3, "unchanged"), (3, "updated")]
+    assert [r["content_hash"] for r in store.versions().where("epd_uid = 'n'").orderBy("version").collect()] == ["h1", "h2", "h1"]
     store.archive(batch)
-    assert store.current(include_archived=False).count() == 0
-    assert store.versions().count() == 2 and store.rebuild().first()["version"] == 2
+    assert store.current(include_archived=False).where("epd_uid <> 'n'").count() == 0
+    assert store.versions().where("epd_uid <> 'n'").count() == 2 and store.rebuild().where("epd_uid <> 'n'").first()["version"] == 2
     assert store.find_by_sha("f" * 64).count() == 1
     store.set_meta("k", "1"), store.set_meta("k", "2")
     assert store.get_meta("k") == "2" and store.get_meta("none") is None
