@@ -50,6 +50,9 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Data
     seen = docs.where(F.col("doc_id").isNotNull()).select(
         "doc_id", F.explode(F.array_distinct(F.transform(long_keys, _hash))).alias("__line")
     )
+    # Read twice, to count and to find who loses lines, so written once: 16 bytes a line instead of its text.
+    work = Scratch(docs.sparkSession, "lines")
+    seen = work.keep(seen)
     common = (
         seen.groupBy("__line")
         .agg(F.count_distinct("doc_id").alias("__n"), F.max("doc_id").alias("__keeper"))
@@ -57,7 +60,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Data
         .select("__line", "__keeper")
     )
     # A table of its own: adaptive execution then splits the partition of a very common line.
-    common = Scratch(docs.sparkSession, "lines").keep(common)
+    common = work.keep(common)
     lost = (
         seen.join(common, "__line")
         .where(F.col("doc_id") != F.col("__keeper"))
