@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens as T
-from .common import ascii_lower, bounded_batches, held_out
+from .common import ascii_lower, bounded_batches, held_out, worker_state
 
 #: The bounds of the training sample: documents of a language, and of all.
 SAMPLE_DOCS, SAMPLE_ALL, LANGUAGES = 600, 4000, 200
@@ -297,7 +297,6 @@ class Scorer:
 
 
 _pieces: dict[str, Pieces] = {}
-_scorers: dict[str, Scorer] = {}
 
 
 def _vocabulary(path: str) -> Pieces:
@@ -332,10 +331,7 @@ def identify(docs: DataFrame, model: Model, path: str) -> DataFrame:
     letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _scorers:
-            _scorers.clear()
-            _scorers[key] = Scorer(_vocabulary(path), Model(*shared.value))
-        scorer = _scorers[key]
+        scorer = worker_state(key, lambda: Scorer(_vocabulary(path), Model(*shared.value)))
         names = scorer.model.languages
         for whole in batches:
             for b in T.parts(whole, "text"):

@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import tokens as T
-from .common import Scratch, bounded_batches
+from .common import Scratch, bounded_batches, worker_state
 
 CAPACITY = 2048
 END = 0
@@ -255,14 +255,11 @@ class UnitEncoder:
         return border
 
 
-_encoders: dict[str, UnitEncoder] = {}
-
-
 def tokenized_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = END) -> DataFrame:
     """The contract's columns of every piece; _part and _nth: the task, and the number among its pieces of that length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoders.get(tokenizer) or _encoders.setdefault(tokenizer, UnitEncoder(tokenizer))
+        encode = worker_state(("units", tokenizer), lambda: UnitEncoder(tokenizer))
         seen, part = np.zeros(capacity + 1, np.int64), TaskContext.get().partitionId()
         for whole in batches:
             for b in T.parts(whole, "text"):

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from . import tokens as T
-from .common import bounded_batches, held_out
+from .common import bounded_batches, held_out, worker_state
 
 WINDOW, STRIDE, HIDDEN, WORD_DIM, CHAR_DIM = 32, 16, 8, 8, 8
 BUCKETS, VOCABULARY = 1 << 13, 20_000
@@ -291,9 +291,6 @@ class Scorer:
         return out
 
 
-_scorers: dict[str, Scorer] = {}
-
-
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Network:
     """Train on the bounded sample; held-out rows take no part."""
     known = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").where(~held_out(F.col("doc_id")))
@@ -330,11 +327,7 @@ def score(docs: DataFrame, net: Network) -> DataFrame:
     schema = StructType([*docs.schema.fields, StructField("_score", DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _scorers:
-            _scorers.clear()
-            p, vocabulary, base = shared.value
-            _scorers[key] = Scorer(Network(p, vocabulary, base))
-        scorer = _scorers[key]
+        scorer = worker_state(key, lambda: Scorer(Network(*shared.value)))
         for whole in batches:
             for b in T.parts(whole, "text"):
                 yield pa.record_batch([*b.columns, pa.array(scorer(b.column("text")))], names=[*b.schema.names, "_score"])
