@@ -19,6 +19,7 @@ from ..schemas import FACT_RESULT, RECORD
 from ..session import kept
 from ..sources import documents, ilcd
 from . import results, rules
+from .store import latest
 
 #: The indicators of the checklist; others are dropped unless everything is asked for.
 STEP1_CODES = sorted({c for _, new, old in D.INDICATOR_GROUPS for c in [*new, *old]})
@@ -35,7 +36,7 @@ def _records(rows: DataFrame, known: dict[str, Column], facts: DataFrame, declar
     metadata = F.struct(*[known.get(n, F.lit(None)).cast(k).alias(n) for n, k in _FIELDS])
     modules = declared.groupBy("epd_uid").agg(F.map_from_entries(F.collect_list(F.struct("module", "declared"))).alias("declared"))
     out = rows.withColumn("metadata", metadata).join(results.nest(facts), "epd_uid", "left").join(modules, "epd_uid", "left")
-    return out.select(*[c.split(" ")[0] for c in RECORD.replace("metadata struct<" + RECORD.split("metadata struct<")[1].split(">,")[0] + ">", "metadata x").split(", ") if ":" not in c.split(" ")[0]])
+    return out.select("epd_uid", "metadata", "results", "declared", "source_format", "file_sha256", "full_text")
 
 
 def from_documents(docs: DataFrame, everything: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -87,6 +88,12 @@ def from_ilcd(members: DataFrame, indicators: DataFrame, systems: DataFrame | No
     return kept(_records(rows, known, facts, declared)), facts
 
 
+def from_files(files: DataFrame, indicators: DataFrame, systems: DataFrame | None = None, everything: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Records and facts of the datasets among files (``sources.files.read_files``), and the files of other formats."""
+    records, facts = from_ilcd(kept(ilcd.members(files)), indicators, systems, everything)
+    return records, facts, files.where("format NOT IN ('ilcd_zip', 'ilcd_xml')").select("path", "format")
+
+
 def _standard(profile: Column) -> Column:
     return F.when(profile.startswith("EN15804_A2"), "EN 15804+A2").when(profile.startswith("EN15804_A1"), "EN 15804+A1")
 
@@ -118,8 +125,6 @@ def edit_fields(records: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFr
     in the order of ``at`` counts, where edits have that column. What does not change is not logged.
     """
     order = [F.col("at").desc_nulls_last()] if "at" in edits.columns else [F.col("value").asc_nulls_last()]
-    from .store import latest
-
     last = latest(edits.where(F.col("field").isin([n for n, _ in _FIELDS])), ["epd_uid", "field"], order)
     wanted = last.groupBy("epd_uid").agg(F.map_from_entries(F.collect_list(F.struct("field", F.coalesce("value", F.lit("")).alias("value")))).alias("_e"))
     both = records.join(wanted, "epd_uid", "left")

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.functions import broadcast
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -30,6 +31,11 @@ def shared_folder(spark: SparkSession) -> str:
     return (found or "file://" + tempfile.mkdtemp(prefix="envidecl-")).rstrip("/")
 
 
+def small(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """df marked for a broadcast if it has so many rows at most; beyond that a shuffle join meets it."""
+    return broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def kept(df: DataFrame) -> DataFrame:
     """df as a Parquet table in the shared folder: what made it runs once, and its lineage ends here."""
     path = f"{shared_folder(df.sparkSession)}/kept-{uuid.uuid4().hex}"

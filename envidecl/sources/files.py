@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import slug
+from ..schemas import RESULT_COLUMNS
 
 MAX_XML = 50 << 20
 MAX_PROCESSES = 500
@@ -105,7 +106,10 @@ def record_key(uid: Column, version: Column) -> Column:
 
 
 def write_results_csv(facts: DataFrame, path: str) -> None:
-    facts.write.option("header", "true").csv(path)
+    """The fifteen columns of facts in total order; every file begins with a byte-order mark, as spreadsheets want it."""
+    first, *rest = RESULT_COLUMNS
+    rows = facts.select(RESULT_COLUMNS).orderBy("epd_uid", "indicator", "module", "scenario")
+    rows.select(F.col(first).alias("\ufeff" + first), *rest).write.option("header", "true").csv(path)
 
 
 def write_summary_csv(summary: DataFrame, path: str) -> None:

@@ -12,7 +12,8 @@ from pyspark.sql.window import Window
 from ..functions.domain import module_of
 from ..functions.numbers import number_text, parse_number
 from ..functions.text import clean_cell, normalize_text
-from .files import MAX_PROCESSES
+from ..session import small
+from .files import MAX_PROCESSES, unzip
 
 # --- Fixed values: flow properties --------------------------------------------------------------
 MASS = "93a60a56-a3c8-11da-a746-0800200b9a66"
@@ -79,6 +80,13 @@ def flows(members: DataFrame) -> DataFrame:
     ).where("flow_uuid IS NOT NULL")
 
 
+def members(files: DataFrame) -> DataFrame:
+    """archive, member, xml of files (path, content, format): members of archives, and single datasets."""
+    inside = unzip(files.where("format = 'ilcd_zip'"), suffix=".xml").select(F.col("path").alias("archive"), "member", "content")
+    alone = files.where("format = 'ilcd_xml'").select(F.col("path").alias("archive"), F.col("path").alias("member"), "content")
+    return inside.unionByName(alone).select("archive", "member", F.decode("content", "UTF-8").alias("xml"))
+
+
 def processes(members: DataFrame, most: int = MAX_PROCESSES) -> DataFrame:
     """Identity, dates, reference flow and quality of the first ``most`` processes of each archive."""
     xml = F.col("xml")
@@ -168,8 +176,9 @@ def amounts(process: DataFrame) -> DataFrame:
 
 def facts(amount: DataFrame, indicators: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Facts of known indicators, and the unknown ids per process. A later plain value replaces an earlier one."""
-    known = amount.join(F.broadcast(indicators), "ind_uuid")
-    unknown = amount.join(F.broadcast(indicators), "ind_uuid", "left_anti").groupBy("archive", "uuid").agg(F.array_sort(F.collect_set("ind_uuid")).alias("unknown_indicators"))
+    indicators = small(indicators)
+    known = amount.join(indicators, "ind_uuid")
+    unknown = amount.join(indicators, "ind_uuid", "left_anti").groupBy("archive", "uuid").agg(F.array_sort(F.collect_set("ind_uuid")).alias("unknown_indicators"))
     w = Window.partitionBy("archive", "uuid", "indicator", "module", F.coalesce("scenario", F.lit(""))).orderBy(F.desc("block"), F.desc("pos"))
     last = known.withColumn("_n", F.row_number().over(w)).where("_n = 1")
     value = parse_number(F.col("raw"))
@@ -198,11 +207,11 @@ def module_slots(fact: DataFrame, scenario: DataFrame) -> DataFrame:
 def profiles(process: DataFrame, systems: DataFrame | None = None) -> DataFrame:
     """archive, uuid, standard_profile: of the last known compliance system (system_uuid, system_profile), else of the first label with 15804.
 
-    Known systems are a small fixed list, so they are broadcast.
+    Known systems are broadcast while they are few.
     """
     each = process.select("archive", "uuid", F.posexplode("systems").alias("n", "s")).select("archive", "uuid", "n", "s.system_uuid", "s.label")
     known = systems if systems is not None else process.sparkSession.createDataFrame([], "system_uuid string, system_profile string")
-    each = each.join(F.broadcast(known.select(F.lower("system_uuid").alias("system_uuid"), "system_profile")), "system_uuid", "left")
+    each = each.join(small(known.select(F.lower("system_uuid").alias("system_uuid"), "system_profile")), "system_uuid", "left")
     by_label = F.when(F.contains("label", F.lit("15804")), profile_of(F.array("label")))
     best = each.groupBy("archive", "uuid").agg(F.max_by("system_profile", F.when(F.col("system_profile").isNotNull(), F.col("n"))).alias("_s"), F.min_by(by_label, F.when(by_label.isNotNull(), F.col("n"))).alias("_l"))
     return best.select("archive", "uuid", F.coalesce("_s", "_l", F.lit("unresolved")).alias("standard_profile"))

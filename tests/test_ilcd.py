@@ -62,3 +62,24 @@ def test_records_of_processes(spark):
     d = assemble.derive(records)
     summary, step1 = d.summary.first(), d.step1.first()
     assert (summary["category"], summary["gwp_a1_a3"], summary["source_format"], step1["third_party_verification"], step1["life_cycle_modules"]) == ("timber", -10.5, "ilcd_xml", "pass", "warning")
+
+
+def test_records_of_files(spark, tmp_path):
+    """Archives, single datasets and files of other formats from a folder, and facts as CSV."""
+    import zipfile
+
+    from envidecl.operators import assemble
+    from envidecl.sources import files
+
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        z.writestr("processes/p.xml", PROCESS), z.writestr("flows/f.xml", FLOW), z.writestr("note.txt", "no")
+    (tmp_path / "b.xml").write_text(PROCESS.replace("AAAA-1", "BBBB-2"))
+    (tmp_path / "c.bin").write_bytes(b"?")
+    registry = ilcd.registry(spark, [("I-1", "GWP-total", "kg CO2 eq"), ("i-2", "PERT", "MJ")])
+    records, facts, other = assemble.from_files(files.read_files(spark, f"file://{tmp_path}"), registry)
+    rows = {r["epd_uid"]: r["metadata"]["mass_per_declared_unit_kg"] for r in records.collect()}
+    assert rows == {"ilcd-aaaa-1": 900.0, "ilcd-bbbb-2": None}
+    assert [r["path"].rsplit("/", 1)[1] for r in other.collect()] == ["c.bin"]
+    files.write_results_csv(facts, f"file://{tmp_path}/out")
+    text = next((tmp_path / "out").glob("part-*.csv")).read_text(encoding="utf-8-sig").splitlines()
+    assert text[0].split(",")[:3] == ["epd_uid", "indicator", "module"] and len(text[0].split(",")) == 15
