@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard_join, language, licenses, line_dedup, nearest, packing, perspectives, toxicity, warc_store
+from . import decontaminate, filter_audit, jaccard_join, language, licenses, line_dedup, nearest, packing, perspectives, toxicity, warc_store
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,6 +62,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -76,6 +80,7 @@ QUERIES: dict[str, Query] = {
         op8_jaccard_join,
         op9_packing,
         op10_decontamination,
+        op12_filter_audit,
     )
 }
 
@@ -85,4 +90,5 @@ ORACLE_SQL: dict[str, str] = {
     "chat_transcripts": perspectives.TRANSCRIPT_SQL,
     "op7_line_dedup": line_dedup.SQL,
     "op10_decontamination": decontaminate.SQL,
+    "op12_filter_audit": filter_audit.SQL,
 }
