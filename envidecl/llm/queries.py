@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, filter_audit, jaccard_join, language, licenses, line_dedup, nearest, packing, perspectives, toxicity, warc_store
+from . import decontaminate, filter_audit, jaccard_join, language, licenses, line_dedup, nearest, packing, perspectives, spelling_variants, toxicity, warc_store
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -66,6 +66,10 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -81,6 +85,7 @@ QUERIES: dict[str, Query] = {
         op9_packing,
         op10_decontamination,
         op12_filter_audit,
+        op13_spelling_variants,
     )
 }
 
