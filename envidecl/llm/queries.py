@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, filter_audit, jaccard_join, language, licenses, line_dedup, nearest, packing, perspectives, spelling_variants, toxicity, warc_store
+from . import decontaminate, filter_audit, jaccard_join, language, licenses, line_dedup, minhash_dedup, nearest, packing, perspectives, spelling_variants, toxicity, warc_store
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,6 +62,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.similar_classes(table(spark, sf_dir, "documents"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -84,6 +88,7 @@ QUERIES: dict[str, Query] = {
         op8_jaccard_join,
         op9_packing,
         op10_decontamination,
+        op11_minhash_dedup,
         op12_filter_audit,
         op13_spelling_variants,
     )
