@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -23,12 +24,29 @@ def session(app: str = "envidecl", **settings: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder, wherever it is; nothing happens where the session has ended and its folder with it."""
+    try:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    except Exception:
+        pass
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; in local mode, where it is unset, one of our own."""
+    """A folder of this session's below that which spark.checkpoint.dir names, deleted when the program ends.
+
+    In local mode, where that is unset, one temporary folder takes its place.
+    """
+    if mine := spark.conf.get("spark.envidecl.shared", None):
+        return mine
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found and not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return (found or "file://" + tempfile.mkdtemp(prefix="envidecl-")).rstrip("/")
+    mine = f"{found.rstrip('/')}/envidecl-{uuid.uuid4().hex}" if found else "file://" + tempfile.mkdtemp(prefix="envidecl-")
+    spark.conf.set("spark.envidecl.shared", mine)
+    atexit.register(delete, spark, mine)
+    return mine
 
 
 def small(df: DataFrame, most: int = 100_000) -> DataFrame:

@@ -19,10 +19,11 @@ def reconcile(store: Store, source: str, checkpoint: str, once: bool = True) ->
     """Follow a folder of JSON documents of versions."""
     stream = store.spark.readStream.schema(DOCUMENT).option("recursiveFileLookup", "true").json(source)
 
+    columns = [c.split()[0] for c in VERSION.split(", ")]
+
     def apply(batch: DataFrame, _: int) -> None:
-        rows = newer(batch.where("epd_uid IS NOT NULL AND version IS NOT NULL"), store.current())
-        columns = [c.split()[0] for c in VERSION.split(", ")]
-        rows.select(columns).write.mode("append").parquet(f"{store.root}/versions")
+        rows = batch.where("epd_uid IS NOT NULL AND version IS NOT NULL")
+        store.append_versions(lambda current: newer(rows, current).select(columns))
 
     writer = stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

@@ -116,8 +116,8 @@ def test_bundle_and_formats(spark, tmp_path):
     from envidecl.sources import files
 
     rows = spark.createDataFrame([("u1", json.dumps({"epd_uid": "u1"}))], "epd_uid string, record string")
-    files.write_bundle(rows, f"file://{tmp_path}/b/x.zip")
-    read = files.read_files(spark, f"file://{tmp_path}/b")
+    files.write_bundle(rows, f"file://{tmp_path}/b")
+    read = files.read_files(spark, f"file://{tmp_path}/b", "part-*")
     assert read.first()["format"] == "ilcd_zip"
     assert [json.loads(r["record"])["epd_uid"] for r in files.bundle_records(read).collect()] == ["u1"]
     kinds = spark.createDataFrame([(bytearray(b"%PDF-1.7"), "a.xml"), (bytearray(b"  <?xml"), "x"), (bytearray(b"PK.."), "y"), (bytearray(b"?"), "z")], "c binary, n string")
