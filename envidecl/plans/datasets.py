@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import rules, store, views
+from ..operators import rules, store, transfer, views
 from ..session import kept, shared_folder
 from ..sources import documents, files, ilcd
 from .driver import register, t
@@ -180,9 +182,7 @@ def migrated_records(spark: SparkSession, d: str) -> DataFrame:
 def store_versions(spark: SparkSession, d: str) -> DataFrame:
     """Two batches, an archive log, and what is current then."""
     rows = t(spark, d, "customer").select(F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("epd_uid"), F.col("c_mktsegment").alias("content_hash"), F.lit("{}").alias("record"), "c_acctbal", "c_nationkey")
-    import uuid
-
-    s = store.Store(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}")
+    s = _store(spark)
     s.save(rows.select("epd_uid", "content_hash", "record"))
     s.save(rows.select("epd_uid", F.when(F.col("c_acctbal") < 0, "changed").otherwise(F.col("content_hash")).alias("content_hash"), "record"))
     s.archive(rows.where("c_nationkey < 3"))
@@ -192,9 +192,7 @@ def store_versions(spark: SparkSession, d: str) -> DataFrame:
 @register("SELECT key, sha256 FROM (SELECT 'k' || (c_custkey % 50) AS key, sha256(c_name) AS sha256, row_number() OVER (PARTITION BY c_custkey % 50 ORDER BY sha256(c_name)) AS r FROM customer) WHERE r = 1")
 def store_blobs(spark: SparkSession, d: str) -> DataFrame:
     """The first writer of a key wins, in one batch and in the next."""
-    import uuid
-
-    s = store.Store(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}")
+    s = _store(spark)
     rows = t(spark, d, "customer").select(
         F.concat(F.lit("k"), F.col("c_custkey") % 50).alias("key"), F.sha2("c_name", 256).alias("sha256"), F.lit(1).cast("long").alias("size"), F.lit("t").alias("content_type"), F.col("c_name").alias("original_name"), F.lit("2024-01-01").cast("timestamp").alias("created_at")
     )
@@ -203,6 +201,94 @@ def store_blobs(spark: SparkSession, d: str) -> DataFrame:
     return s.blobs().select("key", "sha256")
 
 
+def _store(spark: SparkSession) -> store.Store:
+    return store.Store(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}")
+
+
+_CUSTOMERS = "SELECT 'C' || c_custkey AS epd_uid, 1 AS version, c_mktsegment AS content_hash, (c_nationkey < 3)::INT AS archived FROM customer"
+
+
+@register(f"SELECT c.*, s AS seen FROM ({_CUSTOMERS}) c, (VALUES ('after restore'), ('in backup'), ('in snapshot')) x(s)")
+def store_snapshots(spark: SparkSession, d: str) -> DataFrame:
+    """A snapshot, a backup taken later of the snapshot's state restored, and the store after the restore, while a writer has gone on."""
+    rows = t(spark, d, "customer").select(F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("epd_uid"), F.col("c_mktsegment").alias("content_hash"), F.lit("{}").alias("record"), "c_nationkey")
+    s = _store(spark)
+    s.save(rows)
+    s.archive(rows.where("c_nationkey < 3"))
+    s.snapshot("base")
+    s.save(rows.where("c_nationkey > 10").withColumn("content_hash", F.lit("changed")))
+    s.archive(rows.where("c_nationkey = 20"))
+    seen = s.at("base")
+    s.save(rows.withColumn("epd_uid", F.concat("epd_uid", F.lit("-more"))))
+    s.restore("base")
+    copy = _store(spark)
+    s.backup(copy.root)
+    named = lambda x, name: x.current().select("epd_uid", "version", "content_hash", "archived", F.lit(name).alias("seen"))
+    return named(seen, "in snapshot").unionByName(named(s, "after restore")).unionByName(named(copy, "in backup"))
+
+
+@register("SELECT 'files/' || (c_custkey % 50) AS key, min(c_name) AS text, count(*) AS others, octet_length(encode(min(c_name))) AS size FROM customer GROUP BY 1")
+def blob_bytes(spark: SparkSession, d: str) -> DataFrame:
+    """Bytes of fifty keys by many writers, of which the smallest name's come first; a later batch puts none of its own."""
+    key = F.concat(F.lit("files/"), F.col("c_custkey") % 50)
+    rows = t(spark, d, "customer").select(key.alias("key"), F.col("c_name").cast("binary").alias("content"), F.lit("t").alias("content_type"), F.col("c_name").alias("original_name"))
+    s = _store(spark)
+    s.put_blobs(rows.groupBy("key").agg(F.min("content").alias("content")).withColumns({"content_type": F.lit("t"), "original_name": F.lit("n")}))
+    s.put_blobs(rows.withColumn("content", F.lit(b"late")).unionByName(rows.withColumn("key", F.concat(F.lit("text/"), "key"))))
+    listed = s.list_blobs("files/")
+    return s.get_blobs(listed).join(listed, "key").join(rows.groupBy("key").agg(F.count("*").alias("others")), "key").select("key", F.decode("content", "UTF-8").alias("text"), "others", "size")
+
+
+@register(
+    "SELECT 'O' || o_orderkey AS epd_uid, 1 AS version, sha256('{\"epd_uid\":\"O' || o_orderkey || '\",\"storage\":{\"source_blob_key\":\"files/' || o_orderpriority || '\"},\"customer\":' || o_custkey || '}') AS digest, "
+    "sha256(o_orderpriority || ' bytes') AS file_digest, 'unchanged' AS again FROM orders"
+)
+def bundle_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Records out of a store as bundles, with source files that a fifth of them share, and into another store, twice."""
+    key = F.concat(F.lit("files/"), "o_orderpriority")
+    uid = F.concat(F.lit("O"), F.col("o_orderkey").cast("string"))
+    record = F.to_json(F.struct(uid.alias("epd_uid"), F.struct(key.alias("source_blob_key")).alias("storage"), F.col("o_custkey").alias("customer")))
+    orders = t(spark, d, "orders")
+    one, two, path = _store(spark), _store(spark), f"{shared_folder(spark)}/bundles-{uuid.uuid4().hex}"
+    one.save(orders.select(uid.alias("epd_uid"), F.sha2(record, 256).alias("content_hash"), record.alias("record")))
+    content = F.concat("o_orderpriority", F.lit(" bytes")).cast("binary")
+    one.put_blobs(orders.select("o_orderpriority").distinct().select(key.alias("key"), content.alias("content"), F.lit("t").alias("content_type"), F.lit("n").alias("original_name")))
+    transfer.export(one, path, bundle_bytes=1 << 20)
+    bundles = files.read_files(spark, path, "part-*")
+    transfer.bring_in(two, bundles)
+    again = transfer.bring_in(two, bundles).select("epd_uid", F.col("status").alias("again"))
+    found = two.current().select("epd_uid", "version", F.sha2("record", 256).alias("digest"), transfer.source_key(F.col("record")).alias("key"))
+    return found.join(two.blobs().select("key", F.col("sha256").alias("file_digest")), "key").join(again, "epd_uid").drop("key")
+
+
+@register(
+    "SELECT 'C' || c_custkey AS epd_uid, n AS import, CASE WHEN n = 2 AND c_nationkey = 5 THEN 2 ELSE 1 END AS version, CASE n WHEN 1 THEN 'created' ELSE 'unchanged' END AS status FROM customer, (VALUES (1), (2)) x(n)"
+)
+def legacy_imports(spark: SparkSession, d: str) -> DataFrame:
+    """Arrays of a hundred older records each, imported, reviewed in part, and imported again."""
+    uid = F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("epd_uid")
+    rows = t(spark, d, "customer").select(uid, F.col("c_name").alias("name"), F.col("c_nationkey").alias("nation"), F.floor(F.col("c_custkey") / 100).alias("file"))
+    path, s = f"{shared_folder(spark)}/legacy-{uuid.uuid4().hex}", _store(spark)
+    rows.groupBy("file").agg(F.to_json(F.collect_list(F.struct("epd_uid", "name", "nation"))).alias("value")).select("value").write.text(path)
+    first = s.import_once(files.legacy_records(spark, path, lines=True), path)
+    s.save(rows.where("nation = 5").select("epd_uid", F.lit("reviewed").alias("content_hash"), F.lit("{}").alias("record")))
+    second = s.import_once(files.legacy_records(spark, path, lines=True), path)
+    return first.withColumn("import", F.lit(1)).unionByName(second.withColumn("import", F.lit(2)))
+
+
+@register(
+    "SELECT (SELECT count(*) FROM orders) AS total, (SELECT count(*) FROM orders WHERE o_orderstatus <> 'F') AS active, (SELECT count(*) FROM orders WHERE o_orderstatus <> 'F' AND o_orderdate >= DATE '1998-06-30') AS valid, "
+    "(SELECT count(*) FROM lineitem) AS result_rows, (SELECT count(DISTINCT c_mktsegment) FROM customer) AS blobs, (SELECT sum(octet_length(encode(m)))::BIGINT FROM (SELECT DISTINCT c_mktsegment AS m FROM customer)) AS blob_bytes"
+)
+def store_statistics(spark: SparkSession, d: str) -> DataFrame:
+    """Counters of records, facts and blobs; orders, items and segments stand for them."""
+    s = _store(spark)
+    segments = t(spark, d, "customer").select("c_mktsegment").distinct()
+    s.put_blobs(segments.select(F.col("c_mktsegment").alias("key"), F.col("c_mktsegment").cast("binary").alias("content"), F.lit("t").alias("content_type"), F.lit("n").alias("original_name")))
+    summary = t(spark, d, "orders").select((F.col("o_orderstatus") == "F").cast("int").alias("archived"), F.col("o_orderdate").cast("string").alias("valid_until"), F.lit(0).alias("dgnb_ready"), F.lit(0).alias("eco_platform"))
+    return s.stats(summary, t(spark, d, "lineitem"), F.lit("1998-06-30").cast("date")).select("total", "active", "valid", "result_rows", "blobs", "blob_bytes")
+
+
 @register("SELECT ord, operator_id, country FROM (VALUES (0, 'epd_italy', 'Italy'), (1, 'epd_global_norway', 'Norway'), (2, 'ibu', 'Germany'), (3, 'epd_danmark', 'Denmark'), (4, 'epd_international', 'Sweden'), (5, 'bre', 'United Kingdom'), (6, 'inies', 'France'), (7, 'kiwa', 'Germany'), (8, 'rts', 'Finland'), (9, 'itb', 'Poland')) x(ord, operator_id, country)")
 def operator_list(spark: SparkSession, d: str) -> DataFrame:
     return views.operators(spark).select("ord", "operator_id", "country")

@@ -212,8 +212,8 @@ def read_legacy(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("multiLine", "true").json(path)
 
 
-def legacy_records(spark: SparkSession, path: str) -> DataFrame:
-    """epd_uid, content_hash and record (JSON, as it stands) of the elements of JSON array files; an absent file has none.
+def legacy_records(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """epd_uid, content_hash and record (JSON, as it stands) of the elements of JSON arrays, one a file or a line; an absent file has none.
 
     An element that is no object is left out. Ids are given as to new records: number, dataset, file or content.
     """
@@ -221,7 +221,7 @@ def legacy_records(spark: SparkSession, path: str) -> DataFrame:
     if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
         return spark.createDataFrame([], "epd_uid string, content_hash string, record string")
     text = F.ltrim(F.col("value"), F.lit("\ufeff"))
-    items = spark.read.option("wholetext", "true").text(path).select(F.explode(F.from_json(text, "array<string>")).alias("record")).where(F.startswith("record", F.lit("{")))
+    items = spark.read.option("wholetext", str(not lines).lower()).text(path).select(F.explode(F.from_json(text, "array<string>")).alias("record")).where(F.startswith("record", F.lit("{")))
     of = lambda name: F.get_json_object("record", f"$.{name}")
     uid = F.coalesce(F.nullif(of("epd_uid"), F.lit("")), record_uid(of("metadata.registration_number"), of("metadata.uuid"), of("document.sha256"), F.col("record")))
     return items.select(uid.alias("epd_uid"), F.sha2("record", 256).alias("content_hash"), "record")
