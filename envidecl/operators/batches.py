@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows are kept apart by a hash of their key, so that a small batch reads a part of the table only.
-BUCKETS = 64
+BUCKETS = 16
 ATTEMPTS = 20
 _here = threading.RLock()
 
@@ -80,6 +80,18 @@ class Batches:
                 self._fs().delete(self._path(pending), True)
         raise RuntimeError(f"{self.path}: {ATTEMPTS} batches of other writers came first")
 
+    def step(self) -> None:
+        """Publish a batch of nothing: who has read the table before starts again."""
+        for _ in range(ATTEMPTS):
+            pending = f"{self.path}/_pending-{uuid.uuid4().hex}"
+            self._fs().mkdirs(self._path(pending))
+            try:
+                if self._publish(pending, self.last() + 1):
+                    return
+            finally:
+                self._fs().delete(self._path(pending), True)
+        raise RuntimeError(f"{self.path}: {ATTEMPTS} batches of other writers came first")
+
     def _publish(self, pending: str, number: int) -> bool:
         """Rename to the number, unless it is taken. File systems with atomic renames decide; threads of one program take turns."""
         fs, target = self._fs(), self._path(f"{self.path}/batch={number}")

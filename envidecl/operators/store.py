@@ -68,10 +68,15 @@ class Store:
     def _table(self, name: str) -> Batches:
         """A table as this store sees it: without what restores put out of sight, and not beyond its pins."""
         schema, key = TABLES[name]
-        # The newest restore of a table tells all that is out of sight up to it.
-        told = None if name == "restores" else latest(self._table("restores").read().where(F.col("name") == name), ["name"], [F.desc("batch")]).first()
-        hidden = [(h["after"], h["until"]) for h in told["hidden"]] if told else []
-        return Batches(self.spark, f"{self.root}/{name}", schema, key, hidden, None if self.upto is None else self.upto.get(name, 0))
+        return Batches(self.spark, f"{self.root}/{name}", schema, key, self._hidden(name), None if self.upto is None else self.upto.get(name, 0))
+
+    def _hidden(self, name: str) -> list[tuple[int, int]]:
+        """What is out of sight of a table: its newest restore tells all of it."""
+        if name == "restores" or not (log := self._table("restores")).last():
+            return []
+        told = log.read(log.touched(self.spark.createDataFrame([(name,)], "name string"))).where(F.col("name") == name)
+        row = latest(told, ["name"], [F.desc("batch")]).first()
+        return [(h["after"], h["until"]) for h in row["hidden"]] if row else []
 
     def _writes(self, name: str) -> Batches:
         if self.upto is not None:
@@ -229,7 +234,7 @@ class Store:
         rows = self.spark.createDataFrame(hidden, "name string, hidden array<struct<after:int,until:int>>").withColumn("at", F.current_timestamp())
         self._writes("restores").append(lambda: rows)
         for table in here:
-            self._table(table).append(lambda t=table: self.spark.createDataFrame([], TABLES[t][0]))
+            self._table(table).step()
 
     def backup(self, target: str, most_bytes: int | None = None, force: bool = False) -> bool:
         """A copy of what is seen now in another, empty folder; False if it is larger than ``most_bytes`` and not forced."""
@@ -238,7 +243,7 @@ class Store:
             return False
         copy = Store(self.spark, target)
         for table in TABLES:
-            if table not in ("snapshots", "restores"):
+            if table not in ("snapshots", "restores") and pinned.upto[table]:
                 rows = pinned._table(table).read()
                 copy._copied(table, rows)
         return True
