@@ -92,6 +92,39 @@ def column_below(all_: list[Box], at: Box, stop, most: int = 1500) -> str:
     return " ".join(out).strip()
 
 
+def reading_order(all_: list[Box], width: float, wide: float = 0.6) -> list[tuple[str, float | None, bool]]:
+    """text, gap above in heights and whether a column begins, for segments in the order they are read.
+
+    A segment over most of the page's width stands by itself; between two of those, columns are read
+    one after the other, each from the top.
+    """
+    if not all_:
+        return []
+    bands: list[list[Box]] = [[]]
+    for b in sorted(all_, key=lambda b: (b.yc, b.x0)):
+        if b.x1 - b.x0 > wide * width:
+            bands += [[b], []]
+        else:
+            bands[-1].append(b)
+    columns: list[list[Box]] = []
+    for band in bands:
+        reach = None
+        for b in sorted(band, key=lambda b: b.x0):
+            if reach is None or b.x0 > reach:
+                columns.append([])
+                reach = b.x1
+            columns[-1].append(b)
+            reach = max(reach, b.x1)
+    out: list[tuple[str, float | None, bool]] = []
+    last = None
+    for column in columns:
+        for b in sorted(column, key=lambda b: (b.y0, b.x0)):
+            under = last is not None and b.y0 >= last.y0 and (min(b.x1, last.x1) > max(b.x0, last.x0) or abs(b.x0 - last.x0) <= COLUMN_SHIFT)
+            out.append((b.text, (b.y0 - last.y1) / max(last.height, 6.0) if under else None, not under))
+            last = b
+    return out
+
+
 def module_header(text: str | None) -> tuple[str | None, str | None]:
     """What functions.domain.module_header does to a column."""
     t = plain(text)
