@@ -19,7 +19,7 @@ Defined results
 * words of any length are summed whole: the forward sums keep as many places as the longest
   piece has bytes, and their scale apart. Only for learning are words of more than
   ``LEARNED_WORD`` bytes cut into blocks of that size.
-* of more than ``LANGUAGES`` different values of lang the most frequent ones are learned.
+* every value of lang is learned, however many there are; the sample leaves each ``SAMPLE_LEAST`` documents at least.
 * extra columns are ignored; an empty table gives an empty result.
 """
 
@@ -37,7 +37,7 @@ from . import tokens as T
 from .common import ascii_lower, bounded_batches, held_out, worker_state
 
 #: The bounds of the training sample: documents of a language, and of all.
-SAMPLE_DOCS, SAMPLE_ALL, LANGUAGES = 600, 4000, 200
+SAMPLE_DOCS, SAMPLE_ALL, SAMPLE_LEAST = 600, 4000, 50
 ROUNDS = 4
 LEARNED_WORD = 1024
 #: Words longer than this are summed one by one, the others together.
@@ -307,14 +307,14 @@ def _vocabulary(path: str) -> Pieces:
 WORD = r"([^\x00-\x2F\x3A-\x60\x7B-\x7F]+)"
 
 
-def fit(docs: DataFrame, path: str, per_language: int = SAMPLE_DOCS, overall: int = SAMPLE_ALL, languages: int = LANGUAGES) -> Model:
-    """Learn from at most about so many documents, chosen by a hash of the id, never held-out ones."""
+def fit(docs: DataFrame, path: str, per_language: int = SAMPLE_DOCS, overall: int = SAMPLE_ALL, least: int = SAMPLE_LEAST) -> Model:
+    """Learn from at most about so many documents, chosen by a hash of the id, never held-out ones; ``least`` of each language in any case."""
     known = docs.where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL").where(~held_out(F.col("doc_id")))
-    by_lang = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages)
+    by_lang = known.groupBy("lang").agg(F.count("*").alias("n"))
     counts = {r["lang"]: r["n"] for r in by_lang.collect()}
     if not counts:
         return train(_vocabulary(path), [], [], [])
-    most = min(per_language, max(1, overall // len(counts)))
+    most = min(per_language, max(least, overall // len(counts)))
     share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(int(min(1.0, most / n) * 1_000_000)))])
     chosen = known.where(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1_000_000)) < share[F.col("lang")])
     words = chosen.select("lang", F.explode(F.regexp_extract_all(ascii_lower(F.col("text")), F.lit(WORD), F.lit(1))).alias("word"))

@@ -141,7 +141,7 @@ class Notices:
         self.verify = [regex.compile(f"(?b)(?:{regex.escape(t, literal_spaces=True)}){{e<={e}}}") for t, _, e in notices]
 
     def windows(self, text: str) -> dict[int, list[list[int]]]:
-        """Merged ranges of the text that may hold each notice."""
+        """Ranges of the text that may hold each notice: seeds whose places differ by the edits at most give one, so a range is bounded."""
         found: dict[int, list[list[int]]] = {}
         for end, (size, places) in self.seeds.iter(text):
             at = end + 1 - size
@@ -149,10 +149,15 @@ class Notices:
                 full, _, edits = self.notices[k]
                 lo, hi = max(0, at - offset - edits), min(len(text), at - offset + len(full) + edits)
                 mine = found.setdefault(k, [])
-                while mine and lo <= mine[-1][1]:
-                    first, last = mine.pop()
-                    lo, hi = min(lo, first), max(hi, last)
                 mine.append([lo, hi])
+        for k, ranges in found.items():
+            edits, merged = self.notices[k][2], []
+            for lo, hi in sorted(ranges):
+                if merged and lo - merged[-1][0] <= 2 * edits:
+                    merged[-1][1] = max(merged[-1][1], hi)
+                else:
+                    merged.append([lo, hi])
+            found[k] = merged
         return found
 
     def places(self, k: int, text: str, lo: int, hi: int) -> Iterator[regex.Match]:
@@ -178,8 +183,10 @@ class Notices:
         """label, start and stop in the normalised text, edits and the span itself."""
         out = []
         for k, ranges in self.windows(text).items():
+            done = 0  # where the last place of this notice ends
             for lo, hi in ranges:
-                for m in self.places(k, text, lo, hi):
+                for m in sorted(self.places(k, text, max(lo, done), hi), key=lambda m: m.start()):
+                    done = max(done, m.end())
                     edits = sum(m.fuzzy_counts)
                     if self.holds(k, text, m.start(), m.end(), edits):
                         out.append((self.notices[k][1], m.start(), m.end(), edits, m.group(), k))
@@ -256,7 +263,8 @@ _ARROW = pa.schema(
 
 
 def license_digests(docs: DataFrame) -> DataFrame:
-    """The contract's columns, and how many notices there are."""
+    """The contract's columns, how many notices there are, and their spans: label, start and stop in the normalised text, edits."""
+    spans = F.array_join(F.transform("notices", lambda x: F.concat_ws(":", x["label"], x["start"].cast("string"), x["stop"].cast("string"), x["edits"].cast("string"))), " ")
     return scan(docs).select(
-        "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", F.size("notices").cast("long").alias("n_notices")
+        "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", F.size("notices").cast("long").alias("n_notices"), spans.alias("spans")
     )

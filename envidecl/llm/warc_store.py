@@ -1,10 +1,12 @@
 """A content-addressed WARC archive of two tables: payloads once, and every record's header.
 
 ``write`` stores each distinct payload once under its SHA-256 digest, and for every page the
-exact bytes of its WARC header with that digest. Of pages with equal payloads the one with
+exact bytes of its WARC header with that digest and a digest of the whole record (of its header and its block's digest). Of pages with equal payloads the one with
 the smallest id is a response; the others are revisits that refer to it and have no block of
 their own. ``read`` joins both tables again, verifies each stored payload against its digest
-and length (a mismatch raises), and gives the records' bytes back. Texts move once when they
+and length (a mismatch raises), and gives the records' bytes back. ``parse`` takes rebuilt records apart by their own
+bytes: it raises if the block is not as long as the header says, does not have the header's
+payload digest, or if the record is not what was written. Texts move once when they
 are stored and once when they are read; headers and digests are all else that is shuffled.
 A payload that very many pages share is one row of the store, and its headers form a large
 partition that adaptive execution splits.
@@ -42,7 +44,7 @@ def base32_sha1(payload: Column) -> Column:
 @dataclass
 class Archive:
     payloads: DataFrame  # key binary, size long, owner long, payload binary
-    headers: DataFrame  # page_id long, key binary, header binary
+    headers: DataFrame  # page_id long, key binary, header binary, digest binary
 
 
 def _urn(page: Column) -> Column:
@@ -81,34 +83,64 @@ def write(pages: DataFrame, scratch: Scratch, min_bytes: int = 0) -> Archive:
     light = pages.select("page_id", "url", F.unhex(F.sha2(payload, 256)).alias("key"))
     named = light.join(stored.select("key", "size", "sha1", "owner"), "key")
     header = _header(F.col("page_id"), F.col("url"), F.col("size"), F.col("sha1"), F.col("owner"), min_bytes)
-    return Archive(stored, scratch.keep(named.select("page_id", "key", header.alias("header"))))
+    named = named.select("page_id", "key", header.alias("header"))
+    empty = F.unhex(F.sha2(F.lit(b""), 256))
+    block = F.when(_field(F.col("header"), "WARC-Type") == "revisit", empty).otherwise(F.col("key"))
+    return Archive(stored, scratch.keep(named.withColumn("digest", _digest(F.col("header"), block))))
+
+
+def _digest(header: Column, block: Column) -> Column:
+    """A record's digest, from its header and the digest of its block."""
+    return F.unhex(F.sha2(F.concat(header, block), 256))
 
 
 def read(archive: Archive) -> DataFrame:
-    """page_id, header, payload (of the record referred to, for revisits) and the record's bytes."""
+    """page_id, digest at writing, payload (of the record referred to, for revisits) and the record's bytes."""
     ok = (F.unhex(F.sha2("payload", 256)) == F.col("key")) & (F.octet_length("payload") == F.col("size"))
     checked = archive.payloads.select(
         "key", F.when(ok, F.col("payload")).otherwise(F.raise_error(F.lit("a stored payload does not match its digest"))).alias("payload")
     )
     full = archive.headers.join(checked, "key")
-    block = F.when(_field("WARC-Type") == "revisit", F.lit(b"")).otherwise(F.col("payload"))
-    return full.select("page_id", "header", "payload", F.concat("header", block, F.lit(b"\r\n\r\n")).alias("record"))
+    block = F.when(_field(F.col("header"), "WARC-Type") == "revisit", F.lit(b"")).otherwise(F.col("payload"))
+    return full.select("page_id", "digest", "payload", F.concat("header", block, F.lit(b"\r\n\r\n")).alias("record"))
 
 
-def _field(name: str) -> Column:
+def _field(header: Column, name: str) -> Column:
     """A header field's value."""
-    return F.regexp_extract(F.col("header").cast("string"), rf"\r\n{name}: ([^\r]*)\r\n", 1)
+    return F.regexp_extract(header.cast("string"), rf"\r\n{name}: ([^\r]*)\r\n", 1)
+
+
+def parse(records: DataFrame) -> DataFrame:
+    """page_id, header, block and payload of rebuilt records, from their bytes; what is not as it was written raises."""
+    end = F.octet_length(F.substring_index(F.col("record").cast("string"), BREAK * 2, 1)) + 4
+    parts = records.withColumn("_end", end).select(
+        "page_id", "digest", "payload", F.substring(F.col("record"), F.lit(1), F.col("_end")).alias("header"),
+        F.substring(F.col("record"), F.col("_end") + 1, F.octet_length("record") - F.col("_end") - 4).alias("block"),
+    )
+    # What a header says of a payload holds for the record's own block, or that of the record referred to.
+    own = F.when(_field(F.col("header"), "WARC-Type") == "revisit", F.col("payload")).otherwise(F.col("block"))
+    ok = {
+        "length": _field(F.col("header"), "Content-Length") == F.octet_length("block").cast("string"),
+        "payload digest": _field(F.col("header"), "WARC-Payload-Digest") == F.concat(F.lit("sha1:"), base32_sha1(own)),
+        "record digest": F.col("digest") == _digest(F.col("header"), F.unhex(F.sha2("block", 256))),
+    }
+    checked = own
+    for name, right in reversed(ok.items()):
+        wrong = F.raise_error(F.concat(F.lit(f"a rebuilt record does not have its {name}: page "), F.coalesce(F.col("page_id").cast("string"), F.lit("none")))).cast("binary")
+        checked = F.when(right, checked).otherwise(wrong)
+    return parts.select("page_id", "header", "block", checked.alias("payload"))
 
 
 def page_digests(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """The contract's columns, from records that were written and read back."""
-    records = read(write(pages, Scratch(pages.sparkSession, "warc"), min_bytes))
-    refers = F.regexp_extract(_field("WARC-Refers-To"), r"^<urn:page:(-?\d+)>$", 1)
+    """The contract's columns, from the bytes of records that were written, read back and taken apart."""
+    records = parse(read(write(pages, Scratch(pages.sparkSession, "warc"), min_bytes)))
+    header = F.col("header")
+    refers = F.regexp_extract(_field(header, "WARC-Refers-To"), r"^<urn:page:(-?\d+)>$", 1)
     return records.select(
         "page_id",
         F.octet_length("payload").cast("long").alias("payload_bytes"),
-        base32_sha1(F.col("payload")).alias("payload_digest"),
-        _field("WARC-Type").alias("record_type"),
+        F.substring(_field(header, "WARC-Payload-Digest"), 6, 32).alias("payload_digest"),
+        _field(header, "WARC-Type").alias("record_type"),
         F.when(refers != "", refers).cast("long").alias("refers_to"),
     )
 

@@ -364,6 +364,16 @@ def test_warc_round_trip(spark):
     got = {r["page_id"]: (r["record_type"], r["refers_to"], r["payload_bytes"]) for r in warc_store.page_digests(pages).collect() if r["page_id"] is not None}
     assert got[0] == ("response", None, 8) and got[3] == ("revisit", 0, 8) and got[1] == ("response", None, 0) and got[2] == ("revisit", 1, 0)
     assert warc_store.page_digests(pages.limit(0)).count() == 0
+    parsed = {(r["page_id"], bytes(r["header"]) + bytes(r["block"]) + b"\r\n\r\n") for r in warc_store.parse(warc_store.read(archive)).collect()}
+    assert parsed == {(r["page_id"], bytes(r["record"])) for r in records}
+    read = warc_store.read(archive)
+    other = F.concat(F.substring(F.col("record"), F.lit(1), F.octet_length("record") - 5), F.lit(b"y\r\n\r\n"))
+    for what, changed in {"length": F.concat("record", F.lit(b"z")), "digest": other, "record digest": F.encode(F.replace(F.decode("record", "UTF-8"), F.lit("http://x"), F.lit("http://y")), "UTF-8")}.items():
+        with pytest.raises(Exception, match=what):
+            warc_store.parse(read.where("page_id = 4").withColumn("record", changed)).collect()
+    # The query's plan holds the rebuilt record, so nothing is told of it that its bytes do not say.
+    plan = warc_store.page_digests(pages)._jdf.queryExecution().optimizedPlan().toString()
+    assert "0D0A0D0A" in plan and "record digest" in plan
     broken = warc_store.Archive(archive.payloads.withColumn("payload", F.lit(b"x")), archive.headers)
     with pytest.raises(Exception, match="does not match"):
         warc_store.read(broken).collect()
@@ -551,6 +561,27 @@ def test_misspelt_notices_stay(text, label):
         assert [x[0] for x in find(page)] == [label]
 
 
+def test_time_grows_with_repeated_notices_and_no_faster():
+    """Near copies in one long text; each range is bounded, so twice the copies take about twice the time."""
+    import time
+
+    find = licenses.Notices()
+    took = {}
+    for n in (1000, 2000, 4000):
+        page = "relased under teh mit license " * n
+        began = time.perf_counter()
+        found = find(page)
+        took[n] = time.perf_counter() - began
+        assert len(found) == n and all(b[1] >= a[2] for a, b in zip(found, found[1:], strict=False))
+    assert took[4000] < 3 * took[2000] + 0.2
+
+
+def test_spans_stand_in_the_query(spark):
+    docs = spark.createDataFrame([(1, "Relased under teh MIT license, and again: relased under teh mit license"), (2, "nothing"), (3, None)], "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in licenses.license_digests(docs).collect()}
+    assert got == {1: "mit:0:29:3 mit:40:69:3", 2: "", 3: ""}
+
+
 def test_adjacent_notices_are_all_found():
     find = licenses.Notices()
     both = find("released under teh mit license released under the mit license")
@@ -820,3 +851,13 @@ def test_windows_cover_every_word():
 
 def test_tokenizer_path_is_a_parameter():
     assert BPE == public_tokenizers.path("byte_bpe_50k.json")
+
+
+def test_every_language_is_learned(spark):
+    """More values of lang than any fixed number: each has words of its own."""
+    rows = [(k, f"{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}q " * 20, f"l{k % 260:03d}") for k in range(260 * 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    from envidecl.llm.queries import PIECES
+
+    model = language.fit(docs, PIECES)
+    assert len(model.languages) == 260

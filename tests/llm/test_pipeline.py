@@ -55,3 +55,30 @@ def test_repeated_and_missing_ids_are_judged_by_row(spark):
     assert clean.columns == docs.columns
     texts = [(r["doc_id"], r["text"]) for r in clean.collect()]
     assert not any(t == leak for _, t in texts) and (9, "clean words") in texts and texts.count((None, c)) == 2
+
+
+NAMES = ["_key", "_score", "_kept", "_n_lines", "_n_dropped", "_row", "_c1", "key", "node", "component", "n_shingles", "cls", "lang", "n_chars"]
+
+
+def test_columns_of_any_name_pass_through(spark, monkeypatch):
+    """Names that the operators use inside come out as they went in; empty tables and very long texts do, too."""
+    from envidecl.llm import toxicity
+
+    # A network that finds nothing toxic.
+    monkeypatch.setattr(toxicity, "fit", lambda docs, labels: toxicity.train(["a b", "c d"], [0, 0]))
+    shared = "a line that stands in many of these documents"
+    texts = [f"{k} own words of this text\n{shared}" for k in range(5)] + [None, "", "same same same same same same", "same same same same same same", "word " * 100_000]
+    rows = [(k if k != 6 else None, t, *[f"{n}{k}" for n in NAMES[:-1]], len(t or "")) for k, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, f"doc_id long, text string, {', '.join(f'{n} string' for n in NAMES[:-1])}, n_chars int")
+    empty = docs.limit(0)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs, empty = stage(spark, docs, SF).cache(), stage(spark, empty, SF)
+        assert docs.columns == ["doc_id", "text", *NAMES] and empty.count() == 0 and empty.columns == docs.columns
+        got = docs.collect()
+        assert len(got) == (9 if name in ("jaccard_join", "decontamination") else 10)
+        for r in got:
+            k = int(r["lang"].removeprefix("lang"))
+            assert all(r[n] == f"{n}{k}" for n in NAMES[:-1]) and r["n_chars"] == len(r["text"] or "")
+            assert r["text"] == (texts[k] or (texts[k] if name == "toxicity" else "")) or shared in texts[k]
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
+    assert packed.where("doc_id IS NOT NULL").select("doc_id").distinct().count() == 8
