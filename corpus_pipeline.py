@@ -1,12 +1,14 @@
 """The corpus pipeline: documents in, packed training sequences out, stage by stage.
 
 Every stage is written as Parquet and read again before the next one, so a lost executor
-costs a part of one stage at most.
+costs a part of one stage at most. Columns that documents have beside id and text pass through all stages but the last,
+whatever their names; an empty table gives an empty result, and very long texts are whole in each.
 """
 
 from __future__ import annotations
 
 import gc
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,16 +18,29 @@ from envidecl.llm.common import Scratch, table
 from envidecl.llm.queries import BYTE_BPE
 
 
+def _aside(docs: DataFrame) -> tuple[DataFrame, dict[str, str], Callable[[DataFrame], DataFrame]]:
+    """docs with every column but id and text under a plain number's name, those names, and what gives docs' own names and order back."""
+    names = {c: f"_c{k}" for k, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
+    return docs.withColumnsRenamed(names), names, lambda df: df.select(*[F.col(names.get(c, c)).alias(c) for c in docs.columns])
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is below the threshold."""
-    net = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, net).where(F.col("_score") < toxicity.THRESHOLD).drop("_score")
+    """Documents whose toxicity score is below the threshold; a null or empty text scores 0 and stays, as does every repeated row."""
+    rows, _, back = _aside(docs)
+    net = toxicity.fit(rows, table(spark, sf_dir, "labels"))
+    return back(toxicity.score(rows, net).where(F.col("_score") < toxicity.THRESHOLD))
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that others keep; texts and their lengths change."""
-    out = line_dedup.dedup_lines(docs).withColumn("text", F.col("_kept")).withColumn("n_chars", F.char_length("_kept").cast("long"))
-    return out.select(docs.columns)
+    """Documents without the lines that others keep; texts change, and lengths where docs has ``n_chars``.
+
+    No document goes: one that loses all lines has an empty text, and a null text becomes one. Rows without an id keep their lines.
+    """
+    rows, names, back = _aside(docs)
+    out = line_dedup.dedup_lines(rows).withColumn("text", F.col("_kept"))
+    if "n_chars" in names:
+        out = out.withColumn(names["n_chars"], F.char_length("_kept").cast(docs.schema["n_chars"].dataType))
+    return back(out)
 
 
 def _keyed(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -44,22 +59,24 @@ def _keyed(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of similar ones: the one with the smallest id."""
-    keyed = _keyed(spark, docs)
+    """One document of each group of similar ones: the one with the smallest id. Empty texts are similar to none and stay."""
+    rows, _, back = _aside(docs)
+    keyed = _keyed(spark, rows)
     classes = jaccard_join.similar_classes(keyed.select(F.col("_key").alias("doc_id"), "text"))
     first = classes.where("component_id = doc_id").select(F.col("doc_id").alias("_key"))
-    return keyed.join(first, "_key", "left_semi").select(docs.columns)
+    return back(keyed.join(first, "_key", "left_semi"))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no test item."""
-    keyed = _keyed(spark, docs)
+    """Documents that hold no test item; null and empty texts hold none."""
+    rows, _, back = _aside(docs)
+    keyed = _keyed(spark, rows)
     leaks = decontaminate.find_leaks(keyed.select(F.col("_key").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
-    return keyed.join(leaks.select(F.col("doc_id").alias("_key")).distinct(), "_key", "left_anti").select(docs.columns)
+    return keyed.join(leaks.select(F.col("doc_id").alias("_key")).distinct(), "_key", "left_anti").transform(back)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents with their sequences and places."""
+    """Pieces of documents with their sequences and places; other columns end here."""
     return packing.pack(docs, BYTE_BPE)
 
 
