@@ -17,7 +17,7 @@ from ..functions.text import record_uid
 from ..functions.units import normalize_unit
 from ..schemas import FACT_RESULT, RECORD
 from ..session import kept
-from ..sources import documents, ilcd
+from ..sources import documents, ilcd, sections
 from . import results, rules
 from .store import latest
 
@@ -44,7 +44,7 @@ def from_documents(docs: DataFrame, everything: bool = False) -> tuple[DataFrame
     if "file_sha256" not in docs.columns:
         docs = docs.withColumn("file_sha256", F.lit(None).cast("string"))
     text = F.array_join(F.transform("pages", lambda p: F.coalesce(p["text"], F.lit(""))), "\f")
-    base = docs.select("doc_id", "file_sha256", text.alias("full_text")).join(documents.extract_metadata(docs), "doc_id", "left")
+    base = docs.select("doc_id", "file_sha256", text.alias("full_text")).join(sections.metadata(docs), "doc_id", "left")
     base = base.withColumn("standard_profile", standard_profile(F.col("full_text")))
     base = kept(base.withColumn("epd_uid", record_uid(F.col("registration_number"), F.lit(None).cast("string"), F.col("file_sha256"), F.col("full_text"))))
     uids = base.select("doc_id", "epd_uid")
@@ -60,8 +60,11 @@ def from_documents(docs: DataFrame, everything: bool = False) -> tuple[DataFrame
         facts = results.retain(facts, STEP1_CODES)[0]
     facts = kept(facts)
     declared = documents.extract_declarations(docs).join(uids, "doc_id").select("epd_uid", "module", "declared").dropDuplicates(["epd_uid", "module"])
-    own = ("registration_number", "product_name", "manufacturer", "programme_operator", "declared_unit_raw", "standard_profile", "publication_date", "valid_until", "reference_service_life_years", "reference_service_life_status", "pcr", "geographical_scope", "verification", "verifier")
-    known = {c: F.col(c) for c in own} | {"language": language_vote(F.col("full_text"))["language"], "iso14025": F.col("full_text").rlike(r"(?i)ISO\s*14025"), "standard": _standard(F.col("standard_profile"))}
+    own = ("registration_number", "product_name", "manufacturer", "programme_operator", "declared_unit_raw", "standard_profile", "publication_date", "valid_until", "reference_service_life_years", "reference_service_life_status", "pcr", "geographical_scope", "verification", "verifier", "product_description", "mass_per_declared_unit_kg", "conversion_factor_to_1kg")
+    # The language that a number ends in is surer than the text's words.
+    suffix = F.create_map(*[F.lit(x) for p in D.NUMBER_LANGUAGES.items() for x in p])
+    told = F.try_element_at(suffix, F.regexp_extract(F.coalesce("registration_number", F.lit("")), "-([A-Z]{2})$", 1))
+    known = {c: F.col(c) for c in own} | {"language": F.coalesce(told, language_vote(F.col("full_text"))["language"]), "iso14025": F.col("full_text").rlike(r"(?i)ISO\s*14025"), "standard": _standard(F.col("standard_profile"))}
     rows = base.withColumn("source_format", F.lit("pdf"))
     return kept(_records(rows, known, facts, declared)), facts
 

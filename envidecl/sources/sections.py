@@ -19,9 +19,9 @@ from pyspark.sql.window import Window
 from ..functions.dates import parse_date
 from ..functions.numbers import parse_number
 from ..functions.text import clean_cell, clean_lines, let, normalize_text
-from ..functions.units import unit_quantity
+from ..functions.units import parse_declared_unit, unit_quantity
 from . import layout as L
-from .documents import FOUND, _boxes, labeled_values, table_rows
+from .documents import FOUND, _boxes, extract_metadata, labeled_values, table_rows
 from .registries import read_section
 
 # --- Fixed values: headings, and names of properties and databases -----------------------------------
@@ -30,8 +30,6 @@ AFTER_DESCRIPTION = [
     "application", "technical data", "base materials", "base materials/ancillary materials", "manufacture", "production", "lca: calculation rules", "declared unit", "packaging",
     "placing on the market/application rules", "delivery status", "environment and health during use",
 ]
-VALIDITY = ["valid to", "valid until", "validity", "expiry date"]
-NO_TITLE = ["environmental product declaration", "epd", "publisher", "programme holder", "owner of the declaration", "as per iso 14025 and en 15804", "declaration number", "issue date"]
 DATABASES = ["ecoinvent", "managed lca content", "gabi", "sphera mlc", "ökobaudat"]
 #: Property, its unit, and what a label says: each word of the first list with each of the second.
 PROPERTIES = [
@@ -102,27 +100,6 @@ def product_descriptions(docs: DataFrame) -> DataFrame:
     return sections(lines(docs), DESCRIPTION, AFTER_DESCRIPTION)
 
 
-def _first(rows: Column, test) -> Column:
-    """The place, from 0, of the first element that passes; null without one."""
-    return F.get(F.filter(F.transform(rows, lambda x, k: F.when(test(x), k)), lambda k: k.isNotNull()), F.lit(0))
-
-
-def cover_titles(docs: DataFrame, makers: DataFrame | None = None) -> DataFrame:
-    """doc_id and title: up to three lines of the first page that follow its date of validity, without boilerplate, up to an address or the maker's name."""
-    base = docs.select("doc_id", clean_lines(F.col("pages")[0]["text"]).alias("_l"))
-    base = base.join(makers, "doc_id", "left") if makers is not None else base.withColumn("manufacturer", F.lit(None).cast("string"))
-    alone = _first(F.col("_l"), lambda x: normalize_text(x).isin(*VALIDITY))
-    with_date = _first(F.col("_l"), lambda x: normalize_text(x).rlike("^(?:" + "|".join(VALIDITY[:2]) + r")\s+\S"))
-    # A label alone has its date on the next line.
-    start = F.least(alone + 2, with_date + 1)
-    rest = F.slice("_l", F.col("_start") + 1, F.size("_l"))
-    stop = lambda x: normalize_text(x).rlike("https?:|www\\.") | F.coalesce(normalize_text(x) == normalize_text(F.col("manufacturer")), F.lit(False))
-    upto = F.coalesce(_first(F.col("_rest"), stop), F.size("_rest"))
-    own = F.filter(F.slice("_rest", 1, F.col("_upto")), lambda x: ~normalize_text(x).isin(*NO_TITLE))
-    rows = base.withColumn("_start", start).where("_start IS NOT NULL").withColumn("_rest", rest).withColumn("_upto", upto)
-    return rows.select("doc_id", F.nullif(F.array_join(F.slice(own, 1, 3), " "), F.lit("")).alias("title")).where("title IS NOT NULL")
-
-
 # --- Physical properties ------------------------------------------------------------------------------
 def unit_factor(unit: Column, wanted: Column) -> Column:
     """What a number in ``unit`` is multiplied by to be in ``wanted`` (kg, or kg by m, m2, m3); 1 for units that are not known to be of that kind."""
@@ -265,3 +242,12 @@ def extended(docs: DataFrame, fields: list[dict] | None = None) -> DataFrame:
     bases = bases.select("doc_id", F.lit("background_database").alias("field"), "value", "page", F.col("value").alias("source"), F.lit("database_names").alias("method"), F.lit(0.8).alias("confidence"))
     out = parts.unionByName(software).unionByName(bases)
     return out if not fields else out.unionByName(dictionary_fields(docs, fields))
+
+
+def metadata(docs: DataFrame) -> DataFrame:
+    """One row per document: labelled fields, wordings, the product's description, its physical properties and mass."""
+    base = extract_metadata(docs)
+    unit = parse_declared_unit(F.col("declared_unit_raw"))
+    declared = base.select("doc_id", unit["quantity"].alias("quantity"), unit["unit"].alias("unit"), unit["dimension"].alias("dimension"), unit["factor"].alias("factor"))
+    described = product_descriptions(docs).select("doc_id", F.col("text").alias("product_description"), F.col("page").alias("product_description_page"))
+    return base.join(described, "doc_id", "left").join(physical_properties(docs, declared), "doc_id", "left")

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from envidecl.schemas import RAW_DOCUMENT
+from envidecl.sources import documents as documents_
 from envidecl.sources import sections
 
 
@@ -52,7 +53,7 @@ def test_cover_titles(spark):
         [page(1, "Expiry date\n01.01.2030\nOne\nTwo\nPublisher\nThree\nFour")], [page(1, None)],
     )
     makers = spark.createDataFrame([("d0", "MAKER A/S")], "doc_id string, manufacturer string")
-    assert told(sections.cover_titles(docs, makers), "title") == {"d0": "Roof panel R 200", "d1": "Facade brick", "d3": "One Two Three"}
+    assert told(documents_.cover_titles(docs, makers), "title") == {"d0": "Roof panel R 200", "d1": "Facade brick", "d3": "One Two Three"}
 
 
 @pytest.mark.parametrize(("told_", "wanted", "factor"), [("g/m2", "kg/m2", 0.001), ("g/cm³", "kg/m3", 1000.0), ("kg per m3", "kg/m3", 1.0), ("t/m3", "kg/m3", 1000.0), ("kg/dm3", "kg/m3", 1000.0), ("g/cm2", "kg/m2", 10.0), ("kg/km", "kg/m", 0.001), ("lb", "kg", 0.45359237), ("g", "kg", 0.001), ("N/mm2", "kg/m2", 1.0), ("", "kg/m3", 1.0), ("kg/m2", "kg/m3", 1.0)])
