@@ -4,9 +4,9 @@ import pytest
 
 from tests.conftest import SF, canonical
 
-from envidecl.plans import cases, datasets, driver, families
+from envidecl.plans import cases, datasets, driver, families, records
 
-assert cases and datasets  # they register their queries with driver
+assert cases and datasets and records  # they register their queries with driver
 
 
 @pytest.mark.parametrize("name", sorted(driver.QUERIES))
