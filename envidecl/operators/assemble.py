@@ -36,15 +36,16 @@ def _records(rows: DataFrame, known: dict[str, Column], facts: DataFrame, declar
     metadata = F.struct(*[known.get(n, F.lit(None)).cast(k).alias(n) for n, k in _FIELDS])
     modules = declared.groupBy("epd_uid").agg(F.map_from_entries(F.collect_list(F.struct("module", "declared"))).alias("declared"))
     out = rows.withColumn("metadata", metadata).join(results.nest(facts), "epd_uid", "left").join(modules, "epd_uid", "left")
-    return out.select("epd_uid", "metadata", "results", "declared", "source_format", "file_sha256", "full_text")
+    own = [c for c in ("source_file",) if c in rows.columns]
+    return out.select("epd_uid", "metadata", "results", "declared", "source_format", "file_sha256", "full_text", *own)
 
 
 def from_documents(docs: DataFrame, everything: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Records and facts of documents laid out on pages (``schemas.RAW_DOCUMENT``; a column file_sha256 is kept)."""
+    """Records and facts of documents laid out on pages (``schemas.RAW_DOCUMENT``; columns file_sha256 and source_file are kept)."""
     if "file_sha256" not in docs.columns:
         docs = docs.withColumn("file_sha256", F.lit(None).cast("string"))
     text = F.array_join(F.transform("pages", lambda p: F.coalesce(p["text"], F.lit(""))), "\f")
-    base = docs.select("doc_id", "file_sha256", text.alias("full_text")).join(sections.metadata(docs), "doc_id", "left")
+    base = docs.select("doc_id", "file_sha256", *[c for c in ("source_file",) if c in docs.columns], text.alias("full_text")).join(sections.metadata(docs), "doc_id", "left")
     base = base.withColumn("standard_profile", standard_profile(F.col("full_text")))
     base = kept(base.withColumn("epd_uid", record_uid(F.col("registration_number"), F.lit(None).cast("string"), F.col("file_sha256"), F.col("full_text"))))
     uids = base.select("doc_id", "epd_uid")

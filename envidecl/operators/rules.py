@@ -17,6 +17,10 @@ from .results import first_value, pivot_modules, product_stage, reporting_helper
 REPEATS_IN_FULL_TEXT = 5
 #: Characters of the text that operators are looked for in, and of the classifier's fields.
 HEAD, COVER, BODY = 6000, 3000, 60_000
+#: Hits that evidence keeps, fields that hints are looked for in, and fields that name a product.
+EVIDENCE = 12
+HINTED = ("pcr", "product_category", "ilcd_classification")
+NAMING = ("product_name", "ilcd_classification")
 
 
 def _escape(word: str) -> str:
@@ -52,60 +56,91 @@ def category_fields(records: DataFrame) -> DataFrame:
     return records.select("epd_uid", F.inline(fields)).where(F.length("text") > 0)
 
 
-def category_scores(fields: DataFrame, categories: list[tuple] | None = None) -> DataFrame:
-    """epd_uid, category, score. A word inside a longer hit of another category does not count.
+def _first_word(word: str) -> str:
+    """The word that a text must hold for a keyword to be in it, or none if the keyword does not begin with one."""
+    found = re.match(r"\w+", word)
+    return found[0] if found else ""
+
 
-    categories: (id, parent, strong words, weak words, patterns, hints); the default is the engine's own.
+def category_hits(fields: DataFrame, categories: list[tuple] | None = None) -> DataFrame:
+    """epd_uid, field, category, ord, parent, kind, word, n, points (of one hit): what counts for each category.
 
-    Rules are a fixed list of a few hundred; each text is matched against them in place, so the
-    join has no shuffle. A word counts once in a field, five times in the full text.
+    A word inside a longer hit of another category does not count. A word counts once in a field, five times in the full text; of a
+    category's hints the best one of a field counts.
+
+    Rules are a fixed list of a few hundred, broadcast. A text meets those keywords whose first word it has: its words are matched
+    with all first words at once, and only what is left is searched for. Patterns and hints are few and are searched for everywhere.
     """
     spark = fields.sparkSession
-    rules = F.broadcast(spark.createDataFrame(_rules(categories), "ord int, category string, parent string, kind string, pattern string, w double, word string"))
+    rows = [(*r, _first_word(r[6]) if r[3] in ("strong", "weak") else "") for r in _rules(categories)]
+    rules = F.broadcast(spark.createDataFrame(rows, "ord int, category string, parent string, kind string, pattern string, w double, word string, _first string"))
+    firsts = F.array(*[F.lit(x) for x in sorted({r[-1] for r in rows} - {""})]).cast("array<string>")
     low = fields.withColumn("_low", F.lower("text"))
-    near = (F.col("kind") == "pattern") | F.contains(F.col("_low"), F.lower("word"))
-    pairs = low.join(rules, near & ((F.col("kind") != "pcr_hint") | (F.col("field") == "pcr")))
-    hits = pairs.withColumn("n", F.regexp_count("text", F.col("pattern"))).where("n > 0")
-    other = hits.where("kind IN ('strong', 'weak')").select(
-        F.col("epd_uid").alias("_u"), F.col("field").alias("_f"), F.col("category").alias("_c"), F.col("word").alias("_w"), F.col("n").alias("_n")
-    )
-    covered = (
-        hits.where("kind IN ('strong', 'weak')")
-        .join(
-            other,
-            (F.col("epd_uid") == F.col("_u")) & (F.col("field") == F.col("_f")) & (F.col("category") != F.col("_c"))
-            & (F.length("_w") > F.length("word")) & F.contains(F.col("_w"), F.col("word")),
-        )
-        .groupBy("epd_uid", "field", "category", "word")
-        .agg(F.sum("_n").alias("_covered"))
-    )
+    held = low.withColumn("_first", F.explode(F.array_append(F.array_intersect(F.split("_low", r"(?U)\W+"), firsts), "")))
+    hinted = (F.col("kind") != "pcr_hint") | F.col("field").isin(*HINTED)
+    pairs = held.join(rules, "_first").where(((F.col("kind") == "pattern") | F.contains(F.col("_low"), F.lower("word"))) & hinted)
+    hits = pairs.withColumn("n", F.regexp_count("text", F.col("pattern"))).where("n > 0").drop("text", "_low", "_first", "pattern")
+    worded = hits.where("kind IN ('strong', 'weak')")
+    other = worded.select(F.col("epd_uid").alias("_u"), F.col("field").alias("_f"), F.col("category").alias("_c"), F.col("word").alias("_w"), F.col("n").alias("_n"))
+    inside = (F.col("epd_uid") == F.col("_u")) & (F.col("field") == F.col("_f")) & (F.col("category") != F.col("_c")) & (F.length("_w") > F.length("word")) & F.contains(F.col("_w"), F.col("word"))
+    covered = worded.join(other, inside).groupBy("epd_uid", "field", "category", "word").agg(F.sum("_n").alias("_covered"))
     left = hits.join(covered, ["epd_uid", "field", "category", "word"], "left").withColumn("n", F.col("n") - F.coalesce("_covered", F.lit(0))).where("n > 0")
-    cap = F.when(F.col("field") == "full_text", REPEATS_IN_FULL_TEXT).otherwise(1)
     hint = F.col("kind") == "pcr_hint"
-    counted = left.withColumn("points", F.least("n", cap) * F.col("w") * F.col("weight"))
-    hints = counted.where(hint).groupBy("epd_uid", "field", "category", "ord", "parent").agg(F.max("points").alias("points"))
-    words = counted.where(~hint).select("epd_uid", "field", "category", "ord", "parent", "points")
-    return words.unionByName(hints).groupBy("epd_uid", "category", "ord", "parent").agg(F.sum("points").alias("score"))
+    cap = F.when((F.col("field") == "full_text") & ~hint, REPEATS_IN_FULL_TEXT).otherwise(1)
+    counted = left.select("epd_uid", "field", "category", "ord", "parent", "kind", "word", F.least("n", cap).cast("int").alias("n"), (F.col("w") * F.col("weight")).alias("points"))
+    best = counted.where(hint).groupBy("epd_uid", "field", "category", "ord", "parent").agg(F.min_by(F.struct("kind", "word", "n", "points"), F.struct(-F.col("points"), "word")).alias("b"))
+    return counted.where(~hint).unionByName(best.select("epd_uid", "field", "category", "ord", "parent", "b.*"))
+
+
+def category_scores(fields: DataFrame, categories: list[tuple] | None = None) -> DataFrame:
+    """epd_uid, category, ord, parent, score of the categories that a record has hits of; see ``category_hits``."""
+    return category_hits(fields, categories).groupBy("epd_uid", "category", "ord", "parent").agg(F.sum(F.col("n") * F.col("points")).alias("score"))
+
+
+def category_evidence(hits: DataFrame, most: int = EVIDENCE) -> DataFrame:
+    """Scores with ``evidence``: the first hits of each category, in the order of fields, kinds and words, by falling points, and ``named``: one is in the name.
+
+    What is collected of a category is bounded by its rules, which are a fixed list.
+    """
+    order = F.create_map(*[F.lit(x) for k, f in enumerate(D.FIELD_WEIGHTS) for x in (f, k)])
+    one = F.struct(F.coalesce(F.try_element_at(order, F.col("field")), F.lit(99)).alias("at"), (F.col("kind") == "pcr_hint").alias("hint"), -F.col("points"), "word", "field", "kind", F.bround("points", 2).alias("points"), "n")
+    per = hits.groupBy("epd_uid", "category", "ord", "parent").agg(
+        F.sum(F.col("n") * F.col("points")).alias("score"), F.array_sort(F.collect_list(one)).alias("_e"), F.max(F.col("field").isin(*NAMING)).alias("named")
+    )
+    entry = lambda e: F.struct(e["field"].alias("field"), e["word"].alias("keyword"), e["kind"].alias("kind"), e["points"].alias("points"))
+    arrived = F.slice(F.flatten(F.transform("_e", lambda e: F.array_repeat(entry(e), e["n"]))), 1, most)
+    ranked = F.transform(F.array_sort(F.transform(arrived, lambda e, k: F.struct((-e["points"]).alias("p"), k.alias("k"), e.alias("e")))), lambda x: x["e"])
+    return per.select("epd_uid", "category", "ord", "parent", "score", "named", ranked.alias("evidence"))
 
 
 def classify(records: DataFrame, least: float = 3.0, categories: list[tuple] | None = None) -> DataFrame:
-    """epd_uid, category, confidence and three alternatives; a child with half its parent's score takes its place."""
-    scores = category_scores(category_fields(records), categories)
+    """epd_uid, category, confidence, score, margin to the best competitor, three alternatives with their scores, and evidence.
+
+    A child with half its parent's score that the name or classification has a hit of takes its place. Competitors are neither the parent
+    nor children of the chosen one.
+    """
+    scores = category_evidence(category_hits(category_fields(records), categories))
     w = Window.partitionBy("epd_uid").orderBy(F.desc("score"), "ord")
     ranked = scores.withColumn("_rank", F.row_number().over(w))
-    per = ranked.groupBy("epd_uid").agg(F.array_sort(F.collect_list(F.struct("_rank", "category", "parent", "score"))).alias("_r"))
+    per = ranked.groupBy("epd_uid").agg(F.array_sort(F.collect_list(F.struct("_rank", "category", "parent", "score", "named", "evidence"))).alias("_r"))
     top = F.get("_r", F.lit(0))
-    child = F.get(F.filter("_r", lambda x: (x["parent"] == top["category"]) & (x["score"] >= 0.5 * top["score"])), F.lit(0))
-    chosen = F.coalesce(child, top)
+    child = F.get(F.filter("_r", lambda x: (x["parent"] == top["category"]) & (x["score"] >= 0.5 * top["score"]) & x["named"]), F.lit(0))
+    joined = records.select("epd_uid").join(per, "epd_uid", "left").withColumn("_c", F.coalesce(child, top)).withColumn("_enough", F.coalesce(top["score"] >= least, F.lit(False)))
+    chosen, enough = F.col("_c"), F.col("_enough")
     rival = F.get(F.filter("_r", lambda x: (x["category"] != chosen["category"]) & ~x["category"].eqNullSafe(chosen["parent"]) & ~x["parent"].eqNullSafe(chosen["category"])), F.lit(0))
-    margin = (chosen["score"] - F.coalesce(rival["score"], F.lit(0.0))) / F.greatest(chosen["score"], F.lit(1e-9))
-    sure = F.bround(F.least(F.lit(0.98), 0.45 + 0.4 * F.greatest(margin, F.lit(0.0)) + 0.15 * F.least(F.lit(1.0), chosen["score"] / 30)), 2)
-    enough = F.coalesce(top["score"] >= least, F.lit(False))
-    return records.select("epd_uid").join(per, "epd_uid", "left").select(
+    margin = F.greatest((chosen["score"] - F.coalesce(rival["score"], F.lit(0.0))) / F.greatest(chosen["score"], F.lit(1e-9)), F.lit(0.0))
+    sure = F.bround(F.least(F.lit(0.98), 0.45 + 0.4 * margin + 0.15 * F.least(F.lit(1.0), chosen["score"] / 30)), 2)
+    # Without a category every ranked one is an alternative.
+    rest = F.slice(F.filter(F.coalesce("_r", F.array()), lambda x: ~enough | (x["category"] != chosen["category"])), 1, 3)
+    return joined.select(
         "epd_uid",
         F.when(enough, chosen["category"]).otherwise(D.FALLBACK).alias("category"),
         F.when(enough, sure).otherwise(0.0).alias("category_confidence"),
-        F.transform(F.slice(F.filter(F.coalesce("_r", F.array()), lambda x: x["category"] != F.coalesce(chosen["category"], F.lit(""))), 1, 3), lambda x: x["category"]).alias("alternatives"),
+        F.transform(rest, lambda x: x["category"]).alias("alternatives"),
+        F.when(enough, chosen["score"]).alias("category_score"),
+        F.when(enough, F.bround(margin, 4)).alias("category_margin"),
+        F.transform(rest, lambda x: F.bround(x["score"], 2)).alias("alternative_scores"),
+        F.when(enough, chosen["evidence"]).otherwise(F.slice(chosen["evidence"], 1, 0)).alias("category_evidence"),
     )
 
 
@@ -318,14 +353,18 @@ def summarize(records: DataFrame, facts: DataFrame, checked: DataFrame, classifi
     none = F.lit(None).cast("string")
     member = F.coalesce((F.col("programme_operator") == "pass").cast("int"), F.lit(0))
     met = F.coalesce("mandatory_ok", F.lit(False)).cast("int")
+    # Label and element of a category; one of another dictionary has its id as label.
+    labels = F.create_map(*[F.lit(x) for c, (label, element) in D.CATEGORY_LABELS.items() for x in (f"{c} 0", label)] + [F.lit(x) for c, (_, element) in D.CATEGORY_LABELS.items() for x in (f"{c} 1", element)])
+    named = lambda k: F.try_element_at(labels, F.concat(F.col("category"), F.lit(f" {k}")))
+    told = lambda k: F.coalesce(named(0), F.initcap(F.translate("category", "_", " "))) if k == 0 else named(1)
     return joined.select(
         "epd_uid",
         *[md[c].alias(c) for c in own],
         md["programme_operator"].alias("programme_operator"),
         member.alias("eco_platform_member"),
         F.col("category"),
-        F.initcap(F.translate("category", "_", " ")).alias("category_label"),
-        none.alias("building_element"),
+        told(0).alias("category_label"),
+        told(1).alias("building_element"),
         "category_confidence",
         md["declared_unit_raw"].alias("declared_unit"),
         unit["quantity"].alias("declared_quantity"),
@@ -342,10 +381,10 @@ def summarize(records: DataFrame, facts: DataFrame, checked: DataFrame, classifi
         *[F.col(c).alias(c.replace("n_", "step1_")) for c in counts],
         met.alias("dgnb_mandatory_met"),
         "source_format",
-        none.alias("source_file"),
+        (F.col("source_file") if "source_file" in records.columns else none).alias("source_file"),
         F.col("file_sha256").alias("source_sha256"),
         F.lit("extracted_not_approved").alias("review_status"),
-        normalized_search_text(md["registration_number"], md["product_name"], md["manufacturer"], md["programme_operator"], md["pcr"], md["product_description"], F.col("category")).alias("search_text"),
+        normalized_search_text(md["registration_number"], md["product_name"], md["manufacturer"], md["programme_operator"], md["pcr"], md["product_description"], F.col("category"), told(0), told(1)).alias("search_text"),
         # What the filters of search go by.
         F.col("category").alias("category_id"),
         F.col("worst").alias("step1_worst"),

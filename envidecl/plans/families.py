@@ -421,3 +421,21 @@ def enumerations(spark: SparkSession, d: str) -> DataFrame:
         F.lit('<xs:schema><xs:element name="e"/><xs:simpleType name="T'), F.col("n_nationkey").cast("string"), F.lit('"><xs:restriction base="s"><xs:enumeration value="'), "n_name", F.lit('"/><xs:enumeration value="other"/></xs:restriction></xs:simpleType></xs:schema>')
     )
     return registries.enumerations(t(spark, d, "nation").select(xml.alias("xml")))
+
+
+@register(
+    "WITH w(category, word, points) AS (VALUES " + ", ".join(f"('{c}', '{w}', {p})" for c, w, p, _ in _RULES) + "), "
+    "f AS (SELECT p_partkey, 'product_name' AS field, 1 AS place, p_name AS txt, 5.0 AS weight FROM part UNION ALL SELECT p_partkey, 'pcr', 2, p_type, 3.0 FROM part), "
+    "h AS (SELECT p_partkey, field, place, category, word, (points * weight)::DOUBLE AS points FROM f, w WHERE regexp_matches(lower(txt), '(^|[^a-z])' || word || '($|[^a-z])')), "
+    "k AS (SELECT * FROM h WHERE NOT EXISTS (SELECT 1 FROM h o WHERE o.p_partkey = h.p_partkey AND o.field = h.field AND o.category <> h.category AND length(o.word) > length(h.word) AND contains(o.word, h.word)) "
+    "UNION ALL SELECT p_partkey, field, place, 'finish', 'pattern', (2.5 * weight)::DOUBLE FROM f WHERE txt IN ('SMALL')) "
+    "SELECT p_partkey, category, string_agg(field || ' ' || word || ' ' || points::VARCHAR, ', ' ORDER BY points DESC, place, word) AS evidence, bool_or(field = 'product_name') AS named FROM k GROUP BY 1, 2"
+)
+def category_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """The hits that a category's score is made of, the best first."""
+    fields = F.array(*[F.struct(F.lit(f).alias("field"), F.lit(w).alias("weight"), F.col(c).alias("text")) for f, w, c in (("product_name", 5.0, "p_name"), ("pcr", 3.0, "p_type"))])
+    rows = t(spark, d, "part").select(F.col("p_partkey").alias("epd_uid"), F.inline(fields))
+    found = rules.category_evidence(rules.category_hits(rows, _WORDS))
+    word = lambda e: F.when(e["kind"] == "pattern", "pattern").otherwise(e["keyword"])
+    line = F.transform("evidence", lambda e: F.concat_ws(" ", e["field"], word(e), e["points"].cast("string")))
+    return found.select(F.col("epd_uid").alias("p_partkey"), "category", F.array_join(line, ", ").alias("evidence"), "named")
