@@ -7,9 +7,10 @@ cover every word; all of them are scored. Attention pools the states of a window
 document's score is that of its most toxic window.
 
 Training takes a bounded sample of labelled rows (``SAMPLE_ROWS`` rows of each label, chosen
-by a hash of the id, whatever their length) to the driver; held-out rows are never read. A
-text of more than ``SAMPLE_WORDS`` words gives runs of words spread evenly over all of it,
-which tasks cut, so the driver holds a bounded number of words. A document's gradient is spread over its windows by a softmax of their scores,
+by a hash of the id, whatever their length) to one task; held-out rows are never read, and the
+driver gets the parameters alone. A text of more than ``SAMPLE_WORDS`` words gives runs of words spread evenly over all of it,
+which tasks cut, so that task holds a bounded number of words. Words lose their own embedding at random (``DROPPED``), and parameters
+shrink (``DECAY``), so that a few hundred rows are not learned by heart. A document's gradient is spread over its windows by a softmax of their scores,
 whose temperature falls, so that the network finds the windows that explain the label.
 
 Scoring is vectorised over Arrow batches: words are hashed from the column's bytes, the
@@ -28,6 +29,7 @@ Defined results
 
 from __future__ import annotations
 
+import pickle
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -46,6 +48,8 @@ BUCKETS, VOCABULARY = 1 << 13, 20_000
 #: The bounds of the training sample.
 SAMPLE_ROWS, SAMPLE_WORDS, RUN_WORDS = 2000, 2048, 64
 EPOCHS, LEAST_STEPS, BATCH_DOCS, RATE = 4, 400, 32, 0.01
+#: Share of a batch's words that lose their own embedding, and by how much parameters shrink in a step, times the rate.
+DROPPED, DECAY = 0.6, 1.0
 THRESHOLD = 0.3
 #: Distinct words whose gate inputs a worker keeps, 200 bytes each.
 CACHED_WORDS = 250_000
@@ -187,8 +191,10 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Network:
         return Network({}, np.zeros(0, np.uint64), float(y.mean()) if len(y) else 0.0)
     raw, rows = T.buffers(pa.array(texts, pa.string()))
     row, start, stop, h = T.words(raw, rows, T.ALNUM)
-    pairs = np.unique(np.stack([h, row.astype(np.uint64)]), axis=1)[0]
-    seen, docs_with = np.unique(pairs, return_counts=True)
+    counts = np.bincount(row, minlength=len(texts))
+    first = np.cumsum(counts) - counts
+    seen, docs_with = np.unique(np.concatenate([np.unique(h[a : a + n]) for a, n in zip(first, counts, strict=True)]), return_counts=True)
+    del row
     often = np.argsort(-docs_with, kind="stable")[:VOCABULARY]
     vocabulary = np.sort(seen[often[docs_with[often] >= 2]])
     rand = lambda *s: (rng.randn(*s) * 0.2).astype(np.float32)
@@ -197,8 +203,6 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Network:
     p |= {f"{k}{s}": rand(*shape) for s in "fb" for k, shape in (("W", (d, 3 * HIDDEN)), ("U", (HIDDEN, 3 * HIDDEN)))}
     p |= {"bf": np.zeros(3 * HIDDEN, np.float32), "bb": np.zeros(3 * HIDDEN, np.float32), "c": np.array([-1.0], np.float32)}
     net = Network(p, vocabulary)
-    counts = np.bincount(row, minlength=len(texts))
-    first = np.cumsum(counts) - counts
     mean, square = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
     order = np.flatnonzero(counts)
     in_epoch = max(1, -(-len(order) // BATCH_DOCS))
@@ -215,6 +219,8 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Network:
             valid = np.arange(WINDOW) < size[:, None]
             at = of[place]
             x, known, kept, cw, cb = net.inputs(distinct, raw, start[pick][at_first], stop[pick][at_first])
+            kept &= rng.rand(len(distinct)) >= DROPPED
+            x[~kept, :WORD_DIM] = 0
             gf, gb = net.gates(x)
             hold: list = []
             logit = net.run(gf, gb, at, valid, hold)
@@ -239,6 +245,8 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Network:
                 mean[k] += 0.1 * (g[k] - mean[k])
                 square[k] += 0.001 * (g[k] ** 2 - square[k])
                 p[k] -= (rate * mean[k] / (np.sqrt(square[k]) + 1e-8)).astype(np.float32)
+                if p[k].ndim == 2:
+                    p[k] *= np.float32(1 - rate * DECAY)
     return net
 
 
@@ -305,8 +313,18 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Network:
     found = docs.select("doc_id", "text").join(F.broadcast(chosen[0].union(chosen[1])), F.col("doc_id") == F.col("_doc"))
     found = found.select("_toxic", "_o", "_doc", spread(F.coalesce("text", F.lit(""))).alias("text")).distinct()
     got = [found.where(F.col("_toxic") == k).orderBy("_o", "_doc", "text").limit(rows) for k in (0, 1)]
-    all_ = sorted(got[0].union(got[1]).collect(), key=lambda r: (r["_o"], r["_doc"], r["text"]))
-    return train([r["text"] for r in all_], [r["_toxic"] for r in all_])
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        some = [b for b in batches if b.num_rows]
+        texts, labelled = [], []
+        if some:
+            all_ = pa.Table.from_batches(some).sort_by([("_o", "ascending"), ("_doc", "ascending"), ("text", "ascending")])
+            texts, labelled = all_["text"].to_pylist(), all_["_toxic"].to_pylist()
+        net = train(texts, labelled)
+        yield pa.record_batch([pa.array([pickle.dumps((net.p, net.vocabulary, net.base))], pa.binary())], names=["net"])
+
+    # One partition of bounded size; a task that is lost trains again, to the same network.
+    return Network(*pickle.loads(got[0].union(got[1]).coalesce(1).mapInArrow(learn, "net binary").first()["net"]))
 
 
 def spread(text: Column, most: int = SAMPLE_WORDS, run: int = RUN_WORDS) -> Column:
