@@ -12,9 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..dims import tables as D
+from ..functions.dates import resolve_validity
 from ..functions.domain import language_vote, standard_profile
 from ..functions.text import record_uid
-from ..functions.units import normalize_unit
+from ..functions.units import normalize_unit, parse_declared_unit
 from ..schemas import FACT_RESULT, RECORD
 from ..session import kept
 from ..sources import documents, ilcd, sections
@@ -122,6 +123,52 @@ def derive(records: DataFrame, facts: DataFrame | None = None, overrides: DataFr
     return Derived(long, classified, checked, rules.step1_report(records, long, checked), rules.summarize(records, long, checked, classified))
 
 
+def reporting_modes(facts: DataFrame) -> DataFrame:
+    """epd_uid and how each declaration reports the product stage of its total warming potential, that of +A2 if it has both."""
+    has = lambda module: F.coalesce(F.bool_or((F.col("module") == module) & F.col("value").isNotNull()), F.lit(False))
+    per = facts.where("scenario = '' AND indicator IN ('GWP-total', 'GWP')").groupBy("epd_uid", "indicator").agg(has("A1-A3").alias("t"), *[has(m).cast("int").alias(m) for m in ("A1", "A2", "A3")])
+    mode = results.a1_a3_mode(F.col("t"), F.col("A1") + F.col("A2") + F.col("A3"))
+    return per.groupBy("epd_uid").agg(F.max_by(mode, "indicator").alias("a1_a3_reporting_mode"))
+
+
+def migrate(records: DataFrame, version: str = "2.0") -> DataFrame:
+    """Records of older schemas with all that the current one has; nothing that is there changes.
+
+    records: those of RECORD, and schema_version, category and worst (the checklist's worst status), null where a record has none.
+    One of the current version with a category and a checklist is left as it is. In others what older versions did not know is derived again:
+    ISO 14025 from an external verification, the conversion factor from a mass, dates and declared quantities in plain form, the
+    reporting mode and the checklist in any case, and the category if there is none.
+    """
+    old = F.coalesce("schema_version", F.lit("1.0"))
+    ready = (old == version) & F.col("worst").isNotNull() & F.col("category").isNotNull()
+    base = records.select("*", ready.alias("_ready"), old.alias("_old"))
+    md, unit = F.col("metadata"), parse_declared_unit(F.col("metadata.declared_unit_raw"))
+    external = F.when(F.contains(F.lower(md["verification"]), F.lit("external")), True)
+    factor = F.bround(unit["quantity"] / F.nullif(md["mass_per_declared_unit_kg"], F.lit(0.0)), 8)
+    filled = md.withField("iso14025", F.coalesce(md["iso14025"], external)).withField("conversion_factor_to_1kg", F.coalesce(md["conversion_factor_to_1kg"], factor))
+    base = kept(base.withColumn("metadata", F.when(F.col("_ready"), md).otherwise(filled)))
+    todo = base.where("NOT _ready")
+    facts = results.flatten(todo)
+    facts = kept(facts.withColumn("unit", normalize_unit(F.col("unit"))))
+    checked = rules.step1(todo, facts).select("epd_uid", F.col("worst").alias("_worst"), "mandatory_ok", *[f"n_{k}" for k in ("pass", "warning", "fail", "missing")])
+    classified = rules.classify(todo.where("category IS NULL")).select("epd_uid", F.col("category").alias("_category"))
+    out = base.join(reporting_modes(facts), "epd_uid", "left").join(checked, "epd_uid", "left").join(classified, "epd_uid", "left")
+    dates, new = resolve_validity(md["publication_date"], md["valid_until"]), ~F.col("_ready")
+    return out.select(
+        *[c for c in records.columns if c not in ("schema_version", "category", "worst")],
+        F.coalesce("category", "_category").alias("category"),
+        F.when(new, F.col("_worst")).otherwise(F.col("worst")).alias("worst"),
+        "mandatory_ok", "n_pass", "n_warning", "n_fail", "n_missing",
+        F.when(new, F.coalesce("a1_a3_reporting_mode", F.lit("none"))).alias("a1_a3_reporting_mode"),
+        F.when(new, dates["published"].cast("string")).alias("publication_date_iso"),
+        F.when(new, dates["valid"].cast("string")).alias("valid_until_iso"),
+        F.when(new, unit["quantity"]).alias("declared_quantity"),
+        F.when(new, unit["unit"]).alias("declared_unit"),
+        F.when(new, F.col("_old")).alias("migrated_from_schema"),
+        F.lit(version).alias("schema_version"),
+    )
+
+
 def edit_fields(records: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Metadata as reviewers left it, and a log of what was there before.
 

@@ -22,6 +22,8 @@ ORACLE: dict[str, str] = {}
 
 def register(sql: str) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
+        if f.__name__ in QUERIES:
+            raise ValueError(f"there is a query {f.__name__} already")
         QUERIES[f.__name__], ORACLE[f.__name__] = f, sql
         return f
 
@@ -209,12 +211,6 @@ def import_summary(spark: SparkSession, d: str) -> DataFrame:
     return store.import_summary(t(spark, d, "orders").select(F.col("o_orderstatus").alias("status")))
 
 
-@register("SELECT l_orderkey, l_linenumber, list_sort([{'a': abs(l_quantity - 5), 'h': 0}, {'a': abs(l_quantity - 20), 'h': 1}, {'a': abs(l_quantity - 40), 'h': 2}])[1].h AS nearest FROM lineitem")
-def nearest_header(spark: SparkSession, d: str) -> DataFrame:
-    heads = F.array(*[F.struct(F.abs(F.col("l_quantity") - x).alias("a"), F.lit(k).alias("h")) for k, x in enumerate((5.0, 20.0, 40.0))])
-    return t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.array_min(heads)["h"].alias("nearest"))
-
-
 @register(
     "WITH x AS (SELECT event_id, user_id, ts, coalesce(epoch(ts) - epoch(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) > 1800, true) AS fresh FROM events) "
     "SELECT event_id, user_id, CAST(sum(fresh::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS segment FROM x"

@@ -13,24 +13,23 @@ from ..sources import sections
 from .datasets import _documents, _page, _table, _text, _word
 from .driver import register, t
 
-K, SIZE = F.col("p_partkey"), F.col("p_size")
 _NUMBER = "'MD-' || lpad(p_partkey::VARCHAR, 5, '0') || '-EN'"
 
 
 def _number() -> Column:
-    return F.concat(F.lit("MD-"), F.lpad(K.cast("string"), 5, "0"), F.lit("-EN"))
+    return F.concat(F.lit("MD-"), F.lpad(F.col("p_partkey").cast("string"), 5, "0"), F.lit("-EN"))
 
 
 def declarations(spark: SparkSession, d: str) -> DataFrame:
     """A document for every part: a cover with labels, a section, wordings that depend on the size, and a table of results."""
-    life = F.when(SIZE > 25, F.concat(F.lit("Reference service life: "), SIZE.cast("string"), F.lit(" years."))).otherwise("Reference service life is not declared.")
+    life = F.when(F.col("p_size") > 25, F.concat(F.lit("Reference service life: "), F.col("p_size").cast("string"), F.lit(" years."))).otherwise("Reference service life is not declared.")
     text = F.concat_ws(
-        "\n", F.lit("EN 15804+A2 and ISO 14025"), life, F.lit("The declared unit is 2 m2 of product."), F.when(SIZE % 2 == 0, "Independent external verifier").otherwise("nobody"),
-        F.when(SIZE % 5 == 0, F.concat(F.lit("Area weight "), SIZE * 100, F.lit(" g/m2"))), F.lit("Product description"), F.concat(F.lit("The "), "p_name", F.lit(" is a panel for inner walls and ceilings.")), F.lit("Application"), F.lit("never read"),
+        "\n", F.lit("EN 15804+A2 and ISO 14025"), life, F.lit("The declared unit is 2 m2 of product."), F.when(F.col("p_size") % 2 == 0, "Independent external verifier").otherwise("nobody"),
+        F.when(F.col("p_size") % 5 == 0, F.concat(F.lit("Area weight "), F.col("p_size") * 100, F.lit(" g/m2"))), F.lit("Product description"), F.concat(F.lit("The "), "p_name", F.lit(" is a panel for inner walls and ceilings.")), F.lit("Application"), F.lit("never read"),
     )
-    labels = [["Declaration number", _number()], ["Manufacturer", F.col("p_brand")], ["Product name", F.concat(F.lit("Part "), "p_name")], ["Issue date", "2020-01-31"], ["Valid until", F.concat((SIZE + 2000).cast("string"), F.lit("-06-30"))], ["Programme operator", F.when(SIZE % 3 == 0, "EPD Danmark").otherwise("Nobody at all")]]
-    parts = F.when(SIZE % 4 == 0, SIZE + 10.0).otherwise(SIZE + 0.5)
-    results = [["Indicator", "Unit", "A1", "A2", "A3", "A1-A3", "C3", "D"], ["GWP-total", "kg CO2 eq", SIZE, "0.25", "0.25", parts, "MND", "-1.25"], ["ODP", "kg CFC 11 eq", "1E-7", "0", "0", "1E-7", "ND", "ND"]]
+    labels = [["Declaration number", _number()], ["Manufacturer", F.col("p_brand")], ["Product name", F.concat(F.lit("Part "), "p_name")], ["Issue date", "2020-01-31"], ["Valid until", F.concat((F.col("p_size") + 2000).cast("string"), F.lit("-06-30"))], ["Programme operator", F.when(F.col("p_size") % 3 == 0, "EPD Danmark").otherwise("Nobody at all")]]
+    parts = F.when(F.col("p_size") % 4 == 0, F.col("p_size") + 10.0).otherwise(F.col("p_size") + 0.5)
+    results = [["Indicator", "Unit", "A1", "A2", "A3", "A1-A3", "C3", "D"], ["GWP-total", "kg CO2 eq", F.col("p_size"), "0.25", "0.25", parts, "MND", "-1.25"], ["ODP", "kg CFC 11 eq", "1E-7", "0", "0", "1E-7", "ND", "ND"]]
     return _documents(t(spark, d, "part"), "p_partkey", [_page(1, text, [], [_table(labels)]), _page(2, "Results", [], [_table(results)])])
 
 
@@ -89,7 +88,7 @@ def assembled_edits(spark: SparkSession, d: str) -> DataFrame:
 @register("SELECT p_partkey::VARCHAR AS doc_id, 2 AS page, 'The ' || p_name || ' begins in the first column and ends in the second one.' AS text FROM part WHERE p_size > 10")
 def document_sections(spark: SparkSession, d: str) -> DataFrame:
     """A section that goes on in the next column up to a stop heading, and one that is too short."""
-    long = SIZE > 10
+    long = F.col("p_size") > 10
     words = [
         _word(50, 20, "Technical data"), _word(50, 700, "Product description"), _word(50, 712, F.when(long, F.concat(F.lit("The "), "p_name", F.lit(" begins in the first"))).otherwise("Short.")),
         _word(50, 724, F.when(long, "column and ends")), _word(320, 20, F.when(long, "in the second one.").otherwise("Another matter, which is long enough.")), _word(320, 36, "Packaging"), _word(320, 48, "Never read, however long this may be."),
@@ -121,10 +120,27 @@ def extended_fields(spark: SparkSession, d: str) -> DataFrame:
 )
 def page_properties(spark: SparkSession, d: str) -> DataFrame:
     """Mass of a declared unit from what pages say, in the units that they say it in."""
-    kind = SIZE % 4
-    text = F.when(kind == 0, F.concat(F.lit("Mass of the declared unit: "), SIZE * 3, F.lit(" kg"))).when(kind == 1, F.concat(F.lit("Grammage "), SIZE, F.lit(" g/m2"))).when(kind == 2, F.concat(F.lit("Gross density: "), SIZE, F.lit(" g/cm3\nDensity 1 kg/m3"))).otherwise("Nothing")
+    kind = F.col("p_size") % 4
+    text = F.when(kind == 0, F.concat(F.lit("Mass of the declared unit: "), F.col("p_size") * 3, F.lit(" kg"))).when(kind == 1, F.concat(F.lit("Grammage "), F.col("p_size"), F.lit(" g/m2"))).when(kind == 2, F.concat(F.lit("Gross density: "), F.col("p_size"), F.lit(" g/cm3\nDensity 1 kg/m3"))).otherwise("Nothing")
     rows = t(spark, d, "part")
     docs = _documents(rows, "p_partkey", [_page(1, "cover", [], []), _page(2, text, [], [])])
     unit = F.when(kind == 2, "m3").otherwise("m2")
-    declared = rows.select(K.cast("string").alias("doc_id"), F.lit(3.0).alias("quantity"), unit.alias("unit"), F.when(kind == 2, "volume").otherwise("area").alias("dimension"), F.lit(1.0).alias("factor"))
+    declared = rows.select(F.col("p_partkey").cast("string").alias("doc_id"), F.lit(3.0).alias("quantity"), unit.alias("unit"), F.when(kind == 2, "volume").otherwise("area").alias("dimension"), F.lit(1.0).alias("factor"))
     return sections.physical_properties(docs, declared).select("doc_id", "mass_per_declared_unit_kg", "mass_formula")
+
+
+@register(
+    f"SELECT {_NUMBER} AS epd_uid, '2.0' AS schema_version, CASE WHEN p_size % 3 <> 1 THEN CASE p_size % 3 WHEN 0 THEN '1.1' ELSE '2.0' END END AS migrated_from_schema, CASE WHEN p_size % 2 = 0 THEN 'external' END AS verification, CASE WHEN p_size % 3 <> 1 AND p_size % 2 = 0 THEN true END AS iso14025, "
+    "CASE WHEN p_size % 5 = 0 AND p_size % 3 <> 1 THEN round_even(2 / (p_size * 0.2), 8) WHEN p_size % 5 = 0 THEN NULL END::DOUBLE AS conversion_factor_to_1kg, CASE WHEN p_size % 3 <> 1 THEN 'split_plus_reported_total' END AS a1_a3_reporting_mode, "
+    "CASE WHEN p_size % 3 <> 1 THEN 'missing' ELSE 'kept' END AS worst, CASE WHEN p_size % 3 = 0 THEN 'wall' WHEN p_size % 3 = 1 THEN 'kept' ELSE 'boards' END AS category, CASE WHEN p_size % 3 <> 1 THEN (p_size + 2000) || '-06-30' END AS valid_until_iso, CASE WHEN p_size % 3 <> 1 THEN 2.0 END::DOUBLE AS declared_quantity FROM part"
+)
+def migrated_declarations(spark: SparkSession, d: str) -> DataFrame:
+    """Assembled records as older versions left them: without ISO 14025, factor, category or checklist; current ones stay as they are."""
+    records = kept(_records(spark, d))
+    sizes = t(spark, d, "part").select(_number().alias("epd_uid"), (F.col("p_size") % 3).alias("_kind"))
+    md = F.col("metadata")
+    old = records.join(sizes, "epd_uid").withColumn("metadata", md.withField("iso14025", F.lit(None).cast("boolean")).withField("conversion_factor_to_1kg", F.lit(None).cast("double")).withField("product_name", F.when(F.col("_kind") == 0, "Partition wall").otherwise("Something")))
+    old = old.withColumn("schema_version", F.when(F.col("_kind") == 0, "1.1").otherwise("2.0")).withColumn("category", F.when(F.col("_kind") == 1, "kept").when(F.col("_kind") == 2, "boards")).withColumn("worst", F.when(F.col("_kind") == 1, "kept"))
+    done = assemble.migrate(old.drop("_kind"))
+    own = ("verification", "iso14025", "conversion_factor_to_1kg")
+    return done.select("epd_uid", "schema_version", "migrated_from_schema", *[F.col(f"metadata.{c}").alias(c) for c in own], "a1_a3_reporting_mode", "worst", "category", "valid_until_iso", "declared_quantity")
