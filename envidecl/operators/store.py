@@ -152,7 +152,10 @@ class Store:
         table.append(lambda: new.join(table.read(buckets).select("key"), "key", "left_anti"))
 
     def put_blobs(self, blobs: DataFrame) -> None:
-        """key, content, content_type, original_name: bytes under their key, unless the key has some. A key stays below the store's folder."""
+        """key, content, content_type, original_name: bytes under their key, unless the key has some.
+
+        A key stays below the store's folder. A blob is a value of a row, so it has less than two gigabytes.
+        """
         outside = F.col("key").isNull() | (F.col("key") == "") | F.startswith("key", F.lit("/")) | F.arrays_overlap(F.split("key", "[/\\\\]"), F.array(F.lit(".."), F.lit(".")))
         key = F.when(outside, F.raise_error(F.concat(F.lit("not a blob key: "), F.coalesce("key", F.lit("null")))).cast("string")).otherwise(F.col("key"))
         self.register_blobs(

@@ -65,6 +65,27 @@ def unzip(files: DataFrame, largest: int = MAX_XML, suffix: str = "") -> DataFra
     return files.select("path", "content").mapInPandas(run, "path string, member string, content binary")
 
 
+def zip_problems(files: DataFrame, largest: int = MAX_XML, suffix: str = "") -> DataFrame:
+    """path, member, size and reason of what ``unzip`` leaves out: members that are too large, those of another suffix, and files that are no archive."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            for path, content in zip(f["path"], f["content"], strict=True):
+                if not zipfile.is_zipfile(io.BytesIO(content)):
+                    out.append((path, None, len(content), "no archive"))
+                    continue
+                with zipfile.ZipFile(io.BytesIO(content)) as z:
+                    for info in z.infolist():
+                        if not info.is_dir() and not info.filename.lower().endswith(suffix):
+                            out.append((path, info.filename, info.file_size, "suffix"))
+                        elif info.file_size > largest:
+                            out.append((path, info.filename, info.file_size, "too large"))
+            yield pd.DataFrame(out, columns=["path", "member", "size", "reason"])
+
+    return files.select("path", "content").mapInPandas(run, "path string, member string, size long, reason string")
+
+
 BUNDLE = "path string, kind string, key string, version int, text string, content binary"
 
 

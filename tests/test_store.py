@@ -185,6 +185,16 @@ def test_bundles_of_others_and_problems(spark, tmp_path):
         files.read_bundles(frame(theirs)).collect()
 
 
+def test_members_left_out_are_told(spark):
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("a.xml", "x"), z.writestr("big.XML", "y" * 100), z.writestr("note.txt", "no")
+    frame = spark.createDataFrame([("one", bytearray(out.getvalue())), ("two", bytearray(b"not a zip"))], "path string, content binary")
+    told = sorted((r["path"], r["member"] or "", r["reason"]) for r in files.zip_problems(frame, largest=50, suffix=".xml").collect())
+    assert told == [("one", "big.XML", "too large"), ("one", "note.txt", "suffix"), ("two", "", "no archive")]
+    assert [r["member"] for r in files.unzip(frame.where("path = 'one'"), largest=50, suffix=".xml").collect()] == ["a.xml"]
+
+
 def test_older_files_are_imported_once(spark, tmp_path):
     old = [{"metadata": {"registration_number": "md-1 en"}}, {"epd_uid": "own", "x": [1, {"y": None}]}, 7, {"document": {"sha256": "ab" * 32}}]
     (tmp_path / "epds.json").write_text("﻿" + json.dumps(old), encoding="utf-8")
