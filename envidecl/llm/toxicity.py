@@ -7,11 +7,12 @@ cover every word; all of them are scored. Attention pools the states of a window
 document's score is that of its most toxic window.
 
 Training takes a bounded sample of labelled rows (``SAMPLE_ROWS`` rows of each label, chosen
-by a hash of the id, whatever their length) to one task; held-out rows are never read, and the
-driver gets the parameters alone. A text of more than ``SAMPLE_WORDS`` words gives runs of words spread evenly over all of it,
-which tasks cut, so that task holds a bounded number of words. Words lose their own embedding at random (``DROPPED``), and parameters
-shrink (``DECAY``), so that a few hundred rows are not learned by heart. A document's gradient is spread over its windows by a softmax of their scores,
-whose temperature falls, so that the network finds the windows that explain the label.
+by a hash of the id, whatever their length), whole texts, from a scratch table; held-out rows
+are never read, and the driver gets the parameters alone. Spark counts the words to keep and
+sorts the rows of all epochs, and one task reads them as a stream and holds a batch at a time. Words lose their own embedding at random (``DROPPED``), and parameters
+shrink (``DECAY``), so that a few hundred rows are not learned by heart. A document's gradient is spread over all its windows by a softmax of their scores,
+whose temperature falls, so that the network finds the windows that explain the label. Windows
+beyond ``TRAINED_WINDOWS`` are run again, block by block, for their gradient, which is exact.
 
 Scoring is vectorised over Arrow batches: words are hashed from the column's bytes, the
 input side of the gates is computed once per distinct word and kept by the worker, and all
@@ -21,8 +22,8 @@ Defined results
 * null, empty or wordless text: score 0, where both labels were learned.
 * repeated rows get equal scores; a null ``doc_id`` is not held out.
 * labels that are null or lack their document teach nothing; several labels of a document
-  are several examples. Without both labels in the sample all scores, of wordless texts too,
-  are the share of ones; without any label they are 0.
+  are several examples. Without both labels or any word in the sample all scores, of wordless
+  texts too, are the share of ones; without any label they are 0.
 * extra columns pass through ``score``; an empty table gives an empty result.
 * very long texts are scored whole, window by window in blocks of bounded size.
 """
@@ -31,23 +32,25 @@ from __future__ import annotations
 
 import pickle
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from . import tokens as T
-from .common import bounded_batches, held_out, worker_state
+from .common import Scratch, bounded_batches, held_out, worker_state
 
 WINDOW, STRIDE, HIDDEN, WORD_DIM, CHAR_DIM = 32, 16, 8, 8, 8
 BUCKETS, VOCABULARY = 1 << 13, 20_000
-#: The bounds of the training sample.
-SAMPLE_ROWS, SAMPLE_WORDS, RUN_WORDS = 2000, 2048, 64
+#: The bound of the training sample: rows of each label.
+SAMPLE_ROWS = 2000
 EPOCHS, LEAST_STEPS, BATCH_DOCS, RATE = 4, 400, 32, 0.01
+#: Windows whose states training holds at once, and bytes of text after which a batch is full.
+TRAINED_WINDOWS, BATCH_TEXT = 4096, 16 << 20
 #: Share of a batch's words that lose their own embedding, and by how much parameters shrink in a step, times the rate.
 DROPPED, DECAY = 0.6, 1.0
 THRESHOLD = 0.3
@@ -184,19 +187,21 @@ def windows(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return doc, (np.cumsum(counts) - counts)[doc] + step * STRIDE, np.minimum(WINDOW, counts[doc] - step * STRIDE)
 
 
-def train(texts: list[str], labels: list[int], seed: int = 7) -> Network:
-    y = np.array(labels, np.float32)
+def _batches(examples: Iterable[tuple[str, int]]) -> Iterator[tuple[list[str], np.ndarray]]:
+    texts, labels, size = [], [], 0
+    for text, label in examples:
+        texts.append(text), labels.append(label)
+        size += len(text)
+        if len(texts) == BATCH_DOCS or size > BATCH_TEXT:
+            yield texts, np.array(labels, np.float32)
+            texts, labels, size = [], [], 0
+    if texts:
+        yield texts, np.array(labels, np.float32)
+
+
+def train(examples: Iterable[tuple[str, int]], n: int, vocabulary: np.ndarray, seed: int = 7) -> Network:
+    """From a stream of n texts, each with a word at least, and labels; vocabulary: sorted hashes of the words that get an embedding."""
     rng = np.random.RandomState(seed)
-    if not len(y) or y.min() == y.max():
-        return Network({}, np.zeros(0, np.uint64), float(y.mean()) if len(y) else 0.0)
-    raw, rows = T.buffers(pa.array(texts, pa.string()))
-    row, start, stop, h = T.words(raw, rows, T.ALNUM)
-    counts = np.bincount(row, minlength=len(texts))
-    first = np.cumsum(counts) - counts
-    seen, docs_with = np.unique(np.concatenate([np.unique(h[a : a + n]) for a, n in zip(first, counts, strict=True)]), return_counts=True)
-    del row
-    often = np.argsort(-docs_with, kind="stable")[:VOCABULARY]
-    vocabulary = np.sort(seen[often[docs_with[often] >= 2]])
     rand = lambda *s: (rng.randn(*s) * 0.2).astype(np.float32)
     d = WORD_DIM + CHAR_DIM
     p = {"E": rand(max(1, len(vocabulary)), WORD_DIM), "C": rand(BUCKETS, CHAR_DIM), "v": rand(2 * HIDDEN), "w": rand(2 * HIDDEN)}
@@ -204,52 +209,68 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Network:
     p |= {"bf": np.zeros(3 * HIDDEN, np.float32), "bb": np.zeros(3 * HIDDEN, np.float32), "c": np.array([-1.0], np.float32)}
     net = Network(p, vocabulary)
     mean, square = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
-    order = np.flatnonzero(counts)
-    in_epoch = max(1, -(-len(order) // BATCH_DOCS))
-    epochs = max(EPOCHS, -(-LEAST_STEPS // in_epoch))
-    total, step = epochs * in_epoch, 0
-    for _epoch in range(epochs):
-        rng.shuffle(order)
-        for lo in range(0, len(order), BATCH_DOCS):
-            chosen = order[lo : lo + BATCH_DOCS]
-            pick = np.concatenate([np.arange(first[k], first[k] + counts[k]) for k in chosen])
-            distinct, at_first, of = np.unique(h[pick], return_index=True, return_inverse=True)
-            doc, begin, size = windows(counts[chosen])
-            place = np.minimum(begin[:, None] + np.arange(WINDOW), len(pick) - 1)
-            valid = np.arange(WINDOW) < size[:, None]
-            at = of[place]
-            x, known, kept, cw, cb = net.inputs(distinct, raw, start[pick][at_first], stop[pick][at_first])
-            kept &= rng.rand(len(distinct)) >= DROPPED
-            x[~kept, :WORD_DIM] = 0
-            gf, gb = net.gates(x)
-            hold: list = []
-            logit = net.run(gf, gb, at, valid, hold)
-            # Softmax over the windows of each document; the temperature falls from 2 to 0.25.
-            heat = 2.0 * (0.125 ** (step / max(1, total - 1)))
-            top = np.full(len(chosen), -np.inf, np.float32)
-            np.maximum.at(top, doc, logit)
-            share = np.exp((logit - top[doc]) / heat)
-            share /= np.bincount(doc, share, len(chosen))[doc]
-            score = np.bincount(doc, share * logit, len(chosen))
-            error = 1 / (1 + np.exp(-np.clip(score, -30, 30))) - y[chosen]
-            dl = (error[doc] * share / len(chosen)).astype(np.float32)
-            g, df, db = net.gradient(dl, at, valid, hold, len(distinct))
-            dx = df @ p["Wf"].T + db @ p["Wb"].T
-            g |= {"Wf": x.T @ df, "bf": df.sum(axis=0), "Wb": x.T @ db, "bb": db.sum(axis=0)}
-            g["E"] = _sums(dx[kept, :WORD_DIM], known[kept], len(p["E"]))
-            per = dx[:, WORD_DIM:] / np.maximum(1, np.bincount(cw, minlength=len(distinct)))[:, None].astype(np.float32)
-            g["C"] = _sums(per[cw], cb, BUCKETS)
-            step += 1
-            rate = RATE * (1 - step / (total + 1)) * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
-            for k in p:
-                mean[k] += 0.1 * (g[k] - mean[k])
-                square[k] += 0.001 * (g[k] ** 2 - square[k])
-                p[k] -= (rate * mean[k] / (np.sqrt(square[k]) + 1e-8)).astype(np.float32)
-                if p[k].ndim == 2:
-                    p[k] *= np.float32(1 - rate * DECAY)
+    seen = 0
+    for step, (texts, y) in enumerate(_batches(examples), 1):
+        # The temperature falls from 2 to 0.25, and the rate to 0.
+        g = _slope(net, texts, y, 2.0 * 0.125 ** (seen / n), rng)
+        seen += len(texts)
+        rate = RATE * max(0.0, 1 - seen / (n + BATCH_DOCS)) * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
+        for k in p:
+            mean[k] += 0.1 * (g[k] - mean[k])
+            square[k] += 0.001 * (g[k] ** 2 - square[k])
+            p[k] -= (rate * mean[k] / (np.sqrt(square[k]) + 1e-8)).astype(np.float32)
+            if p[k].ndim == 2:
+                p[k] *= np.float32(1 - rate * DECAY)
     return net
 
 
+def _slope(net: Network, texts: list[str], y: np.ndarray, heat: float, rng: np.random.RandomState) -> dict[str, np.ndarray]:
+    """The gradient of a batch by all windows of its texts."""
+    p = net.p
+    raw, rows = T.buffers(pa.array(texts, pa.large_string()))
+    row, start, stop, h = T.words(raw, rows, T.ALNUM)
+    distinct, first, of = np.unique(h, return_index=True, return_inverse=True)
+    doc, begin, size = windows(np.bincount(row, minlength=len(texts)))
+    x, known, kept, cw, cb = net.inputs(distinct, raw, start[first], stop[first])
+    kept &= rng.rand(len(distinct)) >= DROPPED
+    x[~kept, :WORD_DIM] = 0
+    gf, gb = net.gates(x)
+
+    def run(block: slice, hold: list | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        at = of[np.minimum(begin[block, None] + np.arange(WINDOW), len(h) - 1)]
+        valid = np.arange(WINDOW) < size[block, None]
+        return at, valid, net.run(gf, gb, at, valid, hold)
+
+    blocks = [slice(lo, lo + TRAINED_WINDOWS) for lo in range(0, len(doc), TRAINED_WINDOWS)]
+    hold: list = []
+    ran = [run(b, hold if len(blocks) == 1 else None) for b in blocks]
+    logit = np.concatenate([r[2] for r in ran])
+    # Softmax over the windows of each document.
+    top = np.full(len(texts), -np.inf, np.float32)
+    np.maximum.at(top, doc, logit)
+    share = np.exp((logit - top[doc]) / heat)
+    share /= np.bincount(doc, share, len(texts))[doc]
+    score = np.bincount(doc, share * logit, len(texts))
+    error = 1 / (1 + np.exp(-np.clip(score, -30, 30))) - y
+    dl = (error[doc] * share / len(texts)).astype(np.float32)
+    g: dict[str, np.ndarray] = {}
+    df, db = (np.zeros((len(distinct), 3 * HIDDEN), np.float32) for _ in range(2))
+    for b, (at, valid, _) in zip(blocks, ran, strict=True):
+        if len(blocks) > 1:
+            hold = []
+            run(b, hold)
+        part, f, r = net.gradient(dl[b], at, valid, hold, len(distinct))
+        df += f
+        db += r
+        g = {k: g[k] + v if g else v for k, v in part.items()}
+    dx = df @ p["Wf"].T + db @ p["Wb"].T
+    g |= {"Wf": x.T @ df, "bf": df.sum(axis=0), "Wb": x.T @ db, "bb": db.sum(axis=0)}
+    g["E"] = _sums(dx[kept, :WORD_DIM], known[kept], len(p["E"]))
+    per = dx[:, WORD_DIM:] / np.maximum(1, np.bincount(cw, minlength=len(distinct)))[:, None].astype(np.float32)
+    g["C"] = _sums(per[cw], cb, BUCKETS)
+    return g
+
+
 class Scorer:
     """Scores whole columns; keeps the gate inputs of words seen before."""
 
@@ -311,31 +332,50 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Network:
     chosen = [sample.where(F.col("_toxic") == k).orderBy("_o", "_doc").limit(rows) for k in (0, 1)]
     # Texts move only now, those of the chosen ids.
     found = docs.select("doc_id", "text").join(F.broadcast(chosen[0].union(chosen[1])), F.col("doc_id") == F.col("_doc"))
-    found = found.select("_toxic", "_o", "_doc", spread(F.coalesce("text", F.lit(""))).alias("text")).distinct()
-    got = [found.where(F.col("_toxic") == k).orderBy("_o", "_doc", "text").limit(rows) for k in (0, 1)]
+    found = found.select("_toxic", "_o", "_doc", F.coalesce("text", F.lit("")).alias("text")).distinct()
+    place = F.row_number().over(Window.partitionBy("_toxic").orderBy("_o", "_doc", "text"))
+    scratch = Scratch(docs.sparkSession, "toxicity")
+    kept = scratch.keep(found.withColumn("_n", place).where(F.col("_n") <= rows))
+    net = _learn(kept)
+    scratch.drop(kept)
+    return net
+
+
+#: Some byte of a word of ``tokens.ALNUM``.
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
+
+
+def _learn(sample: DataFrame) -> Network:
+    """From rows of _toxic, _doc and text, as many as a task may read again in each epoch."""
+    bounded_batches(sample.sparkSession)
+    counts = sample.groupBy("_toxic").agg(F.count("*").alias("n"), F.count_if(F.col("text").rlike(WORD)).alias("worded")).collect()
+    every, worded = sum(r["n"] for r in counts), sum(r["worded"] for r in counts)
+    if len(counts) < 2 or not worded:
+        return Network({}, np.zeros(0, np.uint64), sum(r["n"] * r["_toxic"] for r in counts) / max(1, every))
+    texts = sample.where(F.col("text").rlike(WORD))
+
+    def distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in T.parts(whole, "text"):
+                row, _, _, h = T.words(*T.buffers(b.column("text")), T.ALNUM)
+                seen = np.unique(np.stack([row.astype(np.int64), h.view(np.int64)]), axis=1)[1]
+                yield pa.record_batch([pa.array(seen)], names=["h"])
+
+    often = texts.select("text").mapInArrow(distinct_words, "h long").groupBy("h").count().where("count >= 2")
+    vocabulary = np.sort(often.orderBy(F.desc("count"), "h").limit(VOCABULARY).select("h").toArrow()["h"].to_numpy().view(np.uint64))
+    epochs = max(EPOCHS, -(-LEAST_STEPS // -(-worded // BATCH_DOCS)))
+    # The rows of an epoch by a hash with its number: one sorted stream, which spills where it is large.
+    turns = texts.select("_toxic", "_doc", "text", F.explode(F.sequence(F.lit(1), F.lit(epochs))).alias("_epoch"))
+    turns = turns.coalesce(1).sortWithinPartitions("_epoch", F.xxhash64("_epoch", "_doc"), "_doc", "text", "_toxic")
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        some = [b for b in batches if b.num_rows]
-        texts, labelled = [], []
-        if some:
-            all_ = pa.Table.from_batches(some).sort_by([("_o", "ascending"), ("_doc", "ascending"), ("text", "ascending")])
-            texts, labelled = all_["text"].to_pylist(), all_["_toxic"].to_pylist()
-        net = train(texts, labelled)
-        yield pa.record_batch([pa.array([pickle.dumps((net.p, net.vocabulary, net.base))], pa.binary())], names=["net"])
-
-    # One partition of bounded size; a task that is lost trains again, to the same network.
-    made = got[0].union(got[1]).coalesce(1).mapInArrow(learn, "net binary").first()
-    # A sample without rows may have no task at all.
-    return Network(*pickle.loads(made["net"])) if made else train([], [])
-
-
-def spread(text: Column, most: int = SAMPLE_WORDS, run: int = RUN_WORDS) -> Column:
-    """The text, or of one with more than ``most`` words runs of words evenly spread from its begin to its end."""
-    words = F.split(text, r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", -1)
-    n = most // run
-    starts = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: (1 + k * ((F.size(words) - run) / (n - 1))).cast("int"))
-    runs = F.flatten(F.transform(starts, lambda at: F.slice(words, at, run)))
-    return F.when(F.size(words) <= most, text).otherwise(F.array_join(runs, " "))
+        rows = (x for b in batches for x in zip(b.column("text").to_pylist(), b.column("_toxic").to_pylist(), strict=True))
+        net = train(rows, epochs * worded, vocabulary)
+        yield pa.record_batch([pa.array([pickle.dumps(net.p)], pa.binary())], names=["net"])
+
+    # A task that is lost trains again, to the same network.
+    made = turns.select("text", "_toxic").mapInArrow(learn, "net binary").first()
+    return Network(pickle.loads(made["net"]), vocabulary)
 
 
 def score(docs: DataFrame, net: Network) -> DataFrame:

@@ -731,7 +731,9 @@ def test_windows_against_a_plain_network():
 
     rng = np.random.RandomState(14)
     texts = [" ".join(rng.choice(["foo", "Bar", "ünï", "longerword", "x", "12", "awful"], rng.randint(1, 90))) for _ in range(25)] + ["", "one", None]
-    net = toxicity.train([t for t in texts[:20]], [k % 2 for k in range(20)])
+    raw, rows = tokens.buffers(pa.array(["foo bar longerword x"]))
+    known = np.sort(tokens.words(raw, rows, tokens.ALNUM)[3])
+    net = toxicity.train([(t, k % 2) for _ in range(20) for k, t in enumerate(texts[:20])], 400, known)
     got = toxicity.Scorer(net)(pa.array(texts))
     p, H = {k: v.astype(float) for k, v in net.p.items()}, toxicity.HIDDEN
     sig = lambda x: 1 / (1 + np.exp(-x))
@@ -772,13 +774,16 @@ def test_windows_against_a_plain_network():
 
 
 def test_long_documents_teach(spark):
-    """Texts far beyond the words that the driver takes are spread samples, from begin to end."""
-    texts = [" ".join(f"w{k}" for k in range(n)) for n in (3, 2048, 2049, 50_000)]
-    got = [r[0].split() for r in docs_of(spark, texts).orderBy("doc_id").select(toxicity.spread(F.col("text"))).collect()]
-    assert got[0] == texts[0].split() and got[1] == texts[1].split()
-    for g, n in ((got[2], 2049), (got[3], 50_000)):
-        assert len(g) == 2048 and g[0] == "w0" and g[-1] == f"w{n - 1}"
-        assert set(np.array([int(w[1:]) for w in g]) * 32 // n) == set(range(32))
+    """Training reads whole texts: words of any place get an embedding, and windows of any number are learned from."""
+    import pyarrow as pa
+
+    texts = [" ".join(f"w{k}" for k in range(n)) for n in (3, 2500, 2600, 2400)]
+    docs = docs_of(spark, texts)
+    ids = [k for k in range(100) if zlib.crc32(str(k).encode()) % 4 != 2][: len(texts)]
+    docs = docs.withColumn("doc_id", F.element_at(F.array(*map(F.lit, ids)), (F.col("doc_id") + 1).cast("int")).cast("long"))
+    net = toxicity.fit(docs, spark.createDataFrame([(i, 0, n % 2) for n, i in enumerate(ids)], "doc_id long, quality int, toxic int"))
+    raw, start = tokens.buffers(pa.array([texts[1]]))
+    assert set(tokens.words(raw, start, tokens.ALNUM)[3]) == set(net.vocabulary)
     rng = np.random.RandomState(4)
     rows, labels = [], []
     for k in range(120):
@@ -793,6 +798,19 @@ def test_long_documents_teach(spark):
     assert got[0] > 0.5 > got[1]
 
 
+def test_blocks_of_windows_teach_the_same(monkeypatch):
+    """Windows run again in blocks give the gradient of all windows at once."""
+    rng = np.random.RandomState(3)
+    texts = [" ".join(f"v{rng.randint(50)}" for _ in range(n)) for n in (900, 1, 40, 333)]
+    net = toxicity.train([], 1, np.zeros(0, np.uint64))
+    got = []
+    for block in (10_000, 7):
+        monkeypatch.setattr(toxicity, "TRAINED_WINDOWS", block)
+        got.append(toxicity._slope(net, texts, np.array([1, 0, 1, 0], np.float32), 0.5, np.random.RandomState(1)))
+    assert got[0].keys() == got[1].keys() == net.p.keys()
+    assert all(np.allclose(got[0][k], got[1][k], rtol=1e-3, atol=1e-6) for k in net.p)
+
+
 def toxic_corpus(spark, n=600):
     rng = np.random.RandomState(6)
     rows, labels = [], []

@@ -1,5 +1,6 @@
 """The pipeline's stages against plain versions of what each decides."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tests.conftest import SF
@@ -65,7 +66,7 @@ def test_columns_of_any_name_pass_through(spark, monkeypatch):
     from envidecl.llm import toxicity
 
     # A network that finds nothing toxic.
-    monkeypatch.setattr(toxicity, "fit", lambda docs, labels: toxicity.train(["a b", "c d"], [0, 0]))
+    monkeypatch.setattr(toxicity, "fit", lambda docs, labels: toxicity.Network({}, np.zeros(0, np.uint64), 0.0))
     shared = "a line that stands in many of these documents"
     texts = [f"{k} own words of this text\n{shared}" for k in range(5)] + [None, "", "same same same same same same", "same same same same same same", "word " * 100_000]
     rows = [(k if k != 6 else None, t, *[f"{n}{k}" for n in NAMES[:-1]], len(t or "")) for k, t in enumerate(texts)]
