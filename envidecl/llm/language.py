@@ -17,8 +17,8 @@ Defined results
 * a null ``doc_id`` is not held out; repeated rows get equal results.
 * ties go to the first language in alphabetical order.
 * words of any length are summed whole: the forward sums keep as many places as the longest
-  piece has bytes, and their scale apart. Only for learning are words of more than
-  ``LEARNED_WORD`` bytes cut into blocks of that size.
+  piece has bytes, and their scale apart. They are learned whole, too: forward sums are kept
+  at the starts of parts of ``LEARNED_PART`` bytes and made again part by part.
 * every value of lang is learned, however many there are; the sample leaves each ``SAMPLE_LEAST`` documents at least.
 * extra columns are ignored; an empty table gives an empty result.
 """
@@ -39,8 +39,9 @@ from .common import ascii_lower, bounded_batches, held_out, worker_state
 #: The bounds of the training sample: documents of a language, and of all.
 SAMPLE_DOCS, SAMPLE_ALL, SAMPLE_LEAST = 600, 4000, 50
 ROUNDS = 4
-LEARNED_WORD = 1024
-#: Words longer than this are summed one by one, the others together.
+#: Bytes of a long word whose sums learning holds at once.
+LEARNED_PART = 4096
+#: Words longer than this are summed and learned one by one, the others together.
 TOGETHER = 512
 #: Places times words that are summed together.
 CELLS = 400_000
@@ -226,6 +227,50 @@ def expected(lattice: list[np.ndarray], begin: np.ndarray, size: np.ndarray, p:
     return out
 
 
+def _log_sum(terms: np.ndarray) -> np.ndarray:
+    top = terms.max(axis=0)
+    return top + np.log(np.exp(terms - top).sum(axis=0))
+
+
+def long_expected(pieces: Pieces, word: np.ndarray, p: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """``expected`` of one long word, part by part: forward over all parts, then back from the last."""
+    longest, whole, log_p = pieces.longest, len(word) + 1, np.log(p)
+
+    def forward(lo: int, known: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+        """Pieces that start at place ``first`` and later ones of the part, and forward sums from there; known: those up to lo."""
+        first, hi = max(0, lo + 1 - longest), min(lo + LEARNED_PART, whole)
+        raw = word[max(0, first - 1) : hi + longest - 1]
+        ids = np.stack(pieces.lattice(raw, np.array([0]), np.array([len(raw)]))[0])
+        ids = ids[:, 1 if first else 0 :][:, : hi - first]  # lattice puts a border before, which only the word's start has
+        sums = np.concatenate([known, np.empty((hi - lo, p.shape[1]))])
+        for t in range(lo + 1, hi + 1):
+            k = np.arange(1, min(t, longest) + 1)
+            i = ids[k - 1, t - k - first]
+            k, i = k[i >= 0], i[i >= 0]
+            sums[t - first] = _log_sum(sums[t - k - first] + log_p[i])
+        return first, ids, sums
+
+    starts, known = list(range(0, whole, LEARNED_PART)), [np.zeros((1, p.shape[1]))]
+    for lo in starts:
+        known.append(forward(lo, known[-1])[2][-longest:])
+    total, out = known.pop()[-1], np.zeros_like(p)
+    after = np.zeros((1, p.shape[1]))  # backward sums from the end of the part on
+    for lo in reversed(starts):
+        first, ids, sums = forward(lo, known.pop())
+        hi = min(lo + LEARNED_PART, whole)
+        back = np.concatenate([np.empty((hi - lo, p.shape[1])), after])
+        for t in range(hi - 1, lo - 1, -1):
+            i = ids[: min(longest, whole - t), t - first]
+            k = np.flatnonzero(i >= 0)
+            back[t - lo] = _log_sum(back[t + 1 + k - lo] + log_p[i[k]])
+        for k in range(1, longest + 1):
+            i = ids[k - 1, lo - first :]
+            t = np.flatnonzero(i >= 0)
+            np.add.at(out, i[t], np.exp(sums[t + lo - first] + log_p[i[t]] + back[t + k] - total) * weight)
+        after = back[:longest]
+    return out
+
+
 class Model:
     def __init__(self, languages: list[str], p: np.ndarray):
         self.languages, self.p = languages, p
@@ -240,15 +285,17 @@ def train(pieces: Pieces, langs: list[str], words: list[bytes], counts: list[int
     row = np.array([of.setdefault(w, len(of)) for w in words])
     weight = np.zeros((len(of), len(names)))
     np.add.at(weight, (row, np.searchsorted(names, langs)), counts)
-    cut = [(w[k : k + LEARNED_WORD], n) for n, w in enumerate(of) for k in range(0, len(w), LEARNED_WORD)]
-    size = np.array([len(w) for w, _ in cut])
-    raw, weight = np.frombuffer(b"".join(w for w, _ in cut), np.uint8), weight[[n for _, n in cut]]
+    size = np.array([len(w) for w in of])
+    raw = np.frombuffer(b"".join(of), np.uint8)
     start = np.cumsum(size) - size
+    short, long_ = np.flatnonzero(size <= TOGETHER), np.flatnonzero(size > TOGETHER)
     p = np.full((pieces.n, len(names)), 1 / pieces.n)
-    groups = list(_groups(size))
+    groups = [short[g] for g in _groups(size[short])]
     held = [pieces.lattice(raw, start[g], (start + size)[g]) for g in groups]
     for _ in range(ROUNDS):
         count = sum((expected(*x, p, weight[g]) for x, g in zip(held, groups, strict=True)), np.zeros_like(p))
+        for w in long_.tolist():
+            count += long_expected(pieces, raw[start[w] : start[w] + size[w]], p, weight[w])
         p = (count + SMOOTH) / (count.sum(axis=0) + SMOOTH * pieces.n)
     return Model(names, p)
 

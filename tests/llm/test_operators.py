@@ -773,7 +773,7 @@ def test_windows_against_a_plain_network():
         assert abs(got[k] - best) < 1e-4
 
 
-def test_long_documents_teach(spark):
+def test_long_documents_teach(spark, monkeypatch):
     """Training reads whole texts: words of any place get an embedding, and windows of any number are learned from."""
     import pyarrow as pa
 
@@ -781,9 +781,11 @@ def test_long_documents_teach(spark):
     docs = docs_of(spark, texts)
     ids = [k for k in range(100) if zlib.crc32(str(k).encode()) % 4 != 2][: len(texts)]
     docs = docs.withColumn("doc_id", F.element_at(F.array(*map(F.lit, ids)), (F.col("doc_id") + 1).cast("int")).cast("long"))
+    monkeypatch.setattr(toxicity, "LEAST_STEPS", 20)
     net = toxicity.fit(docs, spark.createDataFrame([(i, 0, n % 2) for n, i in enumerate(ids)], "doc_id long, quality int, toxic int"))
     raw, start = tokens.buffers(pa.array([texts[1]]))
     assert set(tokens.words(raw, start, tokens.ALNUM)[3]) == set(net.vocabulary)
+    monkeypatch.undo()
     rng = np.random.RandomState(4)
     rows, labels = [], []
     for k in range(120):
@@ -871,6 +873,26 @@ def test_tokenizer_path_is_a_parameter():
     assert BPE == public_tokenizers.path("byte_bpe_50k.json")
 
 
+def test_long_words_are_learned_whole(monkeypatch):
+    """Expected counts of a long word, made part by part, are those of the whole lattice."""
+    from envidecl.llm.queries import PIECES
+
+    pieces, rng = language.load_pieces(PIECES), np.random.RandomState(8)
+    p = rng.rand(pieces.n, 3) + 0.01
+    p /= p.sum(axis=0)
+    for n in (40, 41, 700):
+        word = np.frombuffer("".join(rng.choice(["the", "ing", "ö", "a", "tion", "q"], n)).encode()[: n + 3], np.uint8)
+        want = language.expected(*pieces.lattice(word, np.array([0]), np.array([len(word)])), p, np.array([[2.0, 0.0, 5.0]]))
+        for part in (17, 40, 4096):
+            monkeypatch.setattr(language, "LEARNED_PART", part)
+            assert np.allclose(language.long_expected(pieces, word, p, np.array([2.0, 0.0, 5.0])), want, rtol=1e-6, atol=1e-9)
+    # A long word counts as it stands: no piece of it begins after a border of its own.
+    word = b"ab" * 600
+    model = language.train(pieces, ["x"], [word], [1])
+    blank = pieces.id[np.searchsorted(pieces.sorted, language._run_hash(language._hashes(np.frombuffer(b" ", np.uint8)), np.array([0]), 1)[0])]
+    assert 0 < model.p[blank, 0] < 1.1 / 100
+
+
 def test_every_language_is_learned(spark):
     """More values of lang than any fixed number: each has words of its own."""
     rows = [(k, f"{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}q " * 20, f"l{k % 260:03d}") for k in range(260 * 8)]
