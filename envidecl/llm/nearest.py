@@ -7,10 +7,12 @@ a bounded sample); cells are cut into shards of bounded size, and a task builds
 vantage-point tree. A query first searches its nearest cells, enough of them to hold k
 vectors, and then those cells, and in them those sides of the trees' spheres, that the
 triangle inequality does not rule out: a ball of radius R around c is left out where
-``factor`` times d(q, c) - R exceeds the distance of the k-th best so far. Factor one leaves
-out only what cannot hold a nearer vector; a larger one leaves out more. How much a factor
-costs depends on the vectors, so where none is given the largest of ``FACTORS`` is taken that
-still finds ``TARGET`` of the k nearest among ``TRIED`` vectors of the sample.
+``factor`` times d(q, c) - R exceeds the distance of the k-th best so far. Factor one, which
+holds unless another is given, leaves out only what cannot hold a nearer vector, so all of the
+nearest are found, whatever the rows. A larger one leaves out more; what it misses depends on
+the vectors. Where it is None, the largest of ``FACTORS`` is taken that still finds ``TARGET``
+of the k nearest among ``TRIED`` vectors of the sample, which tells nothing about queries that
+lie otherwise than the sample.
 
 Equal vectors are one point of the index with its k + 1 smallest ids, all that can be among
 any k nearest, so no number of copies makes a shard heavy and none of them is left out.
@@ -306,7 +308,7 @@ def _best(found: DataFrame, k: int) -> DataFrame:
 
 
 def nearest(
-    vectors: DataFrame, query: Column, k: int = K, factor: float | None = None, shard_rows: int = SHARD_ROWS
+    vectors: DataFrame, query: Column, k: int = K, factor: float | None = 1.0, shard_rows: int = SHARD_ROWS
 ) -> DataFrame:
     """query_id, rank, vec_id and score of the k nearest found for rows where ``query`` holds."""
     spark = vectors.sparkSession

@@ -415,6 +415,21 @@ def test_nearest_recall_and_edges(spark):
     assert nearest.nearest(v.where("vec_id % 20 = 1"), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def otherwise_than_the_sample():
+    """Candidates in tight clusters, queries in between: what suits the sample misses what is near to queries."""
+    rng = np.random.RandomState(11)
+    middle = rng.randn(100, 32)
+    x = middle[rng.randint(0, 100, 4000)] + 0.05 * rng.randn(4000, 32)
+    x[::20] = rng.randn(200, 32)
+    return x
+
+
+def test_nearest_for_queries_unlike_the_sample(spark):
+    x, ids = otherwise_than_the_sample(), np.arange(4000)
+    v = spark.createDataFrame([(int(k), y.tolist()) for k, y in zip(ids, x, strict=True)], "vec_id long, embedding array<double>")
+    assert found_nearest(v) == {q: exact_nearest(ids, x, q) for q in range(0, 4000, 20)}
+
+
 @pytest.mark.parametrize("scale", [1.0, 1e6, 1e-6])
 def test_nearest_among_many_copies(spark, scale):
     """30 vectors with 120 copies each, of any norm: the smallest ids, exactly, at every factor."""
