@@ -107,19 +107,29 @@ def unit_factor(unit: Column, wanted: Column) -> Column:
     def side(u: Column) -> Column:
         """struct(quantity, factor) of a simple unit; a power of a length that has no name is that power of its factor."""
         base, power = F.regexp_extract(u, r"^([a-z]+?)([23])$", 1), F.regexp_extract(u, r"^([a-z]+?)([23])$", 2).try_cast("int")
-        known, of_length = unit_quantity(u), unit_quantity(F.nullif(base, F.lit("")))
-        raised = F.when(of_length["quantity"] == "length", F.struct(F.concat(F.lit("length"), power.cast("string")).alias("quantity"), F.pow(of_length["factor"], power).alias("factor")))
-        kind = F.when(known["quantity"] == "area", "length2").when(known["quantity"] == "volume", "length3").otherwise(known["quantity"])
-        return F.coalesce(raised, F.when(known.isNotNull(), F.struct(kind.alias("quantity"), known["factor"].cast("double").alias("factor"))))
+        told = F.struct(unit_quantity(u).alias("known"), unit_quantity(F.nullif(base, F.lit(""))).alias("length"), power.alias("power"))
+
+        def judged(x: Column) -> Column:
+            known, length, power = x["known"], x["length"], x["power"]
+            raised = F.when(length["quantity"] == "length", F.struct(F.concat(F.lit("length"), power.cast("string")).alias("quantity"), F.pow(length["factor"], power).alias("factor")))
+            kind = F.when(known["quantity"] == "area", "length2").when(known["quantity"] == "volume", "length3").otherwise(known["quantity"])
+            return F.coalesce(raised, F.when(known.isNotNull(), F.struct(kind.alias("quantity"), known["factor"].cast("double").alias("factor"))))
+
+        return let(told, judged)
 
     def ratio(u: Column) -> Column:
         parts = F.split(F.translate(F.regexp_replace(F.lower(F.trim(u)), r"\s*(?:/|\bper\b)\s*", "/"), "²³[]() ", "23"), "/")
-        one, two = side(F.get(parts, F.lit(0))), side(F.get(parts, F.lit(1)))
-        return F.struct(
-            F.concat_ws("/", one["quantity"], F.when(F.size(parts) > 1, F.coalesce(two["quantity"], F.lit("?")))).alias("kind"),
-            (one["factor"] / F.when(F.size(parts) > 1, two["factor"]).otherwise(1.0)).alias("factor"),
-        )
 
+        def joined(x: Column) -> Column:
+            one, two = F.get(x, F.lit(0)), F.get(x, F.lit(1))
+            return F.struct(
+                F.concat_ws("/", one["quantity"], F.when(F.size(x) > 1, F.coalesce(two["quantity"], F.lit("?")))).alias("kind"),
+                (one["factor"] / F.when(F.size(x) > 1, two["factor"]).otherwise(1.0)).alias("factor"),
+            )
+
+        return let(F.transform(parts, side), joined)
+
+    # Each step is worked out once, however often the next one uses it.
     return let(F.struct(ratio(unit).alias("a"), ratio(wanted).alias("b")), lambda s: F.coalesce(F.when(s["a"]["kind"] == s["b"]["kind"], s["a"]["factor"] / s["b"]["factor"]), F.lit(1.0)))
 
 
