@@ -27,22 +27,25 @@ STEP1_CODES = sorted({c for _, new, old in D.INDICATOR_GROUPS for c in [*new, *o
 _FIELDS = [f.split(":") for f in RECORD.split("metadata struct<")[1].split(">,")[0].split(",")]
 
 
-def _fact_columns(rows: DataFrame, known: dict[str, Column]) -> DataFrame:
+def _fact_columns(rows: DataFrame, known: dict[str, Column], *own: str) -> DataFrame:
     kinds = dict(c.split() for c in FACT_RESULT.split(", "))
-    return rows.select(*[known.get(c, F.lit(None)).cast(k).alias(c) for c, k in kinds.items()])
+    return rows.select(*[known.get(c, F.lit(None)).cast(k).alias(c) for c, k in kinds.items()], *own)
 
 
-def _records(rows: DataFrame, known: dict[str, Column], facts: DataFrame, declared: DataFrame) -> DataFrame:
-    """Rows with epd_uid, source_format, file_sha256, full_text become records with their facts and modules nested."""
+def _records(rows: DataFrame, known: dict[str, Column], facts: DataFrame, declared: DataFrame, key: str = "epd_uid") -> DataFrame:
+    """Rows with epd_uid, source_format, file_sha256, full_text become records with their facts and modules, met by the key, nested."""
     metadata = F.struct(*[known.get(n, F.lit(None)).cast(k).alias(n) for n, k in _FIELDS])
-    modules = declared.groupBy("epd_uid").agg(F.map_from_entries(F.collect_list(F.struct("module", "declared"))).alias("declared"))
-    out = rows.withColumn("metadata", metadata).join(results.nest(facts), "epd_uid", "left").join(modules, "epd_uid", "left")
-    own = [c for c in ("source_file",) if c in rows.columns]
+    modules = declared.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("module", "declared"))).alias("declared"))
+    out = rows.withColumn("metadata", metadata).join(results.nest(facts, key), key, "left").join(modules, key, "left")
+    own = [c for c in ("source_file", "doc_id") if c in rows.columns]
     return out.select("epd_uid", "metadata", "results", "declared", "source_format", "file_sha256", "full_text", *own)
 
 
 def from_documents(docs: DataFrame, everything: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Records and facts of documents laid out on pages (``schemas.RAW_DOCUMENT``; columns file_sha256 and source_file are kept)."""
+    """Records and facts of documents laid out on pages (``schemas.RAW_DOCUMENT``; columns file_sha256, source_file and doc_id are kept).
+
+    Documents under one number are versions of a declaration: each is a record of its own, with its own facts. See ``apart``.
+    """
     if "file_sha256" not in docs.columns:
         docs = docs.withColumn("file_sha256", F.lit(None).cast("string"))
     text = F.array_join(F.transform("pages", lambda p: F.coalesce(p["text"], F.lit(""))), "\f")
@@ -57,18 +60,24 @@ def from_documents(docs: DataFrame, everything: bool = False) -> tuple[DataFrame
             **{c: F.col(c) for c in ("epd_uid", "indicator", "module", "value", "status", "raw_value", "raw_unit", "confidence")}, "scenario": F.coalesce("scenario", F.lit("")), "unit": F.col("canonical_unit"),
             "source_page": F.col("page"), "extraction_method": F.col("method"), "provenance": F.lit("reported"), "human_edited": F.lit(False),
         },
+        "doc_id",
     )
     if not everything:
         facts = results.retain(facts, STEP1_CODES)[0]
     facts = kept(facts)
-    declared = documents.extract_declarations(docs).join(uids, "doc_id").select("epd_uid", "module", "declared").dropDuplicates(["epd_uid", "module"])
+    declared = documents.extract_declarations(docs).select("doc_id", "module", "declared").dropDuplicates(["doc_id", "module"])
     own = ("registration_number", "product_name", "manufacturer", "programme_operator", "declared_unit_raw", "standard_profile", "publication_date", "valid_until", "reference_service_life_years", "reference_service_life_status", "pcr", "geographical_scope", "verification", "verifier", "product_description", "mass_per_declared_unit_kg", "conversion_factor_to_1kg")
     # The language that a number ends in is surer than the text's words.
     suffix = F.create_map(*[F.lit(x) for p in D.NUMBER_LANGUAGES.items() for x in p])
     told = F.try_element_at(suffix, F.regexp_extract(F.coalesce("registration_number", F.lit("")), "-([A-Z]{2})$", 1))
     known = {c: F.col(c) for c in own} | {"language": F.coalesce(told, language_vote(F.col("full_text"))["language"]), "iso14025": F.col("full_text").rlike(r"(?i)ISO\s*14025"), "standard": _standard(F.col("standard_profile"))}
     rows = base.withColumn("source_format", F.lit("pdf"))
-    return kept(_records(rows, known, facts, declared)), facts
+    return kept(_records(rows, known, facts, declared, "doc_id")), facts.drop("doc_id")
+
+
+def apart(records: DataFrame) -> DataFrame:
+    """Records of documents under their documents' ids, so that what is derived from versions of one declaration stays apart."""
+    return records.withColumn("epd_uid", F.col("doc_id")).drop("doc_id")
 
 
 def from_ilcd(members: DataFrame, indicators: DataFrame, systems: DataFrame | None = None, everything: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -113,7 +122,7 @@ class Derived:
 
 
 def derive(records: DataFrame, facts: DataFrame | None = None, overrides: DataFrame | None = None, categories: list[tuple] | None = None) -> Derived:
-    """Everything that follows from records; run again for those that were edited. overrides: epd_uid, chosen."""
+    """Everything that follows from records, one of each epd_uid (``apart`` gives every document one); run again for those that were edited. overrides: epd_uid, chosen."""
     long = results.flatten(records) if facts is None else facts
     long = long.withColumn("unit", normalize_unit(F.col("unit")))
     classified = rules.classify(records, categories=categories)

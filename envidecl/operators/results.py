@@ -29,19 +29,19 @@ def flatten(records: DataFrame) -> DataFrame:
     return rows.select("epd_uid", "indicator", "module", "scenario", *[v.alias(k) for k, v in value.items()], "unit", F.coalesce("v.human_edited", F.lit(False)).alias("human_edited")).select(RESULT_COLUMNS)
 
 
-def nest(facts: DataFrame) -> DataFrame:
-    """epd_uid and results as records hold them: plain slots, and scenarios by module."""
+def nest(facts: DataFrame, key: str = "epd_uid") -> DataFrame:
+    """The key and results as records hold them: plain slots, and scenarios by module."""
     fields = [c.split(":") for c in VALUE.removeprefix("struct<").removesuffix(">").split(",")]
     held = lambda n: F.col(n) if n in RESULT_COLUMNS and n != "scenario" else F.when(F.col("scenario") != "", F.col("scenario")) if n == "scenario" else F.lit(None)
     rows = facts.withColumn("_v", F.struct(*[held(n).cast(k).alias(n) for n, k in fields]))
     pack = lambda key, value: F.map_from_entries(F.collect_list(F.struct(key, value)))
     unit = F.max("unit").alias("_u")
-    plain = rows.where("scenario = ''").groupBy("epd_uid", "indicator").agg(pack("module", "_v").alias("modules"), unit)
-    by_module = rows.where("scenario <> ''").groupBy("epd_uid", "indicator", "module").agg(pack("scenario", "_v").alias("_m"), unit)
-    other = by_module.groupBy("epd_uid", "indicator").agg(pack("module", "_m").alias("scenario_modules"), F.max("_u").alias("_w"))
-    both = plain.join(other, ["epd_uid", "indicator"], "full_outer")
+    plain = rows.where("scenario = ''").groupBy(key, "indicator").agg(pack("module", "_v").alias("modules"), unit)
+    by_module = rows.where("scenario <> ''").groupBy(key, "indicator", "module").agg(pack("scenario", "_v").alias("_m"), unit)
+    other = by_module.groupBy(key, "indicator").agg(pack("module", "_m").alias("scenario_modules"), F.max("_u").alias("_w"))
+    both = plain.join(other, [key, "indicator"], "full_outer")
     one = F.struct(F.lit(None).cast("string").alias("method_profile"), F.coalesce("_u", "_w").alias("canonical_unit"), "modules", "scenario_modules")
-    return both.withColumn("_i", one).groupBy("epd_uid").agg(pack("indicator", "_i").alias("results"))
+    return both.withColumn("_i", one).groupBy(key).agg(pack("indicator", "_i").alias("results"))
 
 
 def product_stage(total: Column, a1: Column, a2: Column, a3: Column) -> Column:

@@ -34,9 +34,15 @@ def declarations(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _records(spark: SparkSession, d: str) -> DataFrame:
+    """A record for every part; numbers of parts from 100,000 on are cut, so several documents may have one."""
     return assemble.from_documents(declarations(spark, d))[0]
 
 
+def _numbered(found: DataFrame, records: DataFrame) -> DataFrame:
+    """What was derived of records under their documents' ids, with the numbers that they have."""
+    return records.select(F.col("epd_uid").alias("_uid"), F.col("doc_id").alias("epd_uid")).join(found, "epd_uid").drop("epd_uid").withColumnRenamed("_uid", "epd_uid")
+
+
 @register(
     f"SELECT {_NUMBER} AS epd_uid, 'Part ' || p_name AS product_name, p_brand AS manufacturer, 'EN 15804+A2' AS standard, (p_size + 2000) || '-06-30' AS valid_until, 'English' AS language, "
     "'The ' || p_name || ' is a panel for inner walls and ceilings.' AS product_description, CASE WHEN p_size % 5 = 0 THEN round_even(p_size * 0.2, 6) END::DOUBLE AS mass_per_declared_unit_kg, "
@@ -59,13 +65,14 @@ _VERIFIED = "CASE WHEN p_size % 2 = 0 THEN 'pass' ELSE 'warning' END"
 )
 def assembled_checks(spark: SparkSession, d: str) -> DataFrame:
     """The checklist and the validation of assembled records, as of a fixed day."""
-    records = _records(spark, d)
+    whole = _records(spark, d)
+    records = assemble.apart(whole)
     derived = assemble.derive(records)
     found = rules.validate(records, derived.facts, derived.classified, F.lit("2026-01-01").cast("date"))
     warnings = F.array_join(F.filter("warnings", lambda w: w != "category_uncertain"), ",")
     told = found.select("epd_uid", F.array_join("errors", ",").alias("errors"), warnings.alias("warnings"))
     parameters = ("core_standard", "third_party_verification", "programme_operator", "reference_service_life", "unit_conversion_factor", "life_cycle_modules", "worst", "mandatory_ok")
-    return derived.step1.select("epd_uid", *parameters).join(told, "epd_uid")
+    return _numbered(derived.step1.select("epd_uid", *parameters).join(told, "epd_uid"), whole)
 
 
 @register(
@@ -74,15 +81,16 @@ def assembled_checks(spark: SparkSession, d: str) -> DataFrame:
 )
 def assembled_edits(spark: SparkSession, d: str) -> DataFrame:
     """Reviewers' edits, their log, and what is derived anew from edited records: summary, checklist and search."""
-    records = _records(spark, d)
-    some = records.join(t(spark, d, "part").where("p_size < 10").select(_number().alias("epd_uid")), "epd_uid", "left_semi")
+    whole = _records(spark, d)
+    records = assemble.apart(whole)
+    some = records.join(t(spark, d, "part").where("p_size < 10").select(F.col("p_partkey").cast("string").alias("epd_uid")), "epd_uid", "left_semi")
     fields = F.array(*[F.struct(F.lit(f).alias("field"), F.lit(v).alias("value")) for f, v in (("manufacturer", "Reviewed A/S"), ("reference_service_life_years", "40"), ("standard", "EN 15804+A2"))])
     edited, log = assemble.edit_fields(records, some.select("epd_uid", F.inline(fields)))
     after = assemble.derive(kept(edited))
     entry = F.concat("field", F.lit(": "), F.coalesce("original", F.lit("null")))
     lines = log.groupBy("epd_uid").agg(F.array_join(F.array_sort(F.collect_list(entry)), "; ").alias("log"))
     rows = after.summary.select("epd_uid", "manufacturer", "rsl_years", F.contains("search_text", F.lit("reviewed a/s")).alias("found"))
-    return rows.join(after.step1.select("epd_uid", "reference_service_life"), "epd_uid").join(lines, "epd_uid", "left")
+    return _numbered(rows.join(after.step1.select("epd_uid", "reference_service_life"), "epd_uid").join(lines, "epd_uid", "left"), whole)
 
 
 @register("SELECT p_partkey::VARCHAR AS doc_id, 2 AS page, 'The ' || p_name || ' begins in the first column and ends in the second one.' AS text FROM part WHERE p_size > 10")
@@ -136,11 +144,12 @@ def page_properties(spark: SparkSession, d: str) -> DataFrame:
 )
 def migrated_declarations(spark: SparkSession, d: str) -> DataFrame:
     """Assembled records as older versions left them: without ISO 14025, factor, category or checklist; current ones stay as they are."""
-    records = kept(_records(spark, d))
-    sizes = t(spark, d, "part").select(_number().alias("epd_uid"), (F.col("p_size") % 3).alias("_kind"))
+    whole = _records(spark, d)
+    records = assemble.apart(whole)
+    sizes = t(spark, d, "part").select(F.col("p_partkey").cast("string").alias("epd_uid"), (F.col("p_size") % 3).alias("_kind"))
     md = F.col("metadata")
     old = records.join(sizes, "epd_uid").withColumn("metadata", md.withField("iso14025", F.lit(None).cast("boolean")).withField("conversion_factor_to_1kg", F.lit(None).cast("double")).withField("product_name", F.when(F.col("_kind") == 0, "Partition wall").otherwise("Something")))
     old = old.withColumn("schema_version", F.when(F.col("_kind") == 0, "1.1").otherwise("2.0")).withColumn("category", F.when(F.col("_kind") == 1, "kept").when(F.col("_kind") == 2, "boards")).withColumn("worst", F.when(F.col("_kind") == 1, "kept"))
     done = assemble.migrate(old.drop("_kind"))
     own = ("verification", "iso14025", "conversion_factor_to_1kg")
-    return done.select("epd_uid", "schema_version", "migrated_from_schema", *[F.col(f"metadata.{c}").alias(c) for c in own], "a1_a3_reporting_mode", "worst", "category", "valid_until_iso", "declared_quantity")
+    return _numbered(done, whole).select("epd_uid", "schema_version", "migrated_from_schema", *[F.col(f"metadata.{c}").alias(c) for c in own], "a1_a3_reporting_mode", "worst", "category", "valid_until_iso", "declared_quantity")
