@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from envidecl.functions import numbers, units
 from envidecl.plans import driver
-from envidecl.sources import sections
+from envidecl.operators import assemble
+from envidecl.sources import ilcd, sections
 
 from .conftest import SF
 
@@ -21,3 +22,24 @@ def test_steps_are_worked_out_once(spark, column, step, most):
 
 def test_rows_go_to_all_cores(spark):
     assert driver.spread(driver.t(spark, SF, "part")).rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism
+
+
+def test_processes_of_large_archives_are_not_sorted(spark):
+    rows = [(a, f"{k:03}", f'<processDataSet><UUID>{a}{k}</UUID></processDataSet>') for a, n in (("a", 40), ("b", 5)) for k in range(n)]
+    members = spark.createDataFrame(rows, "archive string, member string, xml string")
+    assert "Window" not in ilcd.processes(members, most=40)._jdf.queryExecution().optimizedPlan().toString()
+    got = ilcd.processes(members, most=7).groupBy("archive").agg(F.count("*").alias("n"), F.max("member").alias("m")).collect()
+    assert sorted(map(tuple, got)) == [("a", 7, "006"), ("b", 5, "004")]
+
+
+def test_documents_of_one_number_stay_apart(spark):
+    from envidecl.plans import datasets as x
+
+    rows = spark.createDataFrame([("1", "10"), ("2", "20")], "k string, v string")
+    labels = x._table([["Declaration number", "MD-10000-EN"], ["Product name", F.concat(F.lit("Name "), "v")]])
+    results = x._table([["Indicator", "Unit", "A1", "A2", "A3"], ["GWP-total", "kg CO2 eq", F.col("v"), "1", "2"]])
+    docs = x._documents(rows, "k", [x._page(1, "EN 15804+A2", [], [labels]), x._page(2, "Results", [], [results])])
+    records = assemble.from_documents(docs)[0]
+    got = records.select("epd_uid", "metadata.product_name", F.col("results")["GWP-total"]["modules"]["A1"]["value"]).collect()
+    assert sorted(map(tuple, got)) == [("MD-10000-EN", "Name 10", 10.0), ("MD-10000-EN", "Name 20", 20.0)]
+    assert sorted(r["epd_uid"] for r in assemble.apart(records).collect()) == ["1", "2"]
