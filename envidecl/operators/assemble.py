@@ -48,6 +48,8 @@ def from_documents(docs: DataFrame, everything: bool = False) -> tuple[DataFrame
     """
     if "file_sha256" not in docs.columns:
         docs = docs.withColumn("file_sha256", F.lit(None).cast("string"))
+    # A dozen readers go over the pages; whatever lays them out runs once.
+    docs = kept(docs)
     text = F.array_join(F.transform("pages", lambda p: F.coalesce(p["text"], F.lit(""))), "\f")
     base = docs.select("doc_id", "file_sha256", *[c for c in ("source_file",) if c in docs.columns], text.alias("full_text")).join(sections.metadata(docs), "doc_id", "left")
     base = base.withColumn("standard_profile", standard_profile(F.col("full_text")))

@@ -140,19 +140,23 @@ def property_values(docs: DataFrame) -> DataFrame:
         "doc_id", "page", F.lit(0).alias("way"), (F.col("tab") * 100_000 + F.col("row")).alias("at"), F.get("_c", F.lit(0)).alias("label"),
         F.array_join(F.slice("_c", 2, 2), " ").alias("told"), F.array_join("_c", " | ").alias("source"),
     )
+    # As in tables of values, explode_outer keeps a step that the next one filters by from being worked out for both.
     pages = docs.select("doc_id", F.explode("pages").alias("p"))
-    text = pages.select("doc_id", F.col("p.page_number").alias("page"), F.posexplode(clean_lines(F.col("p.text"))).alias("at", "source"))
+    text = pages.select("doc_id", F.col("p.page_number").alias("page"), F.posexplode_outer(clean_lines(F.col("p.text"))).alias("at", "source"))
     shape = r"^(\D.{2,59}?)[\s:=]+(\d[\d.,]*(?:\s*[Ee][+-]?\d+)?(?:\s+\S{1,12})?)$"
     in_lines = text.where(F.col("source").rlike(shape)).select(
         "doc_id", "page", F.lit(1).alias("way"), "at", F.regexp_extract("source", shape, 1).alias("label"), F.regexp_extract("source", shape, 2).alias("told"), "source"
     )
     label = F.concat(F.lit(" "), F.regexp_replace(F.translate(normalize_text(F.col("label")), "²³", "23"), r"[^\p{L}\d]+", " "), F.lit(" "))
     terms = F.array(*[F.struct(F.lit(f" {t} ").alias("term"), F.lit(p).alias("property"), F.lit(u).cast("string").alias("unit")) for t, p, u in TERMS])
-    rows = in_tables.unionByName(in_lines).where(F.length("label") <= 70).withColumn("_l", label)
-    rows = rows.withColumn("_t", F.get(F.filter(terms, lambda t: F.contains(F.col("_l"), t["term"])), F.lit(0))).where("_t IS NOT NULL")
+    # The label is made plain once, not for every term.
+    held = let(label, lambda x: F.slice(F.filter(terms, lambda t: F.contains(x, t["term"])), 1, 1))
+    rows = in_tables.unionByName(in_lines).where(F.length("label") <= 70)
+    rows = rows.select("*", F.explode_outer(held).alias("_t")).where("_t IS NOT NULL")
     number, unit = F.split(F.trim("told"), r"\s+", 2)[0], F.get(F.split(F.trim("told"), r"\s+", 2), F.lit(1))
     factor = F.when(F.col("_t.unit").isNull(), 1.0).otherwise(unit_factor(unit, F.col("_t.unit")))
-    rows = rows.select("doc_id", "page", "way", "at", "source", F.col("_t.property").alias("property"), F.bround(parse_number(number) * F.coalesce(factor, F.lit(1.0)), 9).alias("value")).where("value > 0")
+    value = F.bround(parse_number(number) * F.coalesce(factor, F.lit(1.0)), 9)
+    rows = rows.select("doc_id", "page", "way", "at", "source", F.col("_t.property").alias("property"), F.explode_outer(F.array(value)).alias("value")).where("value > 0")
     first = rows.groupBy("doc_id", "property").agg(F.min_by(F.struct("value", "page", "source"), F.struct("page", "way", "at")).alias("f"))
     return first.select("doc_id", "property", "f.value", "f.page", "f.source")
 
