@@ -43,3 +43,12 @@ def test_documents_of_one_number_stay_apart(spark):
     got = records.select("epd_uid", "metadata.product_name", F.col("results")["GWP-total"]["modules"]["A1"]["value"]).collect()
     assert sorted(map(tuple, got)) == [("MD-10000-EN", "Name 10", 10.0), ("MD-10000-EN", "Name 20", 20.0)]
     assert sorted(r["epd_uid"] for r in assemble.apart(records).collect()) == ["1", "2"]
+
+
+def test_texts_of_xml_are_parsed_once_a_path(spark):
+    plan = lambda column: spark.createDataFrame([("<a/>",)], "x string").select(column)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(ilcd.xml_text(F.col("x"), "name")).count("xpath(") == 1
+    assert plan(ilcd.preferred(F.col("x"), "b")).count("xpath(") == 4
+    rows = [("""<a><b xml:lang='da'>one</b><b xml:lang="fr">two</b></a>""",), ("""<a><b xml:lang="fr">two</b><b xml:lang="&#101;n">three</b></a>""",), ("""<a><b xml:lang="fr"> en </b></a>""",), ("""<a><b xml:lang="en"> </b></a>""",)]
+    got = spark.createDataFrame(rows, "x string").select(ilcd.preferred(F.col("x"), "b")).collect()
+    assert [r[0] for r in got] == ["one", "three", "en", None]
