@@ -72,7 +72,8 @@ class Batches:
             pending = f"{self.path}/_pending-{uuid.uuid4().hex}"
             rows = make().select(*names, bucket(F.col(self.key)).alias("bucket"))
             try:
-                rows.repartition("bucket").write.partitionBy("bucket").parquet(pending)
+                # Rows of a bucket go to one task as long as they are few; of a large batch, buckets are split by size.
+                rows.hint("rebalance", "bucket").write.partitionBy("bucket").parquet(pending)
                 if self._publish(pending, after + 1):
                     path = f"{self.path}/batch={after + 1}"
                     return self.spark.read.schema(f"{self.schema}, bucket int").parquet(path).drop("bucket")

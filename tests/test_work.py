@@ -62,3 +62,18 @@ def test_headings_of_pages_are_told_once(spark):
     seen = layout.module_header.cache_info().misses
     assert [(b.text, m, s) for b, m, s in layout.module_headings(line)] == first == [("A1", "A1", None), ("C3/1", "C3", "1"), ("ModuleD", "D", None), ("\u00a0B4", "B4", None)]
     assert layout.module_header.cache_info().misses == seen
+
+
+def test_a_bucket_of_a_large_batch_is_no_single_task(spark, tmp_path):
+    from envidecl.operators.batches import Batches, bucket
+
+    rows = spark.range(60_000).select(F.sha2(F.col("id").cast("string"), 256).alias("k"), F.col("id").alias("v")).where(bucket(F.col("k")) == 3)
+    table = Batches(spark, f"file://{tmp_path}/t", "k string, v long", "k")
+    name = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    spark.conf.set(name, "20k")
+    try:
+        table.append(lambda: rows)
+    finally:
+        spark.conf.unset(name)
+    assert table.read().count() == rows.count()
+    assert len(list((tmp_path / "t" / "batch=1" / "bucket=3").glob("*.parquet"))) > 1
