@@ -11,7 +11,6 @@ import re
 from collections.abc import Iterator
 from itertools import product
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -21,7 +20,7 @@ from ..functions.numbers import parse_number
 from ..functions.text import clean_cell, clean_lines, let, normalize_text
 from ..functions.units import parse_declared_unit, unit_quantity
 from . import layout as L
-from .documents import FOUND, _boxes, extract_metadata, labeled_values, table_rows
+from .documents import FOUND, _boxes, each_row, extract_metadata, labeled_values, table_rows
 from .registries import read_section
 
 # --- Fixed values: headings, and names of properties and databases -----------------------------------
@@ -57,18 +56,15 @@ SECTION_GAP = 2.5
 def lines(docs: DataFrame, most_pages: int = 6) -> DataFrame:
     """Lines of the first pages in reading order: by layout where a page has words, and by its text; ``turn`` opens a column or page."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in LINE.split(", ")]
-        for f in frames:
-            out = []
-            for doc, pages in zip(f["doc_id"], f["pages"], strict=True):
-                for page in list(pages)[:most_pages] if pages is not None else []:
-                    out += [(doc, page["page_number"], LAYOUT, k, *line) for k, line in enumerate(L.reading_order(L.segments(_boxes(page["words"])), page["width"] or 0.0))]
-            yield pd.DataFrame(out, columns=names)
+    def of(doc_id: str, pages) -> Iterator[tuple]:
+        for page in pages if pages is not None else ():
+            for k, line in enumerate(L.reading_order(L.segments(_boxes(page["words"])), page["width"] or 0.0)):
+                yield (doc_id, page["number"], LAYOUT, k, *line)
 
-    by_layout = docs.select("doc_id", "pages").mapInPandas(run, LINE)
+    laid = F.transform(F.slice("pages", 1, most_pages), lambda p: F.struct(p["page_number"].alias("number"), p["width"].alias("width"), p["words"].alias("words")))
+    by_layout = each_row(docs.select("doc_id", laid.alias("pages")), of, LINE)
     pages = docs.select("doc_id", F.explode(F.slice("pages", 1, most_pages)).alias("p"))
-    split = pages.select("doc_id", F.col("p.page_number").alias("page"), F.lit(TEXT).alias("way"), F.posexplode(clean_lines(F.col("p.text"))).alias("at", "text"))
+    split = pages.select("doc_id", F.col("p.page_number").alias("page"), F.lit(TEXT).alias("way"), F.posexplode_outer(clean_lines(F.col("p.text"))).alias("at", "text")).where("text IS NOT NULL")
     return by_layout.unionByName(split.select("*", F.lit(None).cast("double").alias("gap"), (F.col("at") == 0).alias("turn")))
 
 
@@ -78,14 +74,16 @@ def sections(rows: DataFrame, headings: list[str], stops: list[str], least: int
     It runs to a stop heading, a wide gap, or a line beyond ``most`` characters, and goes on in the next
     column or page only where a sentence is unfinished. What the layout gives precedes the plain text of a page.
     """
-    name = F.rtrim(normalize_text(F.col("text")), F.lit(":"))
-    opens = name.isin(*headings) | F.startswith(name, F.lit(headings[0]))
+    mark = lambda name: F.when(name.isin(*headings) | F.startswith(name, F.lit(headings[0])), True).when(name.isin(*stops), False)
+    # One exchange, by document, serves every window and both groupings.
+    rows = rows.repartition("doc_id")
     ordered = Window.partitionBy("doc_id", "way").orderBy("page", "at")
-    marked = rows.withColumn("_mark", F.when(opens, True).when(name.isin(*stops), False))
+    marked = rows.withColumn("_mark", let(F.rtrim(normalize_text(F.col("text")), F.lit(":")), mark))
     marked = marked.withColumn("_section", F.count("_mark").over(ordered)).withColumn("_in", F.last("_mark", ignorenulls=True).over(ordered))
     before = F.lag("text").over(ordered)
     ends = F.coalesce(F.col("gap") > SECTION_GAP, F.lit(False)) | (F.col("turn") & before.rlike(r"[.!?:]\s*$"))
-    heading = F.first(F.when(F.col("_mark"), F.col("page")), ignorenulls=True).over(Window.partitionBy("doc_id", "way", "_section"))
+    # Inside a section the last heading is its own.
+    heading = F.last(F.when(F.col("_mark"), F.col("page")), ignorenulls=True).over(ordered)
     marked = marked.withColumn("_ends", ends).withColumn("_page", heading).where("_in AND _mark IS NULL")
     so_far = Window.partitionBy("doc_id", "way", "_section").orderBy("page", "at")
     kept = marked.withColumn("_over", F.max("_ends").over(so_far)).withColumn("_chars", F.sum(F.length("text")).over(so_far) - F.length("text")).where(f"NOT _over AND _chars <= {most}")
@@ -217,7 +215,7 @@ def dictionary_fields(docs: DataFrame, fields: list[dict]) -> DataFrame:
     kinds = F.create_map(*[F.lit(x) for f in fields for x in (f["id"], f["kind"])])
     kind, number = kinds[F.col("field")], parse_number(F.col("value"))
     plain = F.when(kind == "number", number.cast("string")).when(kind == "date", parse_date(F.col("value"))["iso"].cast("string")).otherwise(F.trim("value"))
-    typed = found.withColumn("value", plain).where("value IS NOT NULL")
+    typed = found.select(*[c for c in found.columns if c != "value"], F.explode_outer(F.array(plain)).alias("value")).where("value IS NOT NULL")
     best = typed.groupBy("doc_id", "field").agg(F.min_by(F.struct("value", "page", "source", "method", "confidence"), F.struct(-F.col("confidence"), "page", "source")).alias("b"))
     return best.select("doc_id", "field", "b.*")
 
@@ -246,12 +244,13 @@ def extended(docs: DataFrame, fields: list[dict] | None = None) -> DataFrame:
     # What follows the word in its sentence, without words that only link.
     said = F.regexp_extract("_t", r"(?i)\bsoftware\b([^.\n]{3,90})", 0)
     product_ = F.trim(F.regexp_replace(F.regexp_extract("_t", r"(?i)\bsoftware\b([^.\n]{3,90})", 1), r"(?i)^(?:[\s:=–-]+|(?:is|was|used|for|the|named)\b)+", ""))
-    software = text.select("doc_id", "page", product_.alias("value"), said.alias("source")).where(F.length("value") > 2)
+    # explode_outer: what is filtered by is worked out once.
+    software = text.select("doc_id", "page", F.explode_outer(F.array(F.struct(product_.alias("value"), said.alias("source")))).alias("_s")).select("doc_id", "page", "_s.*").where(F.length("value") > 2)
     software = software.groupBy("doc_id").agg(F.min_by(F.struct("value", "page", "source"), "page").alias("s"))
     software = software.select("doc_id", F.lit("lca_software").alias("field"), "s.value", "s.page", "s.source", F.lit("field_regex").alias("method"), F.lit(0.7).alias("confidence"))
     version = r"(?:\s*\(?\s*(?:v|version|sp)?\.?\s*\d[\d.]*(?:-i+)?\)?)?"
     named = F.regexp_extract_all("_t", F.lit(rf"(?i)\b(?:{'|'.join(DATABASES)})\b{version}"), F.lit(0))
-    each = text.select("doc_id", "page", F.explode(named).alias("name")).select("doc_id", "page", clean_cell(F.col("name")).alias("name"))
+    each = text.select("doc_id", "page", F.explode_outer(named).alias("name")).where("name IS NOT NULL").select("doc_id", "page", clean_cell(F.col("name")).alias("name"))
     bases = each.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_set("name")), "; ").alias("value"), F.min("page").alias("page"))
     bases = bases.select("doc_id", F.lit("background_database").alias("field"), "value", "page", F.col("value").alias("source"), F.lit("database_names").alias("method"), F.lit(0.8).alias("confidence"))
     out = parts.unionByName(software).unionByName(bases)

@@ -77,3 +77,16 @@ def test_a_bucket_of_a_large_batch_is_no_single_task(spark, tmp_path):
         spark.conf.unset(name)
     assert table.read().count() == rows.count()
     assert len(list((tmp_path / "t" / "batch=1" / "bucket=3").glob("*.parquet"))) > 1
+
+
+def test_sections_are_found_after_one_exchange(spark):
+    rows = spark.createDataFrame([], sections.LINE)
+    plan = sections.sections(rows, sections.DESCRIPTION, sections.AFTER_DESCRIPTION)._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("RepartitionByExpression") + plan.count("Exchange") <= 1
+    executed = sections.sections(rows, sections.DESCRIPTION, sections.AFTER_DESCRIPTION)._jdf.queryExecution().executedPlan().toString()
+    assert executed.count("Exchange hashpartitioning") == 1
+
+
+def test_names_of_databases_are_searched_once(spark):
+    docs = spark.createDataFrame([], "doc_id string, pages array<struct<page_number:int,text:string,tables:array<struct<cells:array<array<string>>>>>>")
+    assert sections.extended(docs)._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all(") == 1
