@@ -90,3 +90,10 @@ def test_sections_are_found_after_one_exchange(spark):
 def test_names_of_databases_are_searched_once(spark):
     docs = spark.createDataFrame([], "doc_id string, pages array<struct<page_number:int,text:string,tables:array<struct<cells:array<array<string>>>>>>")
     assert sections.extended(docs)._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all(") == 1
+
+
+def test_labels_of_properties_are_made_plain_once(spark):
+    from envidecl.schemas import RAW_DOCUMENT
+
+    docs = spark.createDataFrame([], RAW_DOCUMENT).repartition(2)
+    assert sections.property_values(docs)._jdf.queryExecution().optimizedPlan().toString().count("²³, 23") == 1
