@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from envidecl import session
 from envidecl.functions import numbers, units
 from envidecl.plans import driver
 from envidecl.operators import assemble
@@ -97,3 +98,26 @@ def test_labels_of_properties_are_made_plain_once(spark):
 
     docs = spark.createDataFrame([], RAW_DOCUMENT).repartition(2)
     assert sections.property_values(docs)._jdf.queryExecution().optimizedPlan().toString().count("²³, 23") == 1
+
+
+def _broadcast_files(df) -> list[str]:
+    """Scans of files below a broadcast, in the plan before it runs."""
+    found, at = [], None
+    for line in df._jdf.queryExecution().executedPlan().toString().splitlines():
+        depth = len(line) - len(line.lstrip(" :+-"))
+        at = None if at is not None and depth <= at else at
+        if "BroadcastExchange" in line and at is None:
+            at = depth
+        if at is not None and "FileScan" in line:
+            found.append(line.strip())
+    return found
+
+
+def test_kept_rows_are_not_broadcast_by_the_size_of_their_files(spark):
+    """assembled_records: a row of every document takes a few bytes in a file, and hundreds in the driver's memory."""
+    docs = lambda n: session.kept(spark.range(n).select(F.col("id").cast("string").alias("doc_id"), F.lit("EPD Danmark " * 20).alias("text")))
+    many, few = docs(20_000), docs(10)
+    for how in ("inner", "left", "left_semi"):
+        joined = many.select("doc_id").join(docs(20_000).groupBy("doc_id").agg(F.first("text")), "doc_id", how)
+        assert not _broadcast_files(joined) and joined.count() == 20_000
+    assert _broadcast_files(spark.range(20_000).join(few, F.col("id") == F.col("doc_id"))), "what is small may be broadcast"
