@@ -83,3 +83,20 @@ def test_records_of_files(spark, tmp_path):
     files.write_results_csv(facts, f"file://{tmp_path}/out")
     text = next((tmp_path / "out").glob("part-*.csv")).read_text(encoding="utf-8-sig").splitlines()
     assert text[0].split(",")[:3] == ["epd_uid", "indicator", "module"] and len(text[0].split(",")) == 15
+
+
+def test_all_processes_of_an_archive_are_read(spark, monkeypatch):
+    from envidecl.plans import datasets
+
+    from .conftest import SF
+
+    n = 505
+    members = spark.range(n).select(F.lit("z").alias("archive"), F.format_string("%04d", "id").alias("member"), F.concat(F.lit("<processDataSet><UUID>P"), F.col("id").cast("string"), F.lit("</UUID></processDataSet>")).alias("xml"))
+    assert ilcd.processes(members).select("uuid").distinct().count() == n
+
+    def cut(*_):
+        raise AssertionError("members are left out")
+
+    monkeypatch.setattr(ilcd, "_first", cut)
+    for query in (datasets.ilcd_processes, datasets.ilcd_compliance):
+        query(spark, SF)
