@@ -126,7 +126,8 @@ class Derived:
 def derive(records: DataFrame, facts: DataFrame | None = None, overrides: DataFrame | None = None, categories: list[tuple] | None = None) -> Derived:
     """Everything that follows from records, one of each epd_uid (``apart`` gives every document one); run again for those that were edited. overrides: epd_uid, chosen."""
     long = results.flatten(records) if facts is None else facts
-    long = long.withColumn("unit", normalize_unit(F.col("unit")))
+    # A dozen checks read the facts; units are made plain once.
+    long = kept(long.withColumn("unit", normalize_unit(F.col("unit"))))
     classified = rules.classify(records, categories=categories)
     if overrides is not None:
         classified = rules.override_category(classified, overrides)

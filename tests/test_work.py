@@ -4,9 +4,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from envidecl import session
-from envidecl.functions import numbers, units
+from envidecl.functions import domain, numbers, units
 from envidecl.plans import driver
-from envidecl.operators import assemble
+from envidecl.operators import assemble, rules
+from envidecl.schemas import RECORD
 from envidecl.sources import ilcd, sections
 
 from .conftest import SF
@@ -101,15 +102,16 @@ def test_labels_of_properties_are_made_plain_once(spark):
 
 
 def _broadcast_files(df) -> list[str]:
-    """Scans of files below a broadcast, in the plan before it runs."""
-    found, at = [], None
-    for line in df._jdf.queryExecution().executedPlan().toString().splitlines():
-        depth = len(line) - len(line.lstrip(" :+-"))
-        at = None if at is not None and depth <= at else at
-        if "BroadcastExchange" in line and at is None:
-            at = depth
-        if at is not None and "FileScan" in line:
-            found.append(line.strip())
+    """Scans of files below a broadcast of a table by itself, in the plan before it runs; what joins give is no smaller than Spark takes it for."""
+    lines = df._jdf.queryExecution().executedPlan().toString().splitlines()
+    depth = [len(x) - len(x.lstrip(" :+-")) for x in lines]
+    found = []
+    for k, line in enumerate(lines):
+        if "BroadcastExchange" in line:
+            end = next((n for n in range(k + 1, len(lines)) if depth[n] <= depth[k]), len(lines))
+            below = lines[k + 1 : end]
+            if not any("Join" in x for x in below):
+                found += [x.strip() for x in below if "FileScan" in x]
     return found
 
 
@@ -121,3 +123,28 @@ def test_kept_rows_are_not_broadcast_by_the_size_of_their_files(spark):
         joined = many.select("doc_id").join(docs(20_000).groupBy("doc_id").agg(F.first("text")), "doc_id", how)
         assert not _broadcast_files(joined) and joined.count() == 20_000
     assert _broadcast_files(spark.range(20_000).join(few, F.col("id") == F.col("doc_id"))), "what is small may be broadcast"
+
+
+def _checks(records):
+    derived = assemble.derive(records)
+    found = rules.validate(records, derived.facts, derived.classified, F.lit("2026-01-01").cast("date"))
+    return derived.step1.join(found, "epd_uid")
+
+
+@pytest.mark.parametrize("derived", [_checks])
+def test_records_are_not_broadcast_by_the_size_of_their_files(spark, monkeypatch, derived):
+    """assembled_checks, assembled_edits, migrated_declarations: what is derived of many records meets them without the driver."""
+    monkeypatch.setattr(session, "FEW", -1, raising=False)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1k")  # the files are small, as they hold no rows
+    try:
+        assert not _broadcast_files(derived(session.kept(spark.createDataFrame([], RECORD))))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def test_operators_are_told_from_texts_made_plain_once(spark):
+    rows = spark.createDataFrame([("EPD  Danmark", "", ""), (None, "x", "by IBU")], "operator string, registration string, head string")
+    found = domain.match_operators(rows)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("translate(") == 2
+    assert found.columns == ["operator", "registration", "head", "operator_id", "operator_name", "operator_confidence"]
