@@ -131,7 +131,8 @@ def derive(records: DataFrame, facts: DataFrame | None = None, overrides: DataFr
     classified = rules.classify(records, categories=categories)
     if overrides is not None:
         classified = rules.override_category(classified, overrides)
-    checked = rules.step1(records, long)
+    # Whoever takes few of its columns joins the records' file alone, which Spark takes for smaller than its rows are.
+    checked = rules.step1(records, long).hint("merge")
     return Derived(long, classified, checked, rules.step1_report(records, long, checked), rules.summarize(records, long, checked, classified))
 
 

@@ -131,7 +131,14 @@ def _checks(records):
     return derived.step1.join(found, "epd_uid")
 
 
-@pytest.mark.parametrize("derived", [_checks])
+def _edits(records):
+    edits = records.select("epd_uid", F.lit("manufacturer").alias("field"), F.lit("Reviewed A/S").alias("value"))
+    edited, log = assemble.edit_fields(records, edits)
+    derived = assemble.derive(session.kept(edited))
+    return derived.summary.join(derived.step1.select("epd_uid", "reference_service_life"), "epd_uid").join(log.groupBy("epd_uid").count(), "epd_uid", "left")
+
+
+@pytest.mark.parametrize("derived", [_checks, _edits])
 def test_records_are_not_broadcast_by_the_size_of_their_files(spark, monkeypatch, derived):
     """assembled_checks, assembled_edits, migrated_declarations: what is derived of many records meets them without the driver."""
     monkeypatch.setattr(session, "FEW", -1, raising=False)
