@@ -138,7 +138,11 @@ def _edits(records):
     return derived.summary.join(derived.step1.select("epd_uid", "reference_service_life"), "epd_uid").join(log.groupBy("epd_uid").count(), "epd_uid", "left")
 
 
-@pytest.mark.parametrize("derived", [_checks, _edits])
+def _migrated(records):
+    return assemble.migrate(records.withColumns({"schema_version": F.lit("1.0"), "category": F.lit(None).cast("string"), "worst": F.lit(None).cast("string")}))
+
+
+@pytest.mark.parametrize("derived", [_checks, _edits, _migrated])
 def test_records_are_not_broadcast_by_the_size_of_their_files(spark, monkeypatch, derived):
     """assembled_checks, assembled_edits, migrated_declarations: what is derived of many records meets them without the driver."""
     monkeypatch.setattr(session, "FEW", -1, raising=False)
